@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to shared storage and read it back: lineage ends here, whatever executor is lost."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
