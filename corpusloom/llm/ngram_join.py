@@ -30,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected
+from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, record
 from corpusloom.llm.shared import LOWER, mix, plain, shuffle_partitions, slices, small_batches, span_hashes, stored, text_buffers, words_of
 
 WORDS = 5
 #: Similarity in hundredths from which two texts link.
 PERCENT = 80
-#: Entries of the incidence that a task gathers before it sends them.
-FLUSH_ENTRIES = 1_500_000
 
 _WEIGHTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -75,101 +74,29 @@ def _set_key(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True) or 1, int.from_bytes(digest[8:], "little", signed=True)
 
 
-_OUT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("columns", pa.binary()), ("owners", pa.binary()), ("credit", pa.int64())])
-_OUT_SQL = "bucket int, doc_id long, n long, h1 long, h2 long, columns binary, owners binary, credit long"
-
-
-def _rows(**columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _OUT], schema=_OUT)
-
-
-def _credit(owners: np.ndarray) -> pa.RecordBatch:
-    who, n = np.unique(owners, return_counts=True)
-    return _rows(bucket=np.zeros(len(who), np.int32), h1=who, credit=n)
-
-
-def _entries(columns: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct entries by column, then owner; and whether a column has several owners."""
-    order = np.lexsort((owners, columns))
-    columns, owners = columns[order], owners[order]
-    new = np.ones(len(columns), bool)
-    new[1:] = (columns[1:] != columns[:-1]) | (owners[1:] != owners[:-1])
-    columns, owners = columns[new], owners[new]
-    first = np.ones(len(columns), bool)
-    first[1:] = columns[1:] != columns[:-1]
-    size = np.diff(np.append(np.flatnonzero(first), len(columns)))
-    return columns, owners, np.repeat(size > 1, size)
-
-
 def _incidence(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int]] = []
-        total = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = np.concatenate([g for g, _ in held])
-            owners = np.repeat(np.array([k for _, k in held], np.int64), [len(g) for g, _ in held])
-            columns, owners, shared = _entries(columns, owners)
-            if shared.any():  # credited here; the column goes on once, for no owner
-                for row in _credit_rows(owners[shared]):
-                    yield row
-            first = np.ones(len(columns), bool)
-            first[1:] = columns[1:] != columns[:-1]
-            owners = np.where(shared, 0, owners)[first]
-            columns = columns[first]
-            where = (columns % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            where, columns, owners = where[order], columns[order], owners[order]
-            cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            stops = np.append(cuts[1:], len(where))
-            yield _rows(bucket=where[cuts], columns=[columns[a:b].tobytes() for a, b in zip(cuts, stops, strict=True)], owners=[owners[a:b].tobytes() for a, b in zip(cuts, stops, strict=True)])
-
-        def _credit_rows(owners: np.ndarray) -> Iterator[pa.RecordBatch]:
-            who, count = np.unique(owners, return_counts=True)
-            yield _rows(bucket=(who % buckets).astype(np.int32), h1=who, credit=count)
+    """A row for each document, and blocks of the incidence of prefixes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Gatherer(buckets, False)
         for b in batches:
             raw, offsets = text_buffers(b.column("text"))
-            counts, h1, h2 = [], [], []
+            counts, owner, owner2 = [], [], []
             for x, y in slices(offsets):
                 for grams in shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n):
                     size = len(grams)
-                    counts.append(size)
                     one, two = _set_key(grams) if size else (None, None)
-                    h1.append(one)
-                    h2.append(two)
+                    counts.append(size)
+                    owner.append(one)
+                    owner2.append(two)
                     if size:
-                        part = grams[: prefix_length(size, size // 5 + 1, percent)]
-                        held.append((part, one))
-                        total += len(part)
-                if total >= FLUSH_ENTRIES:
-                    yield from flush()
-                    held, total = [], 0
-            ids = b.column("doc_id")
-            yield _rows(bucket=np.arange(len(ids), dtype=np.int32) % buckets, doc_id=ids, n=counts, h1=h1, h2=h2)
-        if held:
-            yield from flush()
-
-    return docs.mapInArrow(run, _OUT_SQL)
-
-
-def _credited(blocks: DataFrame) -> DataFrame:
-    """Of each partition: what the tasks credited and counted, and the credits of its columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, owners = [], []
-        for b in batches:
-            has = b.column("columns").is_valid()
-            yield b.filter(pa.compute.invert(has))
-            for c, o in zip(b.column("columns").drop_null(), b.column("owners").drop_null(), strict=True):
-                columns.append(np.frombuffer(c.as_buffer(), np.uint64))
-                owners.append(np.frombuffer(o.as_buffer(), np.int64))
-        if columns:
-            _, who, shared = _entries(np.concatenate(columns), np.concatenate(owners))
-            yield _credit(who[shared & (who != 0)])
+                        got.add(grams[: prefix_length(size, size // 5 + 1, percent)], one)
+                if got.full():
+                    yield from got.flush()
+            yield record(bucket=np.arange(len(counts), dtype=np.int32) % buckets, doc_id=b.column("doc_id"), n=counts, owner=owner, owner2=owner2)
+        yield from got.flush()
 
-    return blocks.mapInArrow(run, _OUT_SQL)
+    return docs.mapInArrow(run, SCHEMA_SQL)
 
 
 def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -204,12 +131,12 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     small_batches(spark)
     texts = plain(docs)
     buckets = shuffle_partitions(spark)
-    blocks = _incidence(texts, n, percent, buckets).repartition(buckets, "bucket")
-    counted = stored(_credited(blocks).drop("bucket", "columns", "owners"), "incidence")
-    stats = counted.filter("n is not null").select("doc_id", "n", "h1", "h2")
-    classes = stats.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
-    credits = counted.filter("credit is not null").groupBy("h1").agg(F.sum("credit").alias("credit"))
-    left = classes.join(credits, "h1").filter("credit >= greatest(1, n div 5)")
+    counted = stored(exchanged(_incidence(texts, n, percent, buckets), buckets, False).select("doc_id", "n", "owner", "owner2", "credit"), "incidence")
+    stats = counted.filter("n is not null").select("doc_id", "n", "owner", "owner2")
+    keys = ["owner", "owner2"]
+    classes = stats.filter("owner is not null and doc_id is not null").groupBy(keys).agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
+    credits = counted.filter("credit is not null").groupBy("owner").agg(F.sum("credit").alias("credit"))
+    left = classes.join(credits, "owner").filter("credit >= greatest(1, n div 5)")
     left = left.groupBy("node").agg(F.max(F.col("credit") / F.col("n")).alias("weight"))
     survivors = stored(left, "survivors")
     chosen = texts.join(survivors, texts["doc_id"] == survivors["node"]).drop("node")
@@ -234,8 +161,8 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     more = _verified(stored(cells.join(tested, ["u", "v"], "left_anti"), "cells"), sets, percent)
     rooted = connected(links.unionAll(more))
 
-    found = classes.join(rooted, "node", "left").select("h1", "h2", "class_size", F.coalesce("component", "node").alias("component"))
-    return stats.join(found, ["h1", "h2"], "left").select(
+    found = classes.join(rooted, "node", "left").select(*keys, "class_size", F.coalesce("component", "node").alias("component"))
+    return stats.join(found, keys, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
     )
