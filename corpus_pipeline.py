@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, ngram_join, packing, suffix_dedup, toxicity
+from corpusloom.llm.shared import stored
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.accept(docs.select(DOCUMENT_COLUMNS), model)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts the document with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs).select(DOCUMENT_COLUMNS)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest doc_id stays."""
+    found = ngram_join.components(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.select(DOCUMENT_COLUMNS).join(found, "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has go from the text; every document stays."""
+    kept = suffix_dedup.remove_repeats(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("text"))
+    rest = docs.select("doc_id", "lang", "source")
+    joined = rest.join(kept, rest["doc_id"].eqNullSafe(kept["__id"]))
+    return joined.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage), ("suffix-array dedup", passage_stage), ("packing", packing_stage)]
 
+#: The classifier's training and the tokenizer aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,6 +66,7 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all their columns as they are. Needs ids that aren't null."""
-    kept = classify(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi")
+    """The documents that stay, all their columns as they are. A row with a null doc_id can't be named and stays."""
+    lost = classify(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    same = (docs["doc_id"].cast("long") == lost["__id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == lost["__sha"])
+    return docs.join(lost, same, "left_anti")

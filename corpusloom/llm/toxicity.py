@@ -163,5 +163,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that score below 0.5, with all their columns (whose names must differ), in one pass."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([shared.value.score(c) < 0.5 for c in _feature_lists(b.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     return score(docs, train(docs, labels, per_class))
