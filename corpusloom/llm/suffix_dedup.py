@@ -43,7 +43,7 @@ BEFORE = LENGTH - GRAM
 #: Suffixes that a task sorts into one run.
 RUN_SUFFIXES = 150_000
 #: Anchor strings from which splitters are taken, at most.
-SAMPLE = 20_000
+SAMPLE = 4_000
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
     copies = stats.join(least, ["owner", "owner2"]).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
-    verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
+    verdicts = verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies)
     settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits")
     nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     return _removed(settled.unionByName(nameless), digests)
