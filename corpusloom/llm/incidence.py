@@ -46,7 +46,7 @@ def from_bytes(data) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _bounds(values: np.ndarray) -> np.ndarray:
+def runs_of(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     if not len(values):
         return np.zeros(1, np.int64)
@@ -60,7 +60,7 @@ def _distinct(features: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.
     new = np.ones(len(features), bool)
     new[1:] = (features[1:] != features[:-1]) | (owners[1:] != owners[:-1])
     features, owners = features[new], owners[new]
-    size = np.diff(_bounds(features))
+    size = np.diff(runs_of(features))
     return features, owners, np.repeat(size > 1, size) if len(features) else np.zeros(0, bool)
 
 
@@ -68,7 +68,7 @@ def _answers(features: np.ndarray, owners: np.ndarray, named: bool, buckets: int
     """A row for each owner with its shared features, or with their number."""
     order = np.argsort(owners, kind="stable")
     features, owners = features[order], owners[order]
-    cuts = _bounds(owners)
+    cuts = runs_of(owners)
     if len(cuts) < 2:
         return
     who = owners[cuts[:-1]]
@@ -112,10 +112,10 @@ class Gatherer:
         where = ((features >> np.uint64(8 * COLUMN_BYTES)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.lexsort((owners, where))
         where, owners, data = where[order], owners[order], to_bytes(features[order])
-        cuts = _bounds(where).tolist()
+        cuts = runs_of(where).tolist()
         rows: dict[str, list] = {"bucket": [], "features": [], "owners": [], "runs": []}
         for a, b in zip(cuts, cuts[1:], strict=False):
-            runs = _bounds(owners[a:b])
+            runs = runs_of(owners[a:b])
             rows["bucket"].append(int(where[a]))
             rows["features"].append(data[a:b].tobytes())
             rows["owners"].append(owners[a:b][runs[:-1]].tobytes())

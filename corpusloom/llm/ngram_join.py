@@ -8,11 +8,14 @@ hash), and only as far as sizes allow a link:
    their first n - ceil(t n) + l. Blocks of hashes go to their column's partition, which credits every
    class with its columns that another class has. A class with fewer than l credits cannot
    link and leaves. A column with several classes in one task is summed there before the exchange.
-2. Product over the classes that remain. Each column first meets its most credited class only, which
-   yields as many cells as there are entries, not their square; overlaps are verified on whole sets
-   and links contracted into components. Then columns are multiplied in full between different
-   components, cells are added up, those below the size bounds go, and the rest is verified.
-   Pairs inside a component need no test, as they can't change it.
+2. Product over the classes that remain. Each column that several of them have names its most credited class, its
+   head. A class with fewer shared columns than a link needs leaves. Two classes that link share t of the larger set's
+   columns, so each may leave the heads of its least columns, up to half of that, and they still meet under one of
+   their heads: there the sets meet in one product, or in bounded blocks of it. A block adds up overlaps over all
+   columns, drops the cells below the bound that sizes give, and returns no more links than connect what is left,
+   never all pairs.
+
+Links are then contracted into components.
 
 Cases: a null or wordless text has the empty set and links with nothing; fewer words than n make one
 n-gram of the whole sequence; a null doc_id is reported with a null component and links with nothing;
@@ -28,12 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.components import connected
-from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, record
-from corpusloom.llm.shared import LOWER, mix, plain, shuffle_partitions, slices, small_batches, span_hashes, stored, text_buffers, words_of
+from corpusloom.llm.incidence import COLUMN_BYTES, SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, runs_of, to_bytes
+from corpusloom.llm.shared import LOWER, mix, plain, release, shuffle_partitions, slices, small_batches, span_hashes, stored, text_buffers, words_of
 
 WORDS = 5
+#: Entries and sets of one block of the product, about, and how many sets make a column dense.
+BLOCK_GRAMS = 300_000
+BLOCK_SETS = 1000
+DENSE_FROM = 6
+DENSE_COLUMNS = 2048
 #: Similarity in hundredths from which two texts link.
 PERCENT = 80
 
@@ -113,16 +122,148 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n long, weight double, grams array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) that link, by the overlap of their whole sets."""
-    left = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("grams").alias("gu"))
-    right = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("grams").alias("gv"))
-    both = F.size(F.array_intersect("gu", "gv"))
-    return pairs.join(right, "v").join(left, "u").withColumn("both", both).filter(F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * percent).select("u", "v")
+def _columns(sets: DataFrame, buckets: int) -> DataFrame:
+    """The incidence of whole sets in blocks of columns, dealt by hash; only nodes, not texts or sets, go with them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("grams")
+            many = np.diff(lists.offsets.to_numpy())
+            grams = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(lists)), many)
+            where = ((grams >> np.uint64(8 * COLUMN_BYTES)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((row, where))
+            where, row, data = where[order], row[order], to_bytes(grams[order])
+            node, weight = b.column("node").to_numpy(), b.column("weight").to_numpy()
+            out: list[tuple] = []
+            cuts = runs_of(where).tolist()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                runs = runs_of(row[x:y])
+                who = row[x:y][runs[:-1]]
+                out.append((int(where[x]), data[x:y].tobytes(), node[who].tobytes(), weight[who].tobytes(), np.diff(runs).astype("<u4").tobytes()))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "features", "nodes", "weights", "runs"])
+
+    return sets.mapInArrow(run, "bucket int, features binary, nodes binary, weights binary, runs binary")
+
+
+def _headed(blocks: DataFrame) -> DataFrame:
+    """head, node and the number of columns that the node shares under the head.
+
+    A column's head is its node of most weight. Columns with one node have none. Two columns may be taken for one, as
+    their bytes are cut short; then their nodes meet under one head, which costs a comparison and loses none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, nodes, weights = [], [], []
+        for b in batches:
+            for f, o, w, r in zip(*(b.column(c) for c in ("features", "nodes", "weights", "runs")), strict=True):
+                runs = np.frombuffer(r.as_buffer(), "<u4")
+                features.append(from_bytes(f.as_buffer()))
+                nodes.append(np.repeat(np.frombuffer(o.as_buffer(), np.int64), runs))
+                weights.append(np.repeat(np.frombuffer(w.as_buffer(), np.float64), runs))
+        if not features:
+            return
+        features, nodes, weights = (np.concatenate(x) for x in (features, nodes, weights))
+        order = np.lexsort((nodes, -weights, features))
+        features, nodes = features[order], nodes[order]
+        cuts = runs_of(features)
+        size = np.diff(cuts)
+        heads = np.repeat(nodes[cuts[:-1]], size)
+        many = np.repeat(size > 1, size)
+        heads, nodes = heads[many], nodes[many]
+        order = np.lexsort((nodes, heads))
+        heads, nodes = heads[order], nodes[order]
+        if len(heads):
+            new = np.append(True, (heads[1:] != heads[:-1]) | (nodes[1:] != nodes[:-1]))
+            at = np.flatnonzero(new)
+            yield pa.record_batch([pa.array(heads[at]), pa.array(nodes[at]), pa.array(np.diff(np.append(at, len(heads))), pa.int64())], names=["head", "node", "columns"])
+
+    return blocks.mapInArrow(run, "head long, node long, columns long")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Overlap of every two sets: the incidence of sets and n-grams times its transpose, column by column.
+
+    Columns with a few sets add their cells one by one, the others in dense blocks; a column with one set adds nothing.
+    """
+    size = len(sets)
+    rows = np.repeat(np.arange(size), [len(s) for s in sets])
+    grams = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    order = np.argsort(grams, kind="stable")
+    rows, grams = rows[order], grams[order]
+    cuts = np.concatenate([[0], np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(grams)]]) if len(grams) else np.zeros(1, np.int64)
+    begin, many = cuts[:-1], np.diff(cuts)
+    cells = np.zeros(size * size, np.float64)
+    for m in range(2, DENSE_FROM):
+        first = begin[many == m]
+        for i in range(m if len(first) else 0):
+            for j in range(i + 1, m):
+                cells += np.bincount(rows[first + i] * size + rows[first + j], minlength=size * size)
+    dense = np.flatnonzero(many >= DENSE_FROM)
+    cells = cells.reshape(size, size)
+    cells += cells.T
+    for at in range(0, len(dense), DENSE_COLUMNS):
+        some = dense[at : at + DENSE_COLUMNS]
+        block = np.zeros((size, len(some)), np.float32)
+        for k, c in enumerate(some.tolist()):
+            block[rows[cuts[c] : cuts[c + 1]], k] = 1
+        cells += block @ block.T
+    return cells
+
+
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect what links among the sets; at most one less than there are sets."""
+    n = np.array([len(s) for s in sets], np.float64)
+    both = overlaps(sets)
+    a, b = np.nonzero(np.triu(both * 100 >= (n[:, None] + n[None, :] - both) * percent, 1))
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[y] = x
+            out.append((i, j))
+    return out
 
-def _size_bound(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (head, node, n) with `block`: the pieces of the product that a set takes part in.
+
+    A head's sets are one block up to BLOCK_GRAMS. Beyond, they are dealt by size class (sizes a quarter apart) and hash, and
+    only blocks of the same or neighbouring classes meet, as others can't be similar enough.
+    """
+    weight = F.greatest(F.col("n"), F.lit(BLOCK_GRAMS // BLOCK_SETS))  # so that small sets are no more than BLOCK_SETS
+    totals = members.groupBy("head").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    rows = members.join(totals, "head")
+    small = rows.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
+    large = rows.filter(F.col("total") > BLOCK_GRAMS).withColumn("s", F.floor(F.log("n") / float(np.log(1.25))).cast("int"))
+    classes = large.groupBy("head", "s").agg(F.ceil(F.sum(weight) * 2 / BLOCK_GRAMS).cast("int").alias("k"))
+    near = classes.select("head", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"), F.struct("s", "k").alias("other"))
+    near = near.groupBy("head", "s").agg(F.collect_list("other").alias("others"))  # three at most
+    dealt = large.join(classes, ["head", "s"]).join(near, ["head", "s"])
+    own = F.format_string("%d.%d", F.col("s"), F.pmod(F.xxhash64("node"), F.col("k")))
+    others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["k"] - 1), lambda r: F.format_string("%d.%d", o["s"], r))))
+    pairs = dealt.select("head", "node", own.alias("own"), F.explode(others).alias("other"))
+    return small.unionAll(pairs.select("head", "node", F.concat_ws(" ", F.least("own", "other"), F.greatest("own", "other")).alias("block")))
+
+
+def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that connect the sets of each block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, grams = table["node"].to_pylist(), table["grams"].combine_chunks()
+        found = linked([np.asarray(g.values) for g in grams], percent)
+        return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
+
+    return blocks.join(sets.select("node", "grams"), "node").groupBy("head", "block").applyInArrow(run, "u long, v long")
 
 
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -132,6 +273,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     texts = plain(docs)
     buckets = shuffle_partitions(spark)
     counted = stored(exchanged(_incidence(texts, n, percent, buckets), buckets, False).select("doc_id", "n", "owner", "owner2", "credit"), "incidence")
+    release(spark)
     stats = counted.filter("n is not null").select("doc_id", "n", "owner", "owner2")
     keys = ["owner", "owner2"]
     classes = stats.filter("owner is not null and doc_id is not null").groupBy(keys).agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
@@ -139,28 +281,19 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     left = classes.join(credits, "owner").filter("credit >= greatest(1, n div 5)")
     left = left.groupBy("node").agg(F.max(F.col("credit") / F.col("n")).alias("weight"))
     survivors = stored(left, "survivors")
-    chosen = texts.join(survivors, texts["doc_id"] == survivors["node"]).drop("node")
+    chosen = texts.join(survivors.hint("shuffle_hash"), texts["doc_id"] == survivors["node"]).drop("node")
     sets = stored(_whole_sets(chosen, n).dropDuplicates(["node"]), "sets")
-
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    entries = stored(sets.select("node", "n", "weight", F.explode(F.slice("grams", 1, length.cast("int"))).alias("gram")), "entries")
-    heads = entries.groupBy("gram").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    heads = heads.select("gram", (-F.col("head.minus")).alias("u"), F.col("head.n").alias("nu"))
-    first = entries.join(heads, "gram").filter("u <> node").filter(_size_bound("n", "nu", percent))
-    first = stored(first.groupBy("u", F.col("node").alias("v")).count().select("u", "v"), "pairs")
-    links = stored(_verified(first, sets, percent), "links")
+    release(spark)
+
+    shared = _headed(_columns(sets, buckets).repartition(buckets, "bucket")).groupBy("head", "node").agg(F.sum("columns").alias("columns"))
+    shared = shared.join(sets.select("node", "n"), "node")
+    upto = F.sum("columns").over(Window.partitionBy("node").orderBy("columns", "head"))  # a node has no more heads than n-grams
+    live = F.sum("columns").over(Window.partitionBy("node"))
+    members = shared.withColumn("upto", upto).withColumn("live", live).filter(F.col("live") * 100 >= F.col("n") * percent)
+    members = stored(members.filter(F.col("upto") * 200 >= F.col("n") * percent).select("head", "node", "n"), "members")
+    links = stored(_links(_blocks(members), sets, percent), "links")
     rooted = stored(connected(links), "rooted")
 
-    named = entries.join(rooted, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", "node", "n", "component")
-    open_ = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    named = stored(named.join(open_, "gram"), "open")
-    other = named.select("gram", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("other"))
-    cells = named.join(other, "gram").filter("component < other").filter(_size_bound("n", "nv", percent))
-    cells = cells.groupBy(F.col("node").alias("u"), "v").count().select("u", "v")
-    tested = first.unionAll(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = _verified(stored(cells.join(tested, ["u", "v"], "left_anti"), "cells"), sets, percent)
-    rooted = connected(links.unionAll(more))
-
     found = classes.join(rooted, "node", "left").select(*keys, "class_size", F.coalesce("component", "node").alias("component"))
     return stats.join(found, keys, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

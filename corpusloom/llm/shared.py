@@ -7,6 +7,7 @@ follows the slice and not the table.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.workers import importable
+
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Default of spark.checkpoint.dir where a session has none, as in tests.
@@ -38,6 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles of finished jobs nobody refers to any more, so that their files go now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -48,7 +57,8 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows so that long texts don't pile up in one batch."""
+    """Bound an Arrow batch by rows so that long texts don't pile up in one batch, and let workers import this package."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
