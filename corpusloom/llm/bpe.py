@@ -254,7 +254,7 @@ def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         byte_at = np.append(np.flatnonzero(lead), len(raw))
         rows = np.concatenate([[0], np.cumsum(lead)])[offsets]
     starts = pretokens(points, rows)
-    ends = np.append(starts[1:], len(points))
+    ends = np.append(starts[1:], len(points))[: len(starts)]
     keys = span_hashes(points, starts, ends)
     counts = np.diff(np.searchsorted(starts, rows))
     if byte_at is not None:
