@@ -1,0 +1,26 @@
+"""The queries that have SQL, against it, on the smallest test tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from corpusloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, name):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    theirs = connection.execute(ORACLE_SQL[name]).df()
+    ours = QUERIES[name](spark, SF_DIR).toPandas()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    assert sorted(map(repr, ours[columns].astype(object).itertuples(index=False, name=None))) == sorted(map(repr, theirs[columns].astype(object).itertuples(index=False, name=None)))
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
