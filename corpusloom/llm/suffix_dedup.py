@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import _within
 from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, shorten
-from corpusloom.llm.shared import mix, plain, shuffle_partitions, slices, small_batches, stored, text_buffers
+from corpusloom.llm.shared import mix, plain, release, shuffle_partitions, slices, small_batches, stored, text_buffers
 
 LENGTH = 50
 GRAM = 20
@@ -167,6 +167,14 @@ def _settled(doc: np.ndarray, owner: np.ndarray, at: np.ndarray, bits: np.ndarra
     yield _run_rows(range=(owner[first] % ranges).astype(np.int32), doc_id=doc[first], owner=owner[first], places=[at[a:b].astype("<i4").tobytes() for a, b in spans], bits=[bits[a:b].astype("<i4").tobytes() for a, b in spans])
 
 
+def _packed(data: np.ndarray) -> bytes:
+    return pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     right, sizes, left, left_sizes, doc, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((at, doc, left_sizes, *_keys(left)[::-1], sizes, *_keys(right)[::-1]))
@@ -190,8 +198,8 @@ def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int) -> Itera
         rows["range"].append(int(where[a]))
         rows["common"].append(common.astype(np.uint8).tobytes())
         rows["sizes"].append(sizes[a:b].astype(np.uint8).tobytes())
-        rows["rest"].append(right[a:b][(step >= common[:, None]) & (step < sizes[a:b, None])].tobytes())
-        rows["before"].append(left[a:b][np.arange(BEFORE) < left_sizes[a:b, None]].tobytes())
+        rows["rest"].append(_packed(right[a:b][(step >= common[:, None]) & (step < sizes[a:b, None])]))
+        rows["before"].append(_packed(left[a:b][np.arange(BEFORE) < left_sizes[a:b, None]]))
         rows["before_sizes"].append(left_sizes[a:b].astype(np.uint8).tobytes())
         rows["docs"].append(doc[a:b].astype("<i8").tobytes())
         rows["owners"].append(owner[a:b].astype("<i8").tobytes())
@@ -349,7 +357,8 @@ def _merged(blocks: DataFrame, ranges: int) -> DataFrame:
         for rows in by_range.values():
             runs, base = [], 0
             for row in rows:
-                runs.append(Run(base, row["common"], row["sizes"], row["rest"]))
+                size = sum(row["sizes"]) - sum(row["common"])
+                runs.append(Run(base, row["common"], row["sizes"], _unpacked(row["rest"], size)))
                 base += len(row["common"])
             order, shared = merge(runs)
             order, shared = np.array(order, np.int64), np.array(shared, np.int64)
@@ -357,7 +366,7 @@ def _merged(blocks: DataFrame, ranges: int) -> DataFrame:
             sizes, doc, owner, at = joined("sizes", np.uint8).astype(np.int64), joined("docs", "<i8"), joined("owners", "<i8"), joined("at", "<i4").astype(np.int64)
             widths = np.frombuffer(b"".join(r["before_sizes"] for r in rows), np.uint8).astype(np.int64)
             left = np.zeros((base, BEFORE), np.uint8)
-            left[np.repeat(np.arange(base), widths), _within(widths)] = np.frombuffer(b"".join(r["before"] for r in rows), np.uint8)
+            left[np.repeat(np.arange(base), widths), _within(widths)] = np.frombuffer(b"".join(_unpacked(r["before"], sum(r["before_sizes"])) for r in rows), np.uint8)
             shared[:1] = -1
             bits = _verdicts(shared, sizes, left[order], widths[order], doc)
             yield from _settled(doc, owner, at, bits, ranges)
@@ -420,6 +429,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     rows = rows.withColumn("owner", F.when(key == 0, F.lit(1)).otherwise(key)).withColumn("owner2", F.xxhash64(F.lit(1), "text"))
     texts = rows.filter("doc_id is not null")
     found = stored(exchanged(_first_pass(texts, buckets), buckets, True), "anchors")
+    release(spark)
     stats = found.filter("n is not null")
     least = stats.groupBy("owner", "owner2").agg(F.min("doc_id").alias("least"))
     shared = found.filter("credit is not null").groupBy("owner").agg(F.collect_list("features").alias("shared"))
@@ -434,7 +444,8 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
     copies = stats.join(least, ["owner", "owner2"]).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
-    verdicts = verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies)
+    verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
+    release(spark)  # runs and texts of the merge go before the texts move again
     settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits")
     nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     return _removed(settled.unionByName(nameless), digests)
