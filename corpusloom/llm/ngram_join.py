@@ -147,8 +147,8 @@ def _columns(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.mapInArrow(run, "bucket int, features binary, nodes binary, weights binary, runs binary")
 
 
-def _headed(blocks: DataFrame) -> DataFrame:
-    """head, node and the number of columns that the node shares under the head.
+def _headed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of head, node and the number of columns that the node shares under the head, dealt by node.
 
     A column's head is its node of most weight. Columns with one node have none. Two columns may be taken for one, as
     their bytes are cut short; then their nodes meet under one head, which costs a comparison and loses none.
@@ -177,7 +177,27 @@ def _headed(blocks: DataFrame) -> DataFrame:
         if len(heads):
             new = np.append(True, (heads[1:] != heads[:-1]) | (nodes[1:] != nodes[:-1]))
             at = np.flatnonzero(new)
-            yield pa.record_batch([pa.array(heads[at]), pa.array(nodes[at]), pa.array(np.diff(np.append(at, len(heads))), pa.int64())], names=["head", "node", "columns"])
+            count, heads, nodes = np.diff(np.append(at, len(heads))), heads[at], nodes[at]
+            where = (nodes % buckets).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            where, triples = where[order], np.stack([heads, nodes, count], 1)[order]
+            cuts = runs_of(where).tolist()
+            yield pa.record_batch([pa.array(where[cuts[:-1]]), pa.array([triples[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "triples"])
+
+    return blocks.mapInArrow(run, "bucket int, triples binary")
+
+
+def _summed(blocks: DataFrame) -> DataFrame:
+    """head, node, columns: what the blocks count, a row for each head and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(t.as_buffer(), np.int64).reshape(-1, 3) for b in batches for t in b.column("triples")]
+        if not parts:
+            return
+        triples = np.concatenate(parts)
+        triples = triples[np.lexsort((triples[:, 0], triples[:, 1]))]
+        at = np.flatnonzero(np.append(True, (triples[1:, :2] != triples[:-1, :2]).any(1)))
+        yield pa.record_batch([pa.array(triples[at, 0]), pa.array(triples[at, 1]), pa.array(np.add.reduceat(triples[:, 2], at))], names=["head", "node", "columns"])
 
     return blocks.mapInArrow(run, "head long, node long, columns long")
 
@@ -285,7 +305,8 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     sets = stored(_whole_sets(chosen, n).dropDuplicates(["node"]), "sets")
     release(spark)
 
-    shared = _headed(_columns(sets, buckets).repartition(buckets, "bucket")).groupBy("head", "node").agg(F.sum("columns").alias("columns"))
+    headed = _headed(_columns(sets, buckets).repartition(buckets, "bucket"), buckets)
+    shared = _summed(headed.repartition(buckets, "bucket"))
     shared = shared.join(sets.select("node", "n"), "node")
     upto = F.sum("columns").over(Window.partitionBy("node").orderBy("columns", "head"))  # a node has no more heads than n-grams
     live = F.sum("columns").over(Window.partitionBy("node"))
