@@ -31,10 +31,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id has go from the text; every document stays."""
-    kept = suffix_dedup.remove_repeats(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    joined = rest.join(kept, rest["doc_id"].eqNullSafe(kept["__id"]))
-    return joined.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    kept = suffix_dedup.remove_repeats(docs, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

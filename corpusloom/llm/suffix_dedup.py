@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.bpe import _within
 from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, shorten
@@ -390,7 +391,8 @@ def removed_bytes(size: int, places: list[bytes], bits: list[bytes]) -> np.ndarr
 
 
 def _removed(found: DataFrame, digests: bool) -> DataFrame:
-    """found: doc_id, text, copy (of a smaller document's whole text), places, bits."""
+    """found: doc_id, text, copy (of a smaller document's whole text), places, bits, perhaps carried."""
+    carried = [f for f in found.schema.fields if f.name == "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,22 +415,27 @@ def _removed(found: DataFrame, digests: bool) -> DataFrame:
                 out.append((y - x, n, spans, hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "ignore")))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            made = [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(b.column(name) for name in extra)]
+            yield pa.record_batch(made, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    extra = [f.name for f in carried]
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    return found.mapInArrow(run, StructType([*schema.fields, *carried]))
 
 
-def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the remaining text (characters cut in two dropped), or the
-    SHA-256 of the remaining bytes."""
+    SHA-256 of the remaining bytes. The columns in carry stay with their row, whatever its doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = shuffle_partitions(spark)
-    rows = plain(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    extra = ["carried"] if carry else []
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.struct(*carry).alias(c) for c in extra))
     key = F.xxhash64("text")
     rows = rows.withColumn("owner", F.when(key == 0, F.lit(1)).otherwise(key)).withColumn("owner2", F.xxhash64(F.lit(1), "text"))
     texts = rows.filter("doc_id is not null")
-    found = stored(exchanged(_first_pass(texts, buckets), buckets, True), "anchors")
+    found = stored(exchanged(_first_pass(texts.drop(*extra), buckets), buckets, True), "anchors")
     release(spark)
     stats = found.filter("n is not null")
     least = stats.groupBy("owner", "owner2").agg(F.min("doc_id").alias("least"))
@@ -446,6 +453,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
     release(spark)  # runs and texts of the merge go before the texts move again
-    settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits")
-    nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
-    return _removed(settled.unionByName(nameless), digests)
+    settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits", *extra)
+    nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"), *extra)
+    kept = _removed(settled.unionByName(nameless), digests)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried.*") if carry else kept

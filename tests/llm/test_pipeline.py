@@ -41,3 +41,13 @@ def test_stages(spark, tmp_path):
     for r in seen["packing"]:
         total[r["doc_id"]] += r["length"]
     assert set(total) == ids["suffix-array dedup"] and all(total[r["doc_id"]] == r["doc_tokens"] for r in seen["packing"])
+
+
+def test_passages_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    make = lambda: " ".join(str(rng.randint(100, 999)) for _ in range(40))
+    rows = [(None, make(), f"l{k}", f"s{k}", 0) for k in range(4)] + [(7, make(), f"l{k}", f"s{k}", 0) for k in range(4, 6)] + [(8, make(), None, None, 0), (9, None, "l9", "s9", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.passage_stage(spark, docs, "").collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((i, t or "", a, b, len(t or "")) for i, t, a, b, _ in rows), key=key)
