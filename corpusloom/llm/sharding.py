@@ -4,16 +4,17 @@ Documents stand in the order of a 64-bit fingerprint of their text. Equal texts
 fingerprint, and its top UNIT_BITS bits name the atomic unit that is never cut, so copies stay
 together. Units are at most 2**UNIT_BITS however large the table is; only their sizes reach the
 driver. There the smallest feasible shard capacity is found by binary search: a capacity is
-feasible if greedy filling needs no more than n_shards shards. The units are cut at that
-capacity.
+feasible if greedy filling needs no more than n_shards shards. Among the cuts within that
+capacity the one with the least sum of squared shard sizes is taken, so a unit that outweighs a
+shard's share makes its own shard large and the others stay near equal.
 
 Slots number the rows of a shard without a gap. A unit with many rows (a group of copies may hold
 a third of the table) is numbered in several cells, each by a window of its own, with the counts of
 the cells before it added; the number of cells is bounded as well.
 
 Cases: a null text has no bytes and weighs ROW_BYTES, as an empty one; null ids and repeated rows
-are rows like others; an empty table gives no rows; extra columns are ignored. There may be empty
-shards at the end where there are fewer units than shards or one unit outweighs the rest.
+are rows like others; an empty table gives no rows; extra columns are ignored. Shards are empty, at
+the end, only where there are fewer units than shards.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,14 +58,54 @@ def smallest_capacity(sizes: list[int], n_shards: int) -> int:
 
 
 def cut(sizes: list[int], n_shards: int) -> list[int]:
-    """The shard of each unit, in order."""
-    capacity, out, shard, filled = smallest_capacity(sizes, n_shards), [], 0, 0
-    for size in sizes:
-        if filled + size > capacity:
-            shard, filled = shard + 1, 0
-        filled += size
-        out.append(shard)
-    return out
+    """The shard of each unit, in order: of all cuts within the least capacity, the one with the least sum of squared shard sizes.
+
+    Where the last of k shards over the first j units begins at best never falls as j grows, so each round of halving
+    looks only between the beginnings found for the neighbours, for all of its j at once.
+    """
+    n = len(sizes)
+    shards = min(n_shards, n)  # as many as can have a unit each
+    if not n:
+        return []
+    capacity = smallest_capacity(sizes, n_shards)
+    prefix = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    first = np.searchsorted(prefix, prefix - capacity)  # the least beginning of a shard that ends at j
+    reach = [0]
+    for _ in range(shards):
+        reach.append(int(np.searchsorted(prefix, prefix[reach[-1]] + capacity, side="right")) - 1)
+    scaled = prefix / max(1.0, float(prefix[-1]) / shards)
+    best, ends = np.zeros(1), []
+    low_j = 0
+    for k in range(1, shards + 1):
+        at = np.arange(k, max(k, reach[k]) + 1)  # j that k shards can cover, each with a unit
+        floor, ceiling = np.maximum(first[at], k - 1), np.minimum(at - 1, low_j + len(best) - 1)
+        found, value = np.full(len(at), -1, np.int64), np.zeros(len(at))
+        step = 1 << len(at).bit_length()
+        while step > 1:
+            step >>= 1
+            j = np.arange(step - 1, len(at), 2 * step)
+            if not len(j):
+                continue
+            left, right = j - step, j + step
+            a = np.maximum(floor[j], np.where(left >= 0, found[np.maximum(left, 0)], 0))
+            b = np.minimum(ceiling[j], np.where(right < len(at), found[np.minimum(right, len(at) - 1)], n))
+            width = b - a + 1
+            heads = np.cumsum(width) - width
+            i = np.arange(int(width.sum())) - np.repeat(heads - a, width)
+            cost = best[i - low_j] + (np.repeat(scaled[at[j]], width) - scaled[i]) ** 2
+            least = np.minimum.reduceat(cost, heads)
+            hits = np.flatnonzero(cost == np.repeat(least, width))
+            of = np.searchsorted(heads, hits, side="right") - 1
+            _, one = np.unique(of, return_index=True)
+            found[j], value[j] = i[hits[one]], least
+        ends.append((k, found))
+        best, low_j = value, k
+    out, end = np.zeros(n, np.int64), n
+    for k, found in reversed(ends):
+        begin = int(found[end - k])
+        out[begin:end] = k - 1
+        end = begin
+    return out.tolist()
 
 
 def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:

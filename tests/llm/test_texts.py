@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -105,6 +106,30 @@ def test_smallest_capacity(sizes, shards):
     assert max(sharding.cut(sizes, shards)) < shards
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.integers(1, 5))
+def test_cut_is_even_within_the_capacity(sizes, shards):
+    capacity, n = sharding.smallest_capacity(sizes, shards), len(sizes)
+    sums = lambda bounds: [sum(sizes[a:b]) for a, b in zip((0, *bounds), (*bounds, n), strict=True)]
+    every = [sums(c) for c in itertools.combinations(range(1, n), min(shards, n) - 1)]
+    least = min(sum(x * x for x in s) for s in every if max(s) <= capacity)
+    got = sharding.cut(sizes, shards)
+    assert got == sorted(got) and set(got) == set(range(min(shards, n)))
+    found = [sum(x for x, k in zip(sizes, got, strict=True) if k == shard) for shard in sorted(set(got))]
+    assert max(found) <= capacity and sum(x * x for x in found) == least
+
+
+def test_a_hot_unit_leaves_the_other_shards_even():
+    sizes = [100 + i % 7 for i in range(2000)]
+    for hot in (sum(sizes) // 2, sum(sizes) // 29):  # a third of the bytes, and one in thirty
+        got = sharding.cut([*sizes[:700], hot, *sizes[700:]], 40)
+        totals = collections.Counter()
+        for size, shard in zip([*sizes[:700], hot, *sizes[700:]], got, strict=True):
+            totals[shard] += size
+        rest = sorted(totals.values())[:-1]
+        assert len(totals) == 40 and max(totals.values()) == hot and rest[-1] < 1.1 * rest[0]
+
+
 def test_sharding(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_ROWS", 10)
     rng = random.Random(1)
