@@ -7,8 +7,9 @@ document: tasks count into arrays, Spark sums the tasks' counts by language and
 counts become sorted key arrays with probabilities and back-off weights beside them.
 
 A second pass gives each document its base statistics and its log perplexity per symbol. The bands of a language
-are its median and the median deviation from it, over all its documents, from a histogram of log perplexities:
-a document is rejected above or below BAND deviations, with MARGIN_LOW and MARGIN_HIGH as the least widths.
+are its median and the median deviation from it, over the different values of its documents (copies count once, so
+that a large group of them doesn't narrow the band), from a histogram of log perplexities: a document is rejected
+above or below BAND deviations. There is no least width but the histogram's step.
 
 Cases: a null text has no words and fails the base rules; a null language is one of its own, and a language with
 a single text has its own median and so is kept; ids play no part and may be null or repeat; extra
@@ -31,10 +32,8 @@ from corpusloom.llm.shared import mix, slices, small_batches, span_hashes, spans
 
 ORDER = 4
 SYMBOL_BITS = 5
-#: Deviations (of the median, scaled as for a normal distribution) and least widths of a band.
-BAND = 8.0
-MARGIN_LOW = 0.15
-MARGIN_HIGH = 0.3
+#: Deviations (of the median, scaled as for a normal distribution) that a band reaches to either side.
+BAND = 4.5
 #: Base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -293,12 +292,12 @@ def judge(docs: DataFrame) -> DataFrame:
         scored = part if scored is None else scored.unionAll(part)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = stored(scored.withColumn("base_failed", failed), "scored")
-    usable = scored.filter("not base_failed").select("lang", "log_perplexity")
+    usable = scored.filter("not base_failed").select("lang", "log_perplexity").distinct()
     middle = stored(_median(usable, "log_perplexity").withColumnRenamed("log_perplexity", "middle"), "middle")
     away = usable.join(F.broadcast(middle), usable["lang"].eqNullSafe(middle["lang"])).select(usable["lang"].alias("lang"), F.abs(F.col("log_perplexity") - F.col("middle")).alias("deviation"))
     bands = middle.alias("m").join(_median(away, "deviation").alias("d"), F.col("m.lang").eqNullSafe(F.col("d.lang")))
-    width = BAND * 1.4826 * F.col("deviation")
-    bands = stored(bands.select(F.col("m.lang").alias("band_lang"), (F.col("middle") - F.greatest(F.lit(MARGIN_LOW), width)).alias("low"), (F.col("middle") + F.greatest(F.lit(MARGIN_HIGH), width)).alias("high")), "bands")
+    width = BAND * 1.4826 * F.col("deviation") + 1 / STEPS
+    bands = stored(bands.select(F.col("m.lang").alias("band_lang"), (F.col("middle") - width).alias("low"), (F.col("middle") + width).alias("high")), "bands")
     judged = scored.join(F.broadcast(bands), scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside)

@@ -184,6 +184,20 @@ def test_perplexity(spark):
     assert perplexity.judge(rows.limit(0)).count() == 0
 
 
+def test_perplexity_bands_follow_the_spread(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(("ba", "ne", "ti", "ro")) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(60)]
+    odd = list(texts[0])
+    for at in rng.sample(range(len(odd)), len(odd) // 80):  # one letter in eighty
+        odd[at] = rng.choice("bnrtaeio")
+    rows = [*texts, "".join(odd), *[texts[1]] * 200]  # copies outnumber the rest
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.judge(docs).collect()}
+    assert not got[60]["kept"] and not got[60]["base_failed"]
+    assert all(got[i]["kept"] for i in got if i != 60)
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["mit"][0]
     texts = [
