@@ -198,6 +198,37 @@ def test_perplexity_bands_follow_the_spread(spark):
     assert all(got[i]["kept"] for i in got if i != 60)
 
 
+def test_chances_are_those_of_one_model(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abbcccdé жЖ漢") for _ in range(3000))
+    keys, _ = perplexity.unit_keys(*text_buffers(pa.array([text])))
+    units = sorted({int(k) >> s & 0xFFFF for k in keys for s in (0, 16, 32, 48)})
+    small = np.zeros(len(keys), np.int64)
+    for k in range(perplexity.ORDER):
+        small |= np.searchsorted(units, keys >> (16 * k) & 0xFFFF) << (perplexity.SYMBOL_BITS * k)
+    grams, at, counts = np.unique(small, return_index=True, return_counts=True)
+    wanted = dict(zip(keys[at].tolist(), perplexity.Model(grams, counts, 1 << 16).log_chances(grams).tolist(), strict=True))
+    half = len(keys) // 2  # as two blocks
+    parts = [("=xx", int(k), 1) for k in keys[:half]] + [("=xx", int(k), 1) for k in keys[half:]] + [("", int(keys[0]), 5)]
+    got = {r["gram"]: np.log(r["chance"]) for r in perplexity.chances(spark.createDataFrame(parts, "k string, gram long, n long")).filter("k = '=xx'").collect()}
+    assert got == pytest.approx(wanted)
+
+
+def test_perplexity_reads_every_script(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 20000)
+    rng = random.Random(5)
+    texts, langs = [], []
+    for lang, letters in (("ru", "абвгдежзиклмнопрст"), ("zz", "אבגדהוזחטיכלמנסעפצ")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40)]
+        clean = [[rng.choice(words) for _ in range(150)] for _ in range(40)]
+        mixed = ["".join(rng.choice(letters) for _ in w) for w in clean[0]]  # the same lengths of words
+        texts += [*map(" ".join, clean), " ".join(mixed)]
+        langs += [lang] * 41
+    docs = spark.createDataFrame([(i, *v) for i, v in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.judge(docs).collect()}
+    assert len(got) == 82 and {i for i in got if not got[i]["kept"]} == {40, 81}
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["mit"][0]
     texts = [
