@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,25 @@ def library_encoder(definition: str) -> Callable[[list[bytes]], tuple[np.ndarray
     return encode
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_ID) -> DataFrame:
-    """First pass: part, local_start, doc_id, n_tokens and ids (little-endian unsigned 32-bit), separators included."""
+def added_encoder(definition: str) -> Callable[[pa.Array], dict[int, np.ndarray]]:
+    """The ids, by row, of the texts that hold a string of one of the tokenizer's added tokens, as the library encodes them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(texts: pa.Array) -> dict[int, np.ndarray]:
+        rows = set()
+        for string in strings:
+            rows.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, string), False).to_numpy(zero_copy_only=False)).tolist())
+        return {i: np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int64) for i in sorted(rows)}
+
+    return encode
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_ID, added: bool = False) -> DataFrame:
+    """First pass: part, local_start, doc_id, n_tokens and ids (little-endian unsigned 32-bit), separators included.
+    With added, strings of the tokenizer's added tokens are those tokens; otherwise they are ordinary text."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -62,10 +80,14 @@ def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _worker(f"library {name}", lambda: WordTable(library_encoder(definition.value)))
+        whole = _worker(f"added {name}", lambda: added_encoder(definition.value)) if added else None
         part, local = TaskContext.get().partitionId(), 0
         for held in windows(batches):
             ids_of_docs, done = pa.concat_arrays([b.column("doc_id") for b in held]), 0
             for rows, ids, ends in encode_window([b.column("text") for b in held], table):
+                if whole and (found := whole(pa.concat_arrays([b.column("text") for b in held]).slice(done, rows))):
+                    pieces = [found.get(i, ids[x:y]) for i, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+                    ids, ends = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
                 counts = np.diff(ends)
                 row = np.insert(ids, ends[1:], separator).astype("<u4")  # one separator after each document
                 at = ends + np.arange(rows + 1)
@@ -79,10 +101,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_I
     return plain(docs).mapInArrow(run, "part int, local_start long, doc_id long, n_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, separator: int = SEPARATOR_ID, digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, separator: int = SEPARATOR_ID, digests: bool = False, added: bool = False) -> DataFrame:
     """Records of pieces: doc_id, start, length, ids (or ids_crc32), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    first = stored(tokenized(docs, tokenizer_path, separator), "tokens")
+    first = stored(tokenized(docs, tokenizer_path, separator, added), "tokens")
     totals = sorted(first.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row per partition
     bases, total = [], 0
     for part, n in totals:

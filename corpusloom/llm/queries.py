@@ -52,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digests=True, added=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

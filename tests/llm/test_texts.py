@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, language_id, license_scan, packing, perplexity, sharding, toxicity
+from corpusloom.llm.queries import QUERIES
 from corpusloom.llm.shared import text_buffers
 
 SCHEMA = "doc_id long, text string, lang string, unit string, at string, part string"
@@ -90,6 +91,15 @@ def test_packing(spark):
     assert packing.pack(frame(spark, TEXTS).limit(0), path).count() == 0
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two", "a <|endoftext|> b", None, "<|endoftext|><|endoftext|> é漢", "<|endoftext", "x" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op10_packing"](spark, str(tmp_path)).collect()}
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
+    assert got == {i: zlib.crc32(np.array(ids(t), "<u4").tobytes()) for i, t in enumerate(texts)} and ids(texts[1]).count(50256) == 1
+
+
 def brute_capacity(sizes, shards):
     best = [[0 if j == 0 and i == 0 else float("inf") for j in range(shards + 1)] for i in range(len(sizes) + 1)]
     best[0] = [0] * (shards + 1)
