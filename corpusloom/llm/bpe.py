@@ -3,9 +3,12 @@
 A window of documents (up to WINDOW_BYTES of text) is cut into pre-tokens, and its distinct
 pre-tokens are encoded together: an inverted index holds, for each rank, the places where a pair
 of that rank stands in any of the words. Ranks are taken in order, every place of a rank is merged,
-and only the two pairs beside a merged place are ranked anew and listed. Words of earlier windows
-are kept in a table of bounded size, so that a frequent word is replayed once in a worker. No shuffle:
-encoding is one pass over the table.
+and only the two pairs beside a merged place are ranked anew and listed. In a word that holds a rank at several
+places, all that don't overlap are merged at once, from the left; a word where a merge gives a pair of lower rank, which
+would have to go before the next place, is replayed by itself with an index in order of rank and place. Words of earlier
+windows are kept in a table of bounded size, so that a frequent word is replayed once in a worker. Words are looked up by
+one 64-bit hash and compared by a second one; should these ever disagree, the table is made anew with other
+hashes. No shuffle: encoding is one pass over the table.
 
 Cases: a null text counts as empty and has no ids; a null doc_id is carried through; repeated rows are
 encoded alike; extra columns are ignored; an empty table gives no rows; texts of any length are
@@ -24,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.shared import doc_ids, plain, slices, small_batches, span_hashes, text_buffers
+from corpusloom.llm.shared import doc_ids, plain, slices, small_batches, span_hash_pairs, text_buffers
 
 #: Text whose words are replayed together.
 WINDOW_BYTES = 24 << 20
@@ -106,6 +109,7 @@ class MergeReplay:
         made = [(ranks[x] * self.base + ranks[y], rank) for token, rank in ranks.items() for k in range(1, len(token)) if (x := token[:k]) in ranks and (y := token[k:]) in ranks]
         table = np.array(sorted(made), np.int64).reshape(-1, 2)
         self.pairs, self.pair_ranks = np.ascontiguousarray(table[:, 0]), table[:, 1].astype(np.int32)
+        self._merges = {divmod(key, self.base): rank for key, rank in made}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, NONE where the two don't merge."""
@@ -163,22 +167,34 @@ class MergeReplay:
                     index[r] = [places[a:b]]
                     heapq.heappush(queue, r)
 
+        alone: set[int] = set()  # words that are replayed by themselves
         listed(left)
         while queue:
             r = heapq.heappop(queue)
             found = index.pop(r)
             places = found[0] if len(found) == 1 else np.concatenate(found)
             places = places[paired[places] == r]
+            if len(places) > 1:
+                places = np.unique(places)
+                if alone:
+                    places = places[~np.isin(word[places], np.fromiter(alone, np.int32, len(alone)))]
             if not len(places):
                 continue
             if len(places) > 1:
-                places = np.sort(places)
-                first = np.ones(len(places), bool)
-                first[1:] = word[places[1:]] != word[places[:-1]]
-                if not first.all():  # in a word the leftmost comes first; the others are looked at again
-                    index[r] = [places[~first]]
-                    heapq.heappush(queue, r)
-                    places = places[first]
+                follows = after[places[:-1]] == places[1:]  # overlaps the place before
+                if follows.any():  # of overlapping places every other one is merged, the leftmost first
+                    at = np.arange(len(places))
+                    run = np.maximum.accumulate(np.where(np.append(True, ~follows), at, 0))
+                    places = places[(at - run) % 2 == 0]
+                several = word[places[1:]] == word[places[:-1]]
+                if several.any() and len(early := self._early(r, places, ids, after, before)):
+                    mine = word[places]
+                    shared = np.unique(mine[1:][several])
+                    if len(hard := np.intersect1d(mine[early], shared)):
+                        alone.update(hard.tolist())
+                        places = places[~np.isin(mine, hard)]
+                        if not len(places):
+                            continue
             gone = after[places]
             beyond = after[gone]
             ids[places] = r
@@ -189,14 +205,59 @@ class MergeReplay:
             before[beyond[has]] = places[has]
             paired[places] = self.NONE
             right = places[has]
-            paired[right] = self.rank(ids[right], ids[beyond[has]])
+            paired[right] = self.rank(ids[right], ids[after[right]])
             prior = before[places]
             prior = prior[prior >= 0]
             paired[prior] = self.rank(ids[prior], ids[after[prior]])
             listed(np.concatenate([right, prior]))
+        if alone:
+            begin = np.cumsum(sizes) - sizes
+            for w in sorted(alone):
+                own = self._replay_one(self.byte_ids[np.frombuffer(words[w], np.uint8)])
+                ids[begin[w] : begin[w] + sizes[w]] = -1
+                ids[begin[w] : begin[w] + len(own)] = own
         kept = ids >= 0
         return ids[kept], np.bincount(word[kept], minlength=len(words))
 
+    def _early(self, r: int, places: np.ndarray, ids: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Which of the places, merged from the left, give a pair of a rank below r."""
+        low = np.zeros(len(places), bool)
+        beyond = after[after[places]]
+        has = np.flatnonzero(beyond >= 0)
+        low[has] = self.rank(np.full(len(has), r), ids[beyond[has]]) < r
+        prior = before[places]
+        has = np.flatnonzero(prior >= 0)
+        left = ids[prior[has]]
+        joined = has > 0
+        joined[joined] = after[places[has[joined] - 1]] == prior[has[joined]]  # the place before is merged by then
+        left[joined] = r
+        low[has] |= self.rank(left, np.full(len(has), r)) < r
+        return np.flatnonzero(low)
+
+    def _replay_one(self, ids: np.ndarray) -> list[int]:
+        """The ids of one word, from those of its bytes: merges in order of rank and place."""
+        own = ids.tolist()
+        n = len(own)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        rank = self._merges
+        queue = [(r, i) for i in range(n - 1) if (r := rank.get((own[i], own[i + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i = heapq.heappop(queue)
+            j = after[i]
+            if own[i] < 0 or j < 0 or rank.get((own[i], own[j])) != r:
+                continue
+            own[i], own[j] = r, -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (new := rank.get((r, own[k]))) is not None:
+                    heapq.heappush(queue, (new, i))
+            h = before[i]
+            if h >= 0 and (new := rank.get((own[h], r))) is not None:
+                heapq.heappush(queue, (new, h))
+        return [i for i in own if i >= 0]
+
 
 def _within(counts: np.ndarray) -> np.ndarray:
     """0 to count - 1 for each count, in a row."""
@@ -204,24 +265,35 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+class Clash(Exception):
+    """Two words with one hash."""
+
+
 class WordTable:
-    """Ids of known words, looked up by the words' hashes."""
+    """Ids of known words, looked up by one hash of the word and held to a second one."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+        self.encode, self.seed = encode, 0
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.keys, self.slots, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
+    def reseed(self) -> None:
+        self.seed += 1
+        self.clear()
+
+    def missing(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.ones(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] != keys
+        known = self.keys[at] == keys
+        if (self.checks[at[known]] != checks[known]).any():
+            raise Clash
+        return ~known
 
-    def add(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
         """keys: sorted, none known."""
         if not len(keys):
             return
@@ -231,7 +303,7 @@ class WordTable:
         self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.keys, self.slots, self.checks = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots), np.insert(self.checks, at, checks)
 
     def slots_of(self, keys: np.ndarray) -> np.ndarray:
         return self.slots[np.searchsorted(self.keys, keys)]
@@ -242,8 +314,8 @@ class WordTable:
         return self.ids[np.repeat(self.starts[slots], lengths) + _within(lengths)], lengths
 
 
-def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and byte spans of the pre-tokens of a slice, and how many each row has."""
+def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans of the pre-tokens of a slice, and how many each row has."""
     text = raw.tobytes().decode("utf-8")
     lead = (raw & 0xC0) != 0x80
     if len(text) == len(raw):
@@ -255,32 +327,45 @@ def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         rows = np.concatenate([[0], np.cumsum(lead)])[offsets]
     starts = pretokens(points, rows)
     ends = np.append(starts[1:], len(points))[: len(starts)]
-    keys = span_hashes(points, starts, ends)
     counts = np.diff(np.searchsorted(starts, rows))
     if byte_at is not None:
         starts, ends = byte_at[starts], byte_at[ends]
-    return keys, starts, ends, counts
+    return starts, ends, counts
 
 
-def encode_window(columns: list[pa.Array], table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For the texts of the columns, in order: number of rows, their ids in a row and n + 1 offsets."""
-    if len(table.keys) > TABLE_WORDS:
-        table.clear()
+def _looked_up(columns: list[pa.Array], table: WordTable) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of the columns: rows, keys of its different words, each place's word and the words of each row. The table knows them then."""
     parts, new = [], {}
     for column in columns:
         raw, offsets = text_buffers(column)
         for a, b in slices(offsets):
             piece, offs = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            keys, starts, ends, counts = _cut(piece, offs)
+            starts, ends, counts = _cut(piece, offs)
+            keys, checks = span_hash_pairs(piece, starts, ends, table.seed)
             distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            for i in np.flatnonzero(table.missing(distinct)).tolist():
-                if (k := int(distinct[i])) not in new:
-                    at = first[i]
-                    new[k] = piece[starts[at] : ends[at]].tobytes()
+            if (checks != checks[first][inverse]).any():
+                raise Clash
+            for i in np.flatnonzero(table.missing(distinct, checks[first])).tolist():
+                at = first[i]
+                word, check = new.setdefault(int(distinct[i]), (piece[starts[at] : ends[at]].tobytes(), checks[at]))
+                if check != checks[at]:
+                    raise Clash
             parts.append((b - a, distinct, inverse.astype(np.int32), counts))
     order = sorted(new)
-    table.add(np.array(order, np.uint64), [new[k] for k in order])
-    del new
+    table.add(np.array(order, np.uint64), np.array([new[k][1] for k in order], np.uint64), [new[k][0] for k in order])
+    return parts
+
+
+def encode_window(columns: list[pa.Array], table: WordTable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the texts of the columns, in order: number of rows, their ids in a row and n + 1 offsets."""
+    if len(table.keys) > TABLE_WORDS:
+        table.clear()
+    parts = None
+    while parts is None:
+        try:
+            parts = _looked_up(columns, table)
+        except Clash:
+            table.reseed()
     for rows, distinct, inverse, counts in parts:
         slots = table.slots_of(distinct)[inverse] if len(distinct) else np.zeros(0, np.int32)
         ids, lengths = table.ids_of(slots)

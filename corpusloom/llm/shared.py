@@ -8,7 +8,7 @@ follows the slice and not the table.
 from __future__ import annotations
 
 import gc
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,29 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.storage import discard
+from corpusloom.operators.storage import materialized as stored
 from corpusloom.workers import importable
 
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Default of spark.checkpoint.dir where a session has none, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it back: lineage ends here, whatever executor is lost."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bounds of an Arrow batch of texts. A longer text is a batch of its own.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -57,10 +43,16 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows so that long texts don't pile up in one batch, and let workers import this package."""
+    """Bound Arrow batches by rows and bytes, so that long texts don't pile up in one, and let workers import this package.
+
+    Plans are lazy and read these settings when they run, so the session keeps them; tighter ones that it has stay.
+    """
     importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, bound in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,25 +91,10 @@ def doc_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- hashing
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 64)
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (_P, _P_INV):
-                a = np.full(size, base, np.uint64)
-                a[0] = 1
-                made.append(np.multiply.accumulate(a))
-        if size > 4 * SLICE_BYTES:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+#: Longest span, in bytes, that is hashed beside others, 8 bytes at a time.
+_BESIDE = 128
+_ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,14 +106,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[start:end], equal for equal spans wherever they stand."""
-    n = len(symbols)
-    up, down = powers(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hash_pairs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the bytes start to end of each span, equal for equal bytes wherever they stand.
+
+    Both take in 8 bytes at a time and mix all bits after each, so that no structure of the text (mirrored, alternating or
+    repeated letters) carries over to the hashes. Long spans are hashed one by one.
+    """
+    wide = np.zeros(len(raw) + 8, np.uint8)
+    wide[: len(raw)] = raw
+    lanes = np.ndarray((len(raw) + 1,), "<u8", wide.data, 0, (1,))
+    size = ends - starts
+    a = mix(size.astype(np.uint64) + _ODD[0] + np.uint64(seed))
+    b = mix(size.astype(np.uint64) ^ _ODD[1]) + np.uint64(seed)
+    long = np.flatnonzero(size > _BESIDE)
+    live = np.flatnonzero((size > 0) & (size <= _BESIDE))
+    done = 0
+    while len(live):
+        lane = lanes[starts[live] + done] & _LOW_BYTES[np.minimum(size[live] - done, 8)]
+        a[live] = mix(a[live] ^ (lane * _ODD[2]))
+        b[live] = mix((b[live] + lane) * _ODD[3])
+        done += 8
+        live = live[size[live] > done]
+    if len(long):
+        data, salt = memoryview(np.ascontiguousarray(raw)), seed.to_bytes(8, "little")
+        found = b"".join(hashlib.blake2b(data[x:y], digest_size=16, salt=salt).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        a[long], b[long] = np.frombuffer(found, "<u8").reshape(-1, 2).T
+    return a, b
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, from both of span_hash_pairs."""
+    a, b = span_hash_pairs(raw, starts, ends)
+    return mix(a + (b << np.uint64(32) | b >> np.uint64(32)))
 
 
 # ---------------------------------------------------------------- words

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -19,10 +20,11 @@ from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, language_id, license_scan, packing, perplexity, sharding, toxicity
 from corpusloom.llm.queries import QUERIES
-from corpusloom.llm.shared import text_buffers
+from corpusloom.llm.shared import span_hash_pairs, text_buffers
 
 SCHEMA = "doc_id long, text string, lang string, unit string, at string, part string"
 TEXTS = ["Hello world, it's 12 o'clock.", None, "", "  \n\n x\t", "éß漢字 ½ 😀", "a" * 3000, "don't DON'T we'll 'tis", "Hello world, it's 12 o'clock.", "<|endoftext|>"]
+TEXTS += ["".join("ab"[(i.bit_count() + k) & 1] for i in range(1024)) for k in (0, 1)]
 
 
 def frame(spark, texts, langs=None):
@@ -37,7 +39,7 @@ RANKS = bpe.load_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"
 @given(st.lists(st.text(alphabet="ab'sterl \n\té1²½.,!漢😀", max_size=40), max_size=6))
 def test_pretokens(texts):
     raw, offsets = text_buffers(pa.array(texts, pa.string()))
-    _, starts, ends, counts = bpe._cut(raw, offsets)
+    starts, ends, counts = bpe._cut(raw, offsets)
     assert [raw.tobytes()[a:b].decode() for a, b in zip(starts, ends, strict=True)] == [w for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
     assert counts.sum() == len(starts)
 
@@ -64,6 +66,45 @@ def test_merge_replay(words):
     assert counts.tolist() == [len(library.encode_ordinary(w)) for w in words]
 
 
+def alternating(n):
+    """Two words whose letters alternate by the parity of the place's bits: hashes with a linear structure take them for one."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_alternating_words():
+    for n in (2, 8, 16, 64, 128, 256, 1024, 4096):
+        raw = np.frombuffer("".join(alternating(n)).encode(), np.uint8)
+        a, b = span_hash_pairs(raw, np.array([0, n]), np.array([n, 2 * n]))
+        assert a[0] != a[1] and b[0] != b[1]
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Clashing words are told apart by the second hash, and the table starts anew with another seed."""
+    real = bpe.span_hash_pairs
+
+    def clashing(raw, starts, ends, seed=0):
+        a, b = real(raw, starts, ends, seed)
+        return (a if seed > 1 else a & np.uint64(1)), b
+
+    monkeypatch.setattr(bpe, "span_hash_pairs", clashing)
+    table = bpe.WordTable(bpe.MergeReplay(RANKS))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    texts = ["one two three four five six seven", "eight nine", ""]
+    (_, ids, ends), *_ = bpe.encode_window([pa.array(texts)], table)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library.encode_ordinary(t) for t in texts] and table.seed == 2
+
+
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "ab" * 50_000, "banana ing the" * 5_000, "".join(random.Random(3).choice("abnei") for _ in range(100_000))])
+def test_long_words(word):
+    """Time grows with length, not with its square."""
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    began = time.monotonic()
+    ids, counts = bpe.MergeReplay(RANKS)([word.encode()])
+    assert time.monotonic() - began < 30
+    assert ids.tolist() == library._core_bpe.encode_single_piece(word.encode()) and counts.tolist() == [len(ids)]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
