@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import stored
+from corpusloom.llm.shared import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break

@@ -22,8 +22,8 @@ FLUSH_ENTRIES = 1_500_000
 #: Stands for "several owners" beside a feature; no owner has it.
 SEVERAL = 0
 
-SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), ("owner2", pa.int64()), ("features", pa.binary()), ("owners", pa.binary()), ("runs", pa.binary()), ("credit", pa.int64()), ("sample", pa.binary())])
-SCHEMA_SQL = "bucket int, doc_id long, n long, owner long, owner2 long, features binary, owners binary, runs binary, credit long, sample binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), ("owner2", pa.int64()), ("mark", pa.int64()), ("features", pa.binary()), ("owners", pa.binary()), ("runs", pa.binary()), ("credit", pa.int64()), ("sample", pa.binary())])
+SCHEMA_SQL = "bucket int, doc_id long, n long, owner long, owner2 long, mark long, features binary, owners binary, runs binary, credit long, sample binary"
 
 
 def record(**columns) -> pa.RecordBatch:

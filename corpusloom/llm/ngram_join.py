@@ -14,12 +14,16 @@ hash), and only as far as sizes allow a link:
    their heads: there the sets meet in one product, or in bounded blocks of it. A block adds up overlaps over all
    columns, drops the cells below the bound that sizes give, and returns no more links than connect what is left,
    never all pairs.
+3. A head with more sets than a block holds meets each of them first, in as many blocks as it takes: sets that link
+   with it are one component, whatever links there are between them. Only the others need the product, with each other and
+   with those that link, in bounded pairs of blocks.
 
 Links are then contracted into components.
 
 Cases: a null or wordless text has the empty set and links with nothing; fewer words than n make one
 n-gram of the whole sequence; a null doc_id is reported with a null component and links with nothing;
-rows that repeat a doc_id are one vertex; extra columns are ignored; an empty table gives no rows.
+rows that repeat a doc_id are one document to `components`, with the links of all their texts, and rows each by itself to
+`distinct`; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +39,15 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.components import connected
 from corpusloom.llm.incidence import COLUMN_BYTES, SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, runs_of, to_bytes
-from corpusloom.llm.shared import LOWER, mix, plain, release, shuffle_partitions, slices, small_batches, span_hashes, stored, text_buffers, words_of
+from corpusloom.llm.shared import LOWER, discard, mix, partitions_for, plain, release, salted_join, slices, small_batches, span_hashes, stored, text_buffers, words_of
 
 WORDS = 5
 #: Entries and sets of one block of the product, about, and how many sets make a column dense.
-BLOCK_GRAMS = 300_000
-BLOCK_SETS = 1000
+BLOCK_GRAMS = 120_000
+BLOCK_SETS = 400
+#: Sets that meet their head in one block, and blocks for which the head's set travels once.
+STAR_SETS = 100
+STAR_BLOCKS = 1000
 DENSE_FROM = 6
 DENSE_COLUMNS = 2048
 #: Similarity in hundredths from which two texts link.
@@ -102,22 +109,29 @@ def _incidence(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
                         got.add(grams[: prefix_length(size, size // 5 + 1, percent)], one)
                 if got.full():
                     yield from got.flush()
-            yield record(bucket=np.arange(len(counts), dtype=np.int32) % buckets, doc_id=b.column("doc_id"), n=counts, owner=owner, owner2=owner2)
+            yield record(bucket=np.arange(len(counts), dtype=np.int32) % buckets, doc_id=b.column("doc_id"), mark=b.column("mark"), n=counts, owner=owner, owner2=owner2)
         yield from got.flush()
 
     return docs.mapInArrow(run, SCHEMA_SQL)
 
 
 def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
+    """node, n, weight and grams of the texts whose set is that of their class (owner, owner2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffers(b.column("text"))
-            sets = []
+            owners = list(zip(b.column("owner").to_pylist(), b.column("owner2").to_pylist(), strict=True))
+            sets, rows = [], []
             for x, y in slices(offsets):
-                sets += [g.view(np.int64) for g in shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n)]
+                for i, grams in enumerate(shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n), x):
+                    if _set_key(grams) == owners[i]:
+                        sets.append(grams.view(np.int64))
+                        rows.append(i)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), b.column("weight"), grams], names=["node", "n", "weight", "grams"])
+            kept = pa.array(rows, pa.int32())
+            yield pa.record_batch([b.column("node").take(kept), pa.array(np.diff(ends), pa.int64()), b.column("weight").take(kept), grams], names=["node", "n", "weight", "grams"])
 
     return docs.mapInArrow(run, "node long, n long, weight double, grams array<long>")
 
@@ -254,25 +268,57 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     return out
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members (head, node, n) with `block`: the pieces of the product that a set takes part in.
-
-    A head's sets are one block up to BLOCK_GRAMS. Beyond, they are dealt by size class (sizes a quarter apart) and hash, and
-    only blocks of the same or neighbouring classes meet, as others can't be similar enough.
+def _sized(members: DataFrame, rows: int) -> DataFrame:
+    """members (head, node, n) with their head's `total` weight; heads with one member go."""
+    weight = F.greatest(F.col("n"), F.lit(max(1, BLOCK_GRAMS // BLOCK_SETS)))  # so that small sets are no more than BLOCK_SETS
+    totals = members.groupBy("head").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("m"))
+    return salted_join(members.withColumn("weight", weight), totals, ["head"], "m", F.xxhash64("node"), rows).filter("m > 1").drop("m")
+
+
+def _met(table: pa.Table, percent: int) -> pa.Table:
+    """head, node and whether they link, of one block; the head's set is the row whose node is the head."""
+    nodes, head = table["node"].to_numpy(), table["head"][0].as_py()
+    grams = table["grams"].combine_chunks()
+    sets = [np.asarray(g.values) for g in grams]
+    own = sets[int(np.flatnonzero(nodes == head)[0])]
+    rows = np.flatnonzero(nodes != head)
+    both = np.array([np.isin(sets[i], own, assume_unique=True).sum() for i in rows], np.int64)
+    size = np.array([len(sets[i]) for i in rows], np.int64)
+    return pa.table({"head": pa.array(np.full(len(rows), head)), "node": pa.array(nodes[rows]), "linked": pa.array(both * 100 >= (size + len(own) - both) * percent)})
+
+
+def _stars(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """head, node, n, weight and linked, for the members of large heads other than the head."""
+    count = F.ceil(F.col("m") / STAR_SETS).cast("int").alias("k")
+    heads = large.groupBy("head").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("m")).select("head", count)
+    own = heads.join(sets.select(F.col("node").alias("head"), "grams"), "head")
+    # a head of very many blocks is copied in two steps, so that no task makes all copies
+    spread = own.select("head", "grams", "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / STAR_BLOCKS).cast("int"))).alias("part")).repartition("head", "part")
+    first = F.col("part") * STAR_BLOCKS
+    copies = spread.select("head", F.explode(F.sequence(first, F.least(first + STAR_BLOCKS, F.col("k")) - 1)).alias("block"), F.col("head").alias("node"), "grams")
+    others = salted_join(large.filter("head <> node").select("head", "node"), large.groupBy("head").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.ceil(F.col("m") / STAR_SETS).cast("int")), ["head"], "m", F.xxhash64("node"), max(1, large.count()))
+    dealt = others.select("head", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), "node").join(sets.select("node", "grams"), "node").select("head", "block", "node", "grams")
+    return dealt.unionByName(copies).groupBy("head", "block").applyInArrow(lambda table: _met(table, percent), "head long, node long, linked boolean")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """head, node, block: the pieces of the product that a set takes part in. rest: head, node, n, weight, linked (with the head).
+
+    A head's sets are dealt by size class (sizes a quarter apart) and hash, those that link with it apart. Only blocks of the same
+    or neighbouring classes meet, as others can't be similar enough, and never two blocks of sets that link with the head.
     """
-    weight = F.greatest(F.col("n"), F.lit(BLOCK_GRAMS // BLOCK_SETS))  # so that small sets are no more than BLOCK_SETS
-    totals = members.groupBy("head").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = members.join(totals, "head")
-    small = rows.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
-    large = rows.filter(F.col("total") > BLOCK_GRAMS).withColumn("s", F.floor(F.log("n") / float(np.log(1.25))).cast("int"))
-    classes = large.groupBy("head", "s").agg(F.ceil(F.sum(weight) * 2 / BLOCK_GRAMS).cast("int").alias("k"))
-    near = classes.select("head", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"), F.struct("s", "k").alias("other"))
-    near = near.groupBy("head", "s").agg(F.collect_list("other").alias("others"))  # three at most
-    dealt = large.join(classes, ["head", "s"]).join(near, ["head", "s"])
-    own = F.format_string("%d.%d", F.col("s"), F.pmod(F.xxhash64("node"), F.col("k")))
-    others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["k"] - 1), lambda r: F.format_string("%d.%d", o["s"], r))))
+    keys = ["head", "linked", "s"]
+    rows = rest.withColumn("s", F.floor(F.log("n") / float(np.log(1.25))).cast("int"))
+    classes = rows.groupBy(keys).agg(F.ceil(F.sum("weight") * 2 / BLOCK_GRAMS).cast("int").alias("k"), F.count(F.lit(1)).alias("m"))
+    near = classes.select("head", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"), F.struct("linked", "s", "k").alias("other"))
+    near = near.groupBy("head", "s").agg(F.collect_list("other").alias("others"))  # six at most
+    dealt = salted_join(rows, classes.join(near, ["head", "s"]), keys, "m", F.xxhash64("node"), max(1, rest.count()))
+    name = lambda linked, s, j: F.format_string("%s.%d.%d", linked, s, j)
+    own = name(F.col("linked"), F.col("s"), F.pmod(F.xxhash64("node"), F.col("k")))
+    met = F.filter("others", lambda o: ~(o["linked"] & F.col("linked")))
+    others = F.flatten(F.transform(met, lambda o: F.transform(F.sequence(F.lit(0), o["k"] - 1), lambda r: name(o["linked"], o["s"], r))))
     pairs = dealt.select("head", "node", own.alias("own"), F.explode(others).alias("other"))
-    return small.unionAll(pairs.select("head", "node", F.concat_ws(" ", F.least("own", "other"), F.greatest("own", "other")).alias("block")))
+    return pairs.select("head", "node", F.concat_ws(" ", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
 
 
 def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,22 +332,47 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return blocks.join(sets.select("node", "grams"), "node").groupBy("head", "block").applyInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_size (documents with an equal set)."""
+def _linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that connect the members (head, node, n) of all heads."""
+    sized = stored(_sized(members, max(1, members.count())), "sized")
+    small = sized.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
+    large = sized.filter(F.col("total") > BLOCK_GRAMS)
+    links = _links(small, sets, percent)
+    if large.isEmpty():
+        links = stored(links, "links")
+        discard(sized)
+        return links
+    met = stored(_stars(large, sets, percent), "met")
+    links = links.unionAll(met.filter("linked").select(F.col("head").alias("u"), F.col("node").alias("v")))
+    done = [sized, met]
+    if not met.filter("not linked").isEmpty():
+        rest = stored(large.join(met, ["head", "node"]).select("head", "node", "n", "weight", "linked"), "rest")
+        links = links.unionAll(_links(_blocks(rest), sets, percent))
+        done.append(rest)
+    links = stored(links, "links")
+    discard(*done)
+    return links
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, mark (a hash of the text), n, class_size, and `first`: doc_id and mark of the first document of
+    its component, or null where there is no set or no doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = plain(docs)
-    buckets = shuffle_partitions(spark)
-    counted = stored(exchanged(_incidence(texts, n, percent, buckets), buckets, False).select("doc_id", "n", "owner", "owner2", "credit"), "incidence")
+    texts = plain(docs).withColumn("mark", F.xxhash64("text"))
+    buckets = partitions_for(docs)
+    counted = stored(exchanged(_incidence(texts, n, percent, buckets), buckets, False).select("doc_id", "mark", "n", "owner", "owner2", "credit"), "incidence")
     release(spark)
-    stats = counted.filter("n is not null").select("doc_id", "n", "owner", "owner2")
+    stats = counted.filter("n is not null").select("doc_id", "mark", "n", "owner", "owner2")
     keys = ["owner", "owner2"]
-    classes = stats.filter("owner is not null and doc_id is not null").groupBy(keys).agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
+    usable = stats.filter("owner is not null and doc_id is not null")
+    classes = usable.groupBy(keys).agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"))
     credits = counted.filter("credit is not null").groupBy("owner").agg(F.sum("credit").alias("credit"))
     left = classes.join(credits, "owner").filter("credit >= greatest(1, n div 5)")
-    left = left.groupBy("node").agg(F.max(F.col("credit") / F.col("n")).alias("weight"))
-    survivors = stored(left, "survivors")
-    chosen = texts.join(survivors.hint("shuffle_hash"), texts["doc_id"] == survivors["node"]).drop("node")
+    left = left.select(F.monotonically_increasing_id().alias("node"), *keys, "first", (F.col("credit") / F.col("n")).alias("weight"))
+    survivors = stored(left, "survivors")  # which fixes the nodes' numbers
+    wanted = survivors.select("node", *keys, "weight", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
+    chosen = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("text", "node", *keys, "weight")
     sets = stored(_whole_sets(chosen, n).dropDuplicates(["node"]), "sets")
     release(spark)
 
@@ -312,11 +383,39 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     live = F.sum("columns").over(Window.partitionBy("node"))
     members = shared.withColumn("upto", upto).withColumn("live", live).filter(F.col("live") * 100 >= F.col("n") * percent)
     members = stored(members.filter(F.col("upto") * 200 >= F.col("n") * percent).select("head", "node", "n"), "members")
-    links = stored(_links(_blocks(members), sets, percent), "links")
-    rooted = stored(connected(links), "rooted")
-
-    found = classes.join(rooted, "node", "left").select(*keys, "class_size", F.coalesce("component", "node").alias("component"))
-    return stats.join(found, keys, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-    )
+    links = _linked_sets(members, sets, percent)
+    rooted = stored(connected(links), "rooted").join(survivors, "node")
+    discard(sets, members, links)
+    least = rooted.groupBy("component").agg(F.min("first").alias("least"))
+    joined = rooted.join(least, "component").select(*keys, "least")
+    found = stored(classes.join(joined, keys, "left").select(*keys, "class_size", F.coalesce("least", "first").alias("first")), "classes")
+    total = max(1, stats.count())
+    grouped = salted_join(usable, found, keys, "class_size", F.xxhash64("doc_id", "mark"), total).select("doc_id", "mark", "n", "class_size", "first")
+    lone = stats.filter("owner is null or doc_id is null").select("doc_id", "mark", "n", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("struct<doc_id:long,mark:long>").alias("first"))
+    return grouped.unionByName(lone)
+
+
+def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_size (documents with an equal set)."""
+    rows = _grouped(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "class_size")
+    rows = stored(rows, "grouped")
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("one"), F.max("component_id").alias("two")).filter("one < two")
+    several = stored(several, "several")  # documents whose rows are in several components join these
+    if several.isEmpty():
+        return rows
+    edges = rows.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    joined = connected(edges.distinct()).select(F.col("node").alias("component_id"), "component")
+    found = rows.join(joined, "component_id", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"), "class_size")
+
+
+def distinct(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents that stay, all their columns as they are: of each group of near copies the first by doc_id.
+
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id with other texts are judged each by itself, and rows that repeat both stay
+    together. Rows without a doc_id or a word stay.
+    """
+    away = _grouped(docs, n, percent).filter("first is not null and not (first.doc_id = doc_id and first.mark = mark)")
+    away = away.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = (docs["doc_id"].cast("long") == away["__id"]) & (F.xxhash64(docs["text"].cast("string")) == away["__mark"])
+    return docs.join(away, same, "left_anti")

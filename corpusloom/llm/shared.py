@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.storage import discard
@@ -33,8 +33,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of input, as Spark estimates them, for each partition of an exchange that a task holds in memory.
+PARTITION_BYTES = 64 << 20
+#: A key is hot from this part of all rows; so there are no more hot keys than this.
+HOT_KEYS = 4000
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def partitions_for(df: DataFrame) -> int:
+    """As many partitions as the session's setting, or more for a large input (whose size in bytes Spark may not know)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = shuffle_partitions(df.sparkSession)
+    return least if size >= 1 << 60 else max(least, -(-size // PARTITION_BYTES))
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: Column, total: int) -> DataFrame:
+    """rows joined with their group. groups: a row for each key, with its rows in `count`, which add up to total; read twice.
+
+    The rows of a hot key are dealt over several salts by `spread`, and its group goes to each of them, so that
+    no task gets more than about 1 / HOT_KEYS of all rows for one key. Hot keys are HOT_KEYS at most, which bounds what is broadcast.
+    """
+    pieces = F.ceil(F.col(count) * HOT_KEYS / F.lit(max(1, total)))
+    hot = groups.filter(F.col(count) * HOT_KEYS >= total).select(*keys, pieces.cast("int").alias("__pieces"))
+    salt = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(spread, F.col("__pieces"))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__pieces")
+    spread_out = groups.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return dealt.join(spread_out, [*keys, "__salt"]).drop("__salt")
 
 
 def plain(docs: DataFrame) -> DataFrame:

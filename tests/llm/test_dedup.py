@@ -97,10 +97,12 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK_GRAMS, 400])
-def test_ngram_join(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "star"), [(ngram_join.BLOCK_GRAMS, 100), (400, 100), (400, 3)])
+def test_ngram_join(spark, rows, monkeypatch, block, star):
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", max(1, block // 60))
+    monkeypatch.setattr(ngram_join, "STAR_SETS", star)
+    monkeypatch.setattr(ngram_join, "STAR_BLOCKS", 2)
     got = ngram_join.components(frame(spark, rows)).collect()
     named = [(i, shingles(t)) for i, t in rows if i is not None]
     links = [(a, b) for a, x in named for b, y in named if a < b and 100 * len(x & y) >= 80 * len(x | y) and x]
@@ -112,6 +114,46 @@ def test_ngram_join(spark, rows, monkeypatch, block):
 
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.components(frame(spark, []).limit(0)).count() == 0
+    assert ngram_join.distinct(frame(spark, []).limit(0)).count() == 0
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """A doc_id with several texts has the links of all; `distinct` judges each row by itself."""
+    make = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    edit = lambda t: t + " more"
+    rows = [(5, make(1)), (5, make(2)), (3, edit(make(2))), (9, edit(make(1))), (8, make(3)), (8, make(4)), (None, make(1)), (None, make(4)), (11, make(6)), (11, make(6))]
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.components(frame(spark, rows)).collect())
+    assert got == [(0, None), (0, None), (3, 3), (5, 3), (5, 3), (8, 8), (8, 8), (9, 3), (11, 11), (11, 11)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.distinct(frame(spark, rows)).collect())
+    assert kept == sorted([(0, make(1)), (0, make(4)), (3, edit(make(2))), (5, make(1)), (8, make(3)), (8, make(4)), (11, make(6)), (11, make(6))])
+
+
+def test_ngram_join_of_alternating_words(spark):
+    """Words that a hash with a linear structure takes for one."""
+    word = lambda i, k: "".join("ab"[(j.bit_count() + k) & 1] for j in range(1024)) + f"{i}"
+    rows = [(k, " ".join(word(i, k) for i in range(20))) for k in (0, 1)]
+    assert sorted(tuple(r)[:3] for r in ngram_join.components(frame(spark, rows)).collect()) == [(0, 16, 0), (1, 16, 1)]
+
+
+def test_a_head_of_many_sets(spark, monkeypatch):
+    """A third of all rows are near copies of each other, with some that link only among themselves or by way of others."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 1000)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    monkeypatch.setattr(ngram_join, "STAR_SETS", 7)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"e{rng.randint(0, 40)}"
+        texts.append(" ".join(words) if i % 3 else " ".join(f"u{i}x{j}" for j in range(40)))
+    rows = list(enumerate(texts))
+    named = [(i, shingles(t)) for i, t in rows]
+    links = [(a, b) for a, x in named for b, y in named if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    expected = roots(range(150), links)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(frame(spark, rows)).collect()} == expected
+    assert 50 < len(set(expected.values())) < 110
 
 
 def test_overlaps():
