@@ -1,15 +1,16 @@
 """Language identification of words by a linear-chain conditional random field.
 
-The words of a line are a chain. A word's features are its prefixes and suffixes of 1 to 3 bytes, its n-grams
-of 2 and 3 bytes, all hashed to 2**FEATURE_BITS columns, and its entry in a lexicon of the training texts' most
+The words of a line are a chain. A word's features are its prefixes and suffixes of 1 to 3 characters, its n-grams
+of 2 and 3 characters, all hashed to 2**FEATURE_BITS columns, and its entry in a lexicon of the training texts' most
 frequent words; learned transitions join neighbours, so a word that says little takes its neighbours'
 language, while a switch inside a line can still pay. Forward-backward gives each word's probabilities, whose mean over
 a text is the text's answer. Training maximises the likelihood of lines, of which a part is spliced
 from two languages to show switches.
 
-The field is fitted on a bounded sample of labelled documents (about DOCS_PER_LANGUAGE of each of at most
-MAX_LANGUAGES languages, by hash of doc_id), and then labels every word of every document in one pass. The model's
-size is fixed by these bounds. Distinct words of a slice have their features made once.
+The field is fitted on a bounded sample of labelled documents: of every language the DOCS_PER_LANGUAGE with the least hash of
+doc_id, of each at most SAMPLE_CHARS characters, from a place that the hash gives, and LINES_PER_LANGUAGE lines. Lines
+beyond CHAIN_WORDS words are several chains in training. The field then labels every word of every document, in whole lines, in one
+pass. It takes about 0.14 MB for each language. A task keeps the scores of up to KNOWN_WORDS different words.
 
 Cases: a null text, or one without any letter, gets `und` and score 0; without labelled documents every text does;
 null ids are never learned from; ties go to the language that sorts first; repeated rows
@@ -24,17 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.shared import LOWER, mix, plain, slices, small_batches, span_hashes, spans_of, text_buffers
 from corpusloom.llm.toxicity import held_out
 
 FEATURE_BITS = 15
 DOCS_PER_LANGUAGE = 150
-MAX_LANGUAGES = 64
-#: Longest text that the sample takes, in bytes; it bounds the sample's size, not what is labelled.
-SAMPLE_TEXT_BYTES = 20_000
+#: Characters of a text that the sample takes; they bound the sample's size, not what is labelled.
+SAMPLE_CHARS = 20_000
+LINES_PER_LANGUAGE = 1500
+CHAIN_WORDS = 80
 LEXICON_WORDS = 2000
-TRAIN_LINES = 6000
+#: Different words whose scores a task keeps at once.
+KNOWN_WORDS = 400_000
+#: Bytes of weights that a broadcast may have; more languages than fit are an error.
+FIELD_BYTES = 1 << 31
 EPOCHS = 3
 BATCH_LINES = 64
 UNDETERMINED = "und"
@@ -53,21 +59,23 @@ def _has_letter(raw: np.ndarray) -> bool:
 def word_columns(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the words' features in a row, word by word, and n + 1 bounds. raw: in lower case."""
     n = len(starts)
-    size = ends - starts
+    char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character begins
+    first, last = np.searchsorted(char, starts), np.searchsorted(char, ends)
+    size = last - first
     owners, columns = [], []
 
     def take(kind: int, which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         owners.append(which)
-        columns.append((mix(span_hashes(raw, a, b) + np.uint64(kind)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
+        columns.append((mix(span_hashes(raw, char[a], char[b]) + np.uint64(kind)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
 
     for k in (1, 2, 3):
         which = np.flatnonzero(size >= k)
-        take(k, which, starts[which], starts[which] + k)
-        take(16 + k, which, ends[which] - k, ends[which])
+        take(k, which, first[which], first[which] + k)
+        take(16 + k, which, last[which] - k, last[which])
     for k in (2, 3):
         many = np.maximum(size - k + 1, 0)
         which = np.repeat(np.arange(n), many)
-        at = np.repeat(starts, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(first, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
         take(32 + k, which, at, at + k)
     owners, columns = np.concatenate(owners), np.concatenate(columns)
     order = np.argsort(owners, kind="stable")
@@ -87,15 +95,36 @@ class Field:
         at = np.minimum(np.searchsorted(self.lexicon, keys), len(self.lexicon) - 1)
         return np.where(self.lexicon[at] == keys, (1 << FEATURE_BITS) + at, len(self.weights) - 1)
 
+    def word_scores(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Scores of each language for each of some words; raw in lower case."""
+        columns, bounds = word_columns(raw, starts, ends)
+        scores = self.weights[self.lexicon_rows(keys)]
+        return scores + np.add.reduceat(self.weights[columns], bounds[:-1], axis=0) if len(columns) else scores
+
+
+class KnownWords:
+    """The scores of a task's words, each made once while it is kept."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.field.languages)))
+
     def emissions(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Scores of each language for each word; raw in lower case."""
-        keys = span_hashes(raw, starts, ends)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        columns, bounds = word_columns(raw, starts[first], ends[first])
-        scores = self.weights[self.lexicon_rows(distinct)]
-        if len(columns):
-            scores = scores + np.add.reduceat(self.weights[columns], bounds[:-1], axis=0)
-        return scores[inverse]
+        if len(self.keys) > KNOWN_WORDS:
+            self.clear()
+        distinct, first, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.append(self.keys, np.uint64(0))[at] == distinct
+        known[at == len(self.keys)] = False
+        new = first[~known]
+        if len(new):
+            made = self.field.word_scores(raw, starts[new], ends[new], distinct[~known])
+            self.keys, self.scores = np.insert(self.keys, at[~known], distinct[~known]), np.insert(self.scores, at[~known], made, axis=0)
+        return self.scores[np.searchsorted(self.keys, distinct)][inverse]
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -158,8 +187,9 @@ def fit(examples: list[tuple[str, bytes]], seed: int = 7) -> Field:
         seen.append(keys)
         buffers.append(raw)
         for a, b in zip(rows.tolist(), rows[1:].tolist(), strict=False):
-            if b > a:
-                lines.append((languages.index(lang), len(buffers) - 1, starts[a : min(b, a + 80)], ends[a : min(b, a + 80)]))
+            for u in range(a, b, CHAIN_WORDS):
+                v = min(b, u + CHAIN_WORDS)
+                lines.append((languages.index(lang), len(buffers) - 1, starts[u:v], ends[u:v]))
     words, counts = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
     lexicon = np.sort(words[np.argsort(-counts, kind="stable")[:LEXICON_WORDS]])
     size = (1 << FEATURE_BITS) + len(lexicon) + 1
@@ -167,7 +197,12 @@ def fit(examples: list[tuple[str, bytes]], seed: int = 7) -> Field:
     field = Field(languages, lexicon, weights, transitions)
     if k > 1 and lines:
         rng.shuffle(lines)
-        lines = lines[:TRAIN_LINES]
+        taken, chosen = [0] * k, []
+        for line in lines:
+            taken[line[0]] += 1
+            if taken[line[0]] <= LINES_PER_LANGUAGE:
+                chosen.append(line)
+        lines = chosen
         made = [(word_columns(buffers[i], a, b), field.lexicon_rows(span_hashes(buffers[i], a, b)), np.full(len(a), lang)) for lang, i, a, b in lines]
         g2, t2 = np.full((size, k), 1e-6), np.full((k, k), 1e-6)
         for _ in range(EPOCHS):
@@ -223,30 +258,41 @@ def _step(field: Field, chains: list, g2: np.ndarray, t2: np.ndarray, rate: floa
 
 
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(language, text) of about per_language documents of each language that may be learned from."""
+    """(language, text) of per_language documents of each language that may be learned from, those with the least hash of doc_id and text.
+
+    A first pass counts each language's documents; those whose hash lies below a bound that twice as many as wanted should lie under
+    are then ordered within each language, so no window holds more than about that many.
+    """
     from_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = from_.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out()).filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (draw < int(1_000_000 * per_language / r["count"]) + 1))
-    rows = usable.filter(wanted).select("lang", "text").limit(2 * per_language * len(counts)).toLocalIterator()
-    return sorted((r["lang"], r["text"].encode()) for r in rows)
+    usable = from_.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
+    counts = [(r["lang"], -(2.0**63) + 2.0**64 * min(1.0, 2.0 * per_language / r["n"])) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    _fits(len(counts))
+    bounds = docs.sparkSession.createDataFrame(counts, "lang string, bound double")  # as many languages as a field holds, at most
+    near = usable.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(bounds), "lang").filter(F.col("h").cast("double") <= F.col("bound"))
+    start = F.pmod(F.col("h"), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = near.select("lang", "h", "doc_id", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    rows = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    return sorted((r["lang"], r["text"].encode()) for r in rows.select("lang", "text").toLocalIterator())
+
+
+def _fits(languages: int) -> None:
+    size = 4 * languages * ((1 << FEATURE_BITS) + LEXICON_WORDS + 1)
+    if size > FIELD_BYTES:
+        raise ValueError(f"{languages} languages make a field of {size} bytes, more than {FIELD_BYTES}")
 
 
 def label(docs: DataFrame, field: Field, words: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words, n_switches; with words also word_langs, each word's language."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(field)  # bounded by FEATURE_BITS, LEXICON_WORDS and MAX_LANGUAGES
+    _fits(len(field.languages))
+    shared = spark.sparkContext.broadcast(field)
     names = ["doc_id", "lang_pred", "score", "n_words", "n_switches"] + ["word_langs"] * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        k = len(model.languages)
+        known, k = KnownWords(model), len(model.languages)
         for b in batches:
             raw_all, offsets = text_buffers(b.column("text"))
             out: list[tuple] = []
@@ -257,7 +303,7 @@ def label(docs: DataFrame, field: Field, words: bool = False) -> DataFrame:
                 lengths = np.diff(lines)
                 n = len(starts)
                 if n and k:
-                    both = marginals(model.emissions(raw, starts, ends), lengths[lengths > 0], model.transitions)
+                    both = marginals(known.emissions(raw, starts, ends), lengths[lengths > 0], model.transitions)
                     best = both.argmax(1)
                     total = np.concatenate([np.zeros((1, k)), np.cumsum(both, axis=0)])
                 rows = np.searchsorted(starts, offs).tolist()

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpusloom.llm import bpe, language_id, license_scan, packing, perplexity, sharding, toxicity
+from corpusloom.llm import bpe, language_id, license_scan, licenses, packing, perplexity, sharding, toxicity
 from corpusloom.llm.queries import QUERIES
 from corpusloom.llm.shared import span_hash_pairs, text_buffers
 
@@ -281,22 +281,84 @@ def test_perplexity_reads_every_script(spark, monkeypatch):
 
 
 def test_licenses(spark):
-    mit = license_scan.TEMPLATES["mit"][0]
-    texts = [
-        "The MIT License, and the Apache-License; GNU General Public License. MIT LICENSE", None, "", "permit license general public",
-        "x " + mit.replace(" ", ",\n").upper() + " y", mit.replace("charge", "cost"), "Licensed under CC BY-NC 4.0.", "Licensed under a CC BY 4.0", "Copyright 2020 Some One. All rights reserved.", "licensed under the terms of the GNU Lesser General Public License, version 3", "mit  licensed",
+    mit, warranty = (license_text(t) for t in licenses.TEXTS["mit"])
+    cases = [
+        ("The MIT License, and the Apache-License; GNU General Public License. MIT LICENSE", "apache,gpl,mit", 0.75),
+        (None, "", 0.0), ("", "", 0.0), ("permit license general public", "", 0.0),
+        ("x " + mit.replace(" ", ",\n").upper() + " y", "mit", 1.0), (mit.replace("charge", "cost"), "", 0.0), (warranty, "mit", 1.0),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc", 0.75), ("Licensed under a CC BY 4.0", "cc-by", 0.75), ("mit  licensed", "", 0.0),
+        ("Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc", 0.75), ("Creative Commons Attribution 4.0 International License", "cc-by", 0.75),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "cc-by-nc-sa", 0.75), ("CC BY-NC-ND 4.0", "cc-by-nc-nd", 0.75),
+        ("GNU Affero General Public License", "agpl,gpl", 0.75), ("under the GNU Lesser General Public License, version 3", "gpl,lgpl", 0.75), ("a General Public License", "gpl", 0.5),
+        ("Copyright 2020 Some One. All rights reserved.", "all-rights-reserved", 0.75), (license_text(licenses.TEXTS["unlicense"][0]), "unlicense", 1.0),
+        (license_text(licenses.TEXTS["bsd-3-clause"][0]), "bsd,bsd-3-clause", 1.0), (license_text(licenses.TEXTS["bsd-2-clause"][0]), "bsd,bsd-2-clause", 1.0),
+        (license_text(licenses.TEXTS["zlib"][0]), "zlib", 1.0), ("filler words " * 20_000 + "This is free and unencumbered software released into the public domain.", "unlicense", 1.0),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl,gpl", 1.0),
     ]
-    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = [(i, t, "x", 1.0) for i, (t, _, _) in enumerate(cases)]
+    frame = spark.createDataFrame([*rows, (None, "The MIT License", "y", 2.0), rows[0]], "doc_id long, text string, labels string, score double")
+    listed = license_scan.scan(frame).collect()
+    assert len(listed) == len(cases) + 2 and [r["labels"] for r in listed if r["doc_id"] is None] == ["mit"]
+    got = {r["doc_id"]: r for r in listed}
     first = got[0]
     assert (first["n_words"], first["n_base"], first["first_word"], first["last_word"], first["base_labels"]) == (13, 4, 1, 11, "apache,gpl,mit")
-    assert [got[i]["labels"] for i in range(1, len(texts))] == ["", "", "", "mit", "", "cc-by-nc", "cc-by", "proprietary", "gpl", ""]
-    assert (got[1]["n_words"], got[1]["first_word"], got[1]["score"], got[4]["score"]) == (0, None, 0.0, 1.0)
+    assert [(got[i]["labels"], got[i]["score"]) for i in range(len(cases))] == [c[1:] for c in cases]
+    assert license_scan.scan(frame.limit(0)).count() == 0
+
+
+def license_text(template, rng=None):
+    """A text that the template accepts; its regions are kept, or settled by rng."""
+    def sequence(i):
+        out = []
+        while i < len(tokens) and tokens[i] not in ("]]", "))", "|"):
+            if tokens[i] == "[[":
+                inner, i = sequence(i + 1)
+                out += inner if rng is None or rng.random() < 0.5 else []
+            elif tokens[i] == "((":
+                parts = []
+                while tokens[i] != "))":
+                    inner, i = sequence(i + 1)
+                    parts.append(inner)
+                out += parts[0] if rng is None else rng.choice(parts)
+            elif tokens[i].startswith("<<"):
+                out += ["any"] * (2 if rng is None else rng.randint(0, int(tokens[i][2:-2])))
+            else:
+                out.append(tokens[i])
+            i += 1
+        return out, i
+
+    tokens = license_scan._tokens(template)
+    return " ".join(sequence(0)[0])
+
+
+def license_rule(template):
+    """The template as a regular expression over words with a space behind each."""
+    marks = {"[[": "(?:", "]]": ")?", "((": "(?:", "))": ")", "|": "|"}
+    return re.compile("(?:^|(?<= ))(?:" + "".join(marks.get(t) or (rf"(?:\S+ ){{0,{t[2:-2]}}}" if t.startswith("<<") else f"{t} ") for t in license_scan._tokens(template)) + ")")
+
+
+def test_templates_against_regular_expressions():
+    rng = random.Random(8)
+    every = [t for kind in (licenses.TEXTS, licenses.NOTICES) for texts in kind.values() for t in texts]
+    rules = [(license_scan.Automaton(t), license_rule(t)) for t in every]
+    seen = collections.Counter()
+    for template in every:
+        for _ in range(6):
+            words = license_text(template, rng).split()
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randint(0, 1)] = [rng.choice(("the", "license", "any", "gnu", "version"))]
+            words = ["so", *words, "end"]
+            for automaton, rule in rules:
+                found = any(automaton.accepts(words[k:]) for k in range(len(words)))
+                assert found == bool(rule.search(" ".join(words) + " ")), (template, words)
+                seen[found] += 1
+    assert seen[True] > 200 and seen[False] > 5000
 
 
 def test_automaton():
     a = license_scan.Automaton("a [[b c]] <<2>> d")
-    code = {w: license_scan.word_hash(w) for w in "abcdx"}
-    accepts = lambda text: a.accepts([code[w] for w in text])
+    accepts = lambda text: a.accepts(list(text))
     assert [accepts(t) for t in ("ad", "abcd", "axd", "axxd", "abcxxd", "axxxd", "abd", "adx", "a", "abcxd")] == [True, True, True, True, True, False, True, True, False, True]
 
 
@@ -324,6 +386,17 @@ def test_toxicity(spark):
     assert toxicity.classify(docs, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abAB c1.\né漢", max_size=60), max_size=6), st.integers(0, 5))
+def test_scores_follow_the_features(texts, seed):
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(size=1 << toxicity.FEATURE_BITS) * (rng.random(1 << toxicity.FEATURE_BITS) < 0.5)
+    model = toxicity.Model(weights, -0.3)
+    raw, offsets = text_buffers(pa.array(texts, pa.string()))
+    expected = [1 / (1 + np.exp(0.3 - model.weights[c].sum(dtype=np.float64))) for c in toxicity.features(raw, offsets)]
+    assert model.scores_of(pa.array(texts, pa.string())) == pytest.approx(expected)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     scores, move, lengths = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), np.array([3, 1, 3])
@@ -345,6 +418,49 @@ def test_forward_backward():
     assert both == pytest.approx(wanted) and logs == pytest.approx(total) and pairs == pytest.approx(steps)
 
 
+def test_emissions():
+    """Scores of words, made together and kept, against features made one character at a time."""
+    rng = np.random.default_rng(1)
+    words = ["the", "é", "привет", "漢字漢", "a", "the", "naïve", "x" * 40]
+    size = 1 << language_id.FEATURE_BITS
+    lexicon = np.sort(np.array([h(w) for w in ("the", "привет")], np.uint64)) if (h := lambda w: int(language_id.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])) else None
+    field = language_id.Field(["u", "v"], lexicon, rng.normal(size=(size + 3, 2)), np.zeros((2, 2)))
+    field.weights[-1] = 0
+    mixed = lambda kind, part: int(language_id.mix(np.array([h(part) + kind], np.uint64))[0]) >> (64 - language_id.FEATURE_BITS)
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = language_id.spans_of(language_id._BREAKS, raw, np.array([0, len(raw)]))
+    known = language_id.KnownWords(field)
+    for _ in range(2):
+        got = known.emissions(raw, starts, ends)
+        for word, scores in zip(words, got, strict=True):
+            expected = field.weights[size + np.searchsorted(lexicon, h(word))].copy() if word in ("the", "привет") else np.zeros(2)
+            for k in (1, 2, 3):
+                if len(word) >= k:
+                    expected += field.weights[mixed(k, word[:k])] + field.weights[mixed(16 + k, word[-k:])]
+            for k in (2, 3):
+                for i in range(len(word) - k + 1):
+                    expected += field.weights[mixed(32 + k, word[i : i + k])]
+            assert scores == pytest.approx(expected)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a fixed number, one of long texts only, one with most rows, an empty table, and a very long line."""
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouyäöé") for _ in range(2)) for _ in range(400)]
+    words = {f"l{k:02}": stems[5 * k : 5 * k + 5] for k in range(70)} | {"ru": ["привет", "слово", "дом"], "big": ["zzq", "qqz"]}
+    text = lambda v, n: " ".join(rng.choice(words[v]) for _ in range(n))
+    rows = [(v, text(v, 30)) for v in words for _ in range(4)] + [("long", "xoxo xexe " * 3000)] * 3 + [("big", text("big", 20)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, v) for i, (v, t) in enumerate(rows, 3)], "doc_id long, text string, lang string")
+    some = language_id.sample(docs, 3)
+    counts = collections.Counter(v for v, _ in some)
+    assert {v for v, _ in some} >= set(words) - {v for v in words if v.startswith("l")} and len(counts) > 66 and max(counts.values()) == 3
+    assert all(len(t) <= language_id.SAMPLE_CHARS for _, t in some)
+    probe = spark.createDataFrame([(1, text("ru", 9), None), (2, "big zzq qqz " * 20_000, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.label(probe, language_id.fit(some)).collect()}
+    assert got == {1: "ru", 2: "big"}
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     parts = {"aa": ("the", "ing", "wo", "sh"), "bb": ("que", "ou", "le", "é"), "cc": ("sch", "ung", "ei", "ö")}
