@@ -62,8 +62,9 @@ def test_exact(spark, rows):
         expected.append((i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
     key = lambda r: (r[0] is None, r[0] or 0, r[4])
     assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(expected, key=key)
-    kept = exact_dedup.deduplicate(frame(spark, rows))
-    assert {r["doc_id"] for r in kept.collect()} == {e[0] for e in expected if e[3] or e[0] is None} | {None}
+    kept = exact_dedup.deduplicate(frame(spark, [*rows, (None, "only without an id"), (None, "only without an id")])).collect()
+    assert sorted((r["text"] or "", r["doc_id"]) for r in kept if r["text"] != "only without an id") == sorted((t, max(x for x in ids if x is not None)) for t, ids in groups.items())
+    assert [(r["doc_id"], r["owner"], r["recipe"]) for r in kept if r["text"] == "only without an id"] == [(None, "o", "r")]
     assert exact_dedup.classify(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -74,6 +75,19 @@ def test_chunks_join_to_the_text(spark):
     found = [r["c"] for r in df.collect()]
     assert ["".join(c) for c in found] == [text, ""]
     assert max(map(len, found[0])) <= exact_dedup.MAX_CHUNK and len(found[0]) > 5
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh. ", "".join(map(chr, range(0x4E00, 0x4E80)))])
+def test_chunks_follow_the_content(spark, letters):
+    """What is put in front of a text changes its first chunks alone, with marks or without any."""
+    rng = random.Random(2)
+    text = "".join(rng.choice(letters) for _ in range(60_000))
+    df = spark.createDataFrame([(text,), ("x" * 777 + text,)], "text string").select(exact_dedup.chunks(F.col("text")).alias("c"))
+    one, two = (r["c"] for r in df.collect())
+    assert len(one) > 20 and len(set(one) & set(two)) > len(one) - 10
+
+
+def test_ambiguous_chunks(spark):
     assert exact_dedup._ambiguous(spark.createDataFrame([("a",), ("b",)], "text string"), lambda c: F.lit(1))
 
 
