@@ -1,4 +1,7 @@
-"""The cleaning pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The cleaning pipeline: STAGES in order, each over all that its predecessor kept.
+
+No stage before packing gives more rows than it gets, and lang and source stay with their text, also where doc_id is null or repeats.
+"""
 
 from __future__ import annotations
 
@@ -19,14 +22,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays, and one of them where none has a doc_id or several have that one."""
     return exact_dedup.deduplicate(docs).select(DOCUMENT_COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    found = ngram_join.components(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.select(DOCUMENT_COLUMNS).join(found, "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+    """Of each component of near copies the document with the smallest doc_id stays; rows that share a doc_id are judged each by its text."""
+    return ngram_join.distinct(docs.select(DOCUMENT_COLUMNS))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
