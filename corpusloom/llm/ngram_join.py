@@ -384,10 +384,10 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     members = shared.withColumn("upto", upto).withColumn("live", live).filter(F.col("live") * 100 >= F.col("n") * percent)
     members = stored(members.filter(F.col("upto") * 200 >= F.col("n") * percent).select("head", "node", "n"), "members")
     links = _linked_sets(members, sets, percent)
-    rooted = stored(connected(links), "rooted").join(survivors, "node")
+    rooted = stored(connected(links).join(survivors.select("node", *keys, "first"), "node"), "rooted")
     discard(sets, members, links)
-    least = rooted.groupBy("component").agg(F.min("first").alias("least"))
-    joined = rooted.join(least, "component").select(*keys, "least")
+    least = rooted.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("m"))
+    joined = salted_join(rooted, least, ["component"], "m", F.xxhash64("node"), max(1, rooted.count())).select(*keys, "least")
     found = stored(classes.join(joined, keys, "left").select(*keys, "class_size", F.coalesce("least", "first").alias("first")), "classes")
     total = max(1, stats.count())
     grouped = salted_join(usable, found, keys, "class_size", F.xxhash64("doc_id", "mark"), total).select("doc_id", "mark", "n", "class_size", "first")
