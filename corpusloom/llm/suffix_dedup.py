@@ -15,6 +15,9 @@ sorted suffixes and the common prefixes of neighbours:
    shares with the last winner, and compare only from there on. Order and common prefixes say
    which suffixes agree in any number of bytes; with the bytes before the anchor ordered alike, each
    string over the anchor has its class, and a class its least document.
+4. Hot anchors. An anchor lies whole in one range, so one that stands in a great part of a sample of texts would make that range
+   too large. What its runs leave unsettled is dealt by the LENGTH-byte strings over the anchor instead (by 128 bits of
+   their hashes), each class's least document is found by an aggregation, and large classes are answered in several tasks.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a copy of a whole text loses all; a row
 with a null doc_id loses nothing and is no source; rows that repeat id and text are one document
@@ -34,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.llm.bpe import _within
 from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, shorten
-from corpusloom.llm.shared import mix, plain, release, shuffle_partitions, slices, small_batches, stored, text_buffers
+from corpusloom.llm.shared import mix, partitions_for, release, salted_join, slices, small_batches, span_hash_pairs, stored, text_buffers
 
 LENGTH = 50
 GRAM = 20
@@ -43,8 +46,12 @@ PLACES = LENGTH - GRAM + 1
 BEFORE = LENGTH - GRAM
 #: Suffixes that a task sorts into one run.
 RUN_SUFFIXES = 150_000
-#: Anchor strings from which splitters are taken, at most.
+#: Anchor strings from which splitters are taken, about: so many, or so many for each range.
 SAMPLE = 4_000
+SAMPLE_PER_RANGE = 5
+#: Texts (about) whose shared anchors are counted, and the number of these texts that makes an anchor hot.
+HOT_SAMPLE = 20_000
+HOT_TEXTS = 400
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -145,8 +152,8 @@ def _all_places(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(high >= low, bits, 0)
 
 
-_RUN = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("owner", pa.int64()), ("places", pa.binary()), ("bits", pa.binary()), ("common", pa.binary()), ("sizes", pa.binary()), ("rest", pa.binary()), ("before", pa.binary()), ("before_sizes", pa.binary()), ("docs", pa.binary()), ("owners", pa.binary()), ("at", pa.binary())])
-_RUN_SQL = "range int, doc_id long, owner long, places binary, bits binary, common binary, sizes binary, rest binary, before binary, before_sizes binary, docs binary, owners binary, at binary"
+_RUN = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("owner", pa.int64()), ("places", pa.binary()), ("bits", pa.binary()), ("common", pa.binary()), ("sizes", pa.binary()), ("rest", pa.binary()), ("before", pa.binary()), ("before_sizes", pa.binary()), ("docs", pa.binary()), ("owners", pa.binary()), ("at", pa.binary()), ("hot", pa.binary())])
+_RUN_SQL = "range int, doc_id long, owner long, places binary, bits binary, common binary, sizes binary, rest binary, before binary, before_sizes binary, docs binary, owners binary, at binary, hot binary"
 
 
 def _run_rows(**columns) -> pa.RecordBatch:
@@ -176,7 +183,30 @@ def _unpacked(data: bytes, size: int) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+_HOT = np.dtype([("at", "<i4"), ("before", "<i4"), ("one", "<u8"), ("two", "<u8")])
+
+
+def _dealt(parts: tuple[np.ndarray, ...], ranges: int) -> Iterator[pa.RecordBatch]:
+    """For each document, the strings over its hot anchors: the anchor's place, the bytes before it and the string's hashes."""
+    right, sizes, left, left_sizes, doc, owner, at = parts
+    wide = np.concatenate([left[:, ::-1], right], axis=1)
+    width = wide.shape[1]
+    row, before = np.nonzero((_all_places(left_sizes, sizes)[:, None] >> np.arange(BEFORE + 1)) & 1)
+    if not len(row):
+        return
+    order = np.lexsort((before, at[row], owner[row], doc[row]))
+    row, before = row[order], before[order]
+    starts = row * width + BEFORE - before
+    one, two = span_hash_pairs(np.ascontiguousarray(wide).reshape(-1), starts, starts + LENGTH)
+    made = np.empty(len(row), _HOT)
+    made["at"], made["before"], made["one"], made["two"] = at[row], before, one, two
+    doc, owner = doc[row], owner[row]
+    cuts = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])) + 1, [len(doc)]]).tolist()
+    first = np.array(cuts[:-1])
+    yield _run_rows(range=(owner[first] % ranges).astype(np.int32), doc_id=doc[first], owner=owner[first], hot=[made[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int, hot: bool = False) -> Iterator[pa.RecordBatch]:
     right, sizes, left, left_sizes, doc, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((at, doc, left_sizes, *_keys(left)[::-1], sizes, *_keys(right)[::-1]))
     right, sizes, left, left_sizes, doc, owner, at = (x[order] for x in (right, sizes, left, left_sizes, doc, owner, at))
@@ -187,6 +217,9 @@ def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int) -> Itera
     yield from _settled(doc[larger], owner[larger], at[larger], _all_places(left_sizes, sizes)[larger], ranges)
     keep = ~larger
     right, sizes, left, left_sizes, doc, owner, at = (x[keep] for x in (right, sizes, left, left_sizes, doc, owner, at))
+    if hot:
+        yield from _dealt((right, sizes, left, left_sizes, doc, owner, at), ranges)
+        return
     prefix = np.ascontiguousarray(right[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
     where = np.searchsorted(splitters, prefix, side="right")
     rows: dict[str, list] = {k: [] for k in ("range", "common", "sizes", "rest", "before", "before_sizes", "docs", "owners", "at")}
@@ -209,11 +242,12 @@ def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int) -> Itera
         yield _run_rows(**rows)
 
 
-def _runs(texts: DataFrame, splitters: np.ndarray, ranges: int) -> DataFrame:
-    """texts: doc_id, owner, text, shared (list of the shared anchors' hashes)."""
+def _runs(texts: DataFrame, splitters: np.ndarray, ranges: int, hot: np.ndarray) -> DataFrame:
+    """texts: doc_id, owner, text, shared (list of the shared anchors' hashes); hot: sorted hashes of hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, total = [], 0
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        total = {False: 0, True: 0}
         for b in batches:
             raw, offsets = text_buffers(b.column("text"))
             docs, owners, shared = b.column("doc_id").to_numpy(), b.column("owner").to_numpy(), b.column("shared")
@@ -228,16 +262,20 @@ def _runs(texts: DataFrame, splitters: np.ndarray, ranges: int) -> DataFrame:
                     keep[u:v] = np.isin(h[u:v], np.concatenate([from_bytes(s.as_buffer()) for s in lists.values]))
                 at = at[keep]
                 row = np.searchsorted(offs, at, side="right") - 1
-                for u in range(0, len(at), 20_000):
-                    p, r = at[u : u + 20_000], row[u : u + 20_000]
-                    sizes, before = np.minimum(offs[r + 1] - p, LENGTH), np.minimum(p - offs[r], BEFORE)
-                    parts.append((_windows(piece, p, sizes, LENGTH, False), sizes, _windows(piece, p, before, BEFORE, True), before, docs[x + r], owners[x + r], p - offs[r]))
-                    total += len(p)
-                    if total >= RUN_SUFFIXES:
-                        yield from _sorted_run(parts, splitters, ranges)
-                        parts, total = [], 0
-        if parts:
-            yield from _sorted_run(parts, splitters, ranges)
+                is_hot = np.isin(h[keep], hot)
+                for kind in (False, True):
+                    mine = np.flatnonzero(is_hot == kind)
+                    for u in range(0, len(mine), 20_000):
+                        p, r = at[mine[u : u + 20_000]], row[mine[u : u + 20_000]]
+                        sizes, before = np.minimum(offs[r + 1] - p, LENGTH), np.minimum(p - offs[r], BEFORE)
+                        held[kind].append((_windows(piece, p, sizes, LENGTH, False), sizes, _windows(piece, p, before, BEFORE, True), before, docs[x + r], owners[x + r], p - offs[r]))
+                        total[kind] += len(p)
+                        if total[kind] >= RUN_SUFFIXES:
+                            yield from _sorted_run(held[kind], splitters, ranges, kind)
+                            held[kind], total[kind] = [], 0
+        for kind, parts in held.items():
+            if parts:
+                yield from _sorted_run(parts, splitters, ranges, kind)
 
     return texts.mapInArrow(run, _RUN_SQL)
 
@@ -372,7 +410,52 @@ def _merged(blocks: DataFrame, ranges: int) -> DataFrame:
             bits = _verdicts(shared, sizes, left[order], widths[order], doc)
             yield from _settled(doc, owner, at, bits, ranges)
 
-    return blocks.repartition(ranges, "range").mapInArrow(run, _RUN_SQL).select("doc_id", "owner", "places", "bits")
+    return blocks.repartition(ranges, "range").mapInArrow(run, _RUN_SQL).select("doc_id", "owner", "places", "bits", "hot")
+
+
+# ---------------------------------------------------------------- hot anchors
+
+
+def _hot_anchors(shared: DataFrame) -> np.ndarray:
+    """Sorted hashes of the anchors in many texts of a sample. shared: owner and features, blocks of an owner's shared anchors."""
+    texts = shared.select("owner").distinct().count()
+    bound = -(2.0**63) + 2.0**64 * min(1.0, HOT_SAMPLE / max(1, texts))
+    some = shared.filter(F.xxhash64("owner").cast("double") <= bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, o in zip(b.column("features"), b.column("owner"), strict=True):
+                hashes = from_bytes(f.as_buffer()).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(hashes), o.as_py())), pa.array(hashes)], names=["owner", "anchor"])
+
+    counted = some.select("features", "owner").mapInArrow(run, "owner long, anchor long").distinct().groupBy("anchor").count()
+    rows = counted.filter(F.col("count") >= HOT_TEXTS).select("anchor").collect()  # bounded by the sample
+    return np.array(sorted(r["anchor"] for r in rows), np.uint64)
+
+
+def _hot_verdicts(hot: DataFrame) -> DataFrame:
+    """doc_id, owner, places and bits of the strings over hot anchors that a smaller document has. hot: doc_id, owner and hot."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, owner, data in zip(b.column("doc_id"), b.column("owner"), b.column("hot"), strict=True):
+                rows = np.frombuffer(data.as_buffer(), _HOT)
+                same = lambda v: pa.array(np.full(len(rows), v.as_py()))  # noqa: B023, E731
+                kept = [np.ascontiguousarray(rows[k]) for k in _HOT.names]
+                yield pa.record_batch([same(doc), same(owner), pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2].view(np.int64)), pa.array(kept[3].view(np.int64))], names=["doc_id", "owner", *_HOT.names])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, owner, found in zip(b.column("doc_id"), b.column("owner"), b.column("found"), strict=True):
+                at, bits = (np.array([x[k] for x in found.as_py()], "<i4") for k in ("at", "bits"))
+                yield pa.record_batch([pa.array([doc.as_py()], pa.int64()), pa.array([owner.as_py()], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], names=["doc_id", "owner", "places", "bits"])
+
+    rows = stored(hot.mapInArrow(strings, "doc_id long, owner long, at int, before int, one long, two long"), "hot")
+    least = rows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = salted_join(rows, least, ["one", "two"], "n", F.xxhash64("owner"), max(1, rows.count())).filter("doc_id > least")
+    bits = found.groupBy("doc_id", "owner", "at").agg(F.bit_or(F.expr("shiftleft(1, before)")).alias("bits"))
+    listed = bits.groupBy("doc_id", "owner").agg(F.collect_list(F.struct("at", "bits")).alias("found"))  # of one document
+    return listed.mapInArrow(packed, "doc_id long, owner long, places binary, bits binary")
 
 
 # ---------------------------------------------------------------- removal
@@ -428,7 +511,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
     SHA-256 of the remaining bytes. The columns in carry stay with their row, whatever its doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = shuffle_partitions(spark)
+    buckets = partitions_for(docs)
     extra = ["carried"] if carry else []
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.struct(*carry).alias(c) for c in extra))
@@ -439,15 +522,24 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
     release(spark)
     stats = found.filter("n is not null")
     least = stats.groupBy("owner", "owner2").agg(F.min("doc_id").alias("least"))
-    shared = found.filter("credit is not null").groupBy("owner").agg(F.collect_list("features").alias("shared"))
-    sample = [bytes(r[0]) for r in stats.filter("sample is not null").select("sample", F.xxhash64("sample", "doc_id").alias("o")).orderBy("o").limit(SAMPLE).select("sample").collect()]
+    blocks = found.filter("credit is not null").select("owner", "features")
+    hot = _hot_anchors(blocks)
+    shared = blocks.groupBy("owner").agg(F.collect_list("features").alias("shared"))
+    sampled = stats.filter("sample is not null").select("sample", F.xxhash64("sample", "doc_id").alias("o"))
+    wanted = max(SAMPLE, SAMPLE_PER_RANGE * buckets)
+    bound = -(2.0**63) + 2.0**64 * min(1.0, wanted / max(1, sampled.count()))
+    sample = [bytes(r[0]) for r in sampled.filter(F.col("o").cast("double") <= bound).select("sample").toLocalIterator()]
     sample = np.unique(np.array(sample, f"S{GRAM}"))
     splitters = sample[(np.arange(1, buckets) * len(sample)) // buckets] if len(sample) else sample
     splitters = np.unique(splitters)
 
     chosen = least.join(shared, "owner").select(F.col("least").alias("doc_id"), "owner", "owner2", "shared")
-    runs = _runs(texts.join(chosen, ["doc_id", "owner", "owner2"]).select("doc_id", "owner", "text", "shared"), splitters, buckets)
-    verdicts = _merged(runs, buckets).groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
+    runs = _runs(texts.join(chosen, ["doc_id", "owner", "owner2"]).select("doc_id", "owner", "text", "shared"), splitters, buckets, hot)
+    merged = _merged(runs, buckets)
+    if len(hot):
+        merged = stored(merged, "merged")
+        merged = merged.filter("hot is null").drop("hot").unionByName(_hot_verdicts(merged.filter("hot is not null").select("doc_id", "owner", "hot")))
+    verdicts = merged.groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
     copies = stats.join(least, ["owner", "owner2"]).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))

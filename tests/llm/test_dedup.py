@@ -202,7 +202,9 @@ def removed(rows):
     return out
 
 
-def test_suffix_dedup(spark, rows):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_TEXTS, 2, 8])
+def test_suffix_dedup(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
     key = lambda r: (r[0] is None, r[0] or 0, r[4])
     got = suffix_dedup.remove_repeats(frame(spark, rows), digests=True).collect()
     expected = removed(rows)
