@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import LOWER, mix, plain, slices, small_batches, text_buffers
+from corpusloom.llm.shared import LOWER, mix, plain, slices, small_batches, span_hashes, spans_of, text_buffers
 
 FEATURE_BITS = 18
+#: Bytes of text whose features are made together.
+SLICE_BYTES = 1 << 19
 SIZES = (3, 4, 5)
 #: Bound of the sample: labelled texts of each class.
 SAMPLE_PER_CLASS = 3000
@@ -41,18 +43,11 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The distinct columns of each row, sorted."""
-    rows = len(offsets) - 1
-    wide = np.full(len(raw) + rows + 1, 0x20, np.uint8)  # a space before each row and at the end
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    wide[np.arange(len(raw)) + row + 1] = LOWER[raw]
-    word = _WORD[wide]
-    wide[~word] = 0x20
-    n = len(wide)
-    begins = offsets + np.arange(rows + 1)
-    found, owners = [], []
-    symbols = wide.astype(np.uint64)
+def _grams(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and columns of the n-grams of lower-cased bytes, spaces around each word."""
+    word = wide != 0x20
+    n, symbols = len(wide), wide.astype(np.uint64)
+    places, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in SIZES:
         m = n - size + 1
         if m <= 0:
@@ -64,19 +59,34 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         key = np.zeros(len(at), np.uint64)
         for k in range(size):
             key = (key << np.uint64(8)) | symbols[at + k]
-        found.append((mix(key + (np.uint64(size) << np.uint64(56))) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
-        owners.append(np.searchsorted(begins, at, side="right") - 1)
-    if not found:
-        return [np.zeros(0, np.int32)] * rows
-    both = np.unique((np.concatenate(owners) << FEATURE_BITS) | np.concatenate(found))
-    cuts = np.searchsorted(both, np.arange(rows + 1) << FEATURE_BITS)
-    columns = (both & ((1 << FEATURE_BITS) - 1)).astype(np.int32)
+        places.append(at)
+        columns.append((mix(key + (np.uint64(size) << np.uint64(56))) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+    return np.concatenate(places), np.concatenate(columns)
+
+
+def _distinct(owners: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's different columns, by owner."""
+    both = np.unique((owners << FEATURE_BITS) | columns)
+    return both >> FEATURE_BITS, both & ((1 << FEATURE_BITS) - 1)
+
+
+def features(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The distinct columns of each row, sorted."""
+    rows = len(offsets) - 1
+    wide = np.full(len(raw) + rows + 1, 0x20, np.uint8)  # a space before each row and at the end
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    wide[np.arange(len(raw)) + row + 1] = LOWER[raw]
+    wide[~_WORD[wide]] = 0x20
+    at, columns = _grams(wide)
+    owners, columns = _distinct(np.searchsorted(offsets + np.arange(rows + 1), at, side="right") - 1, columns)
+    cuts = np.searchsorted(owners, np.arange(rows + 1))
+    columns = columns.astype(np.int32)
     return [columns[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _feature_lists(column: pa.Array) -> Iterator[np.ndarray]:
     raw, offsets = text_buffers(column)
-    for x, y in slices(offsets, 1 << 19):
+    for x, y in slices(offsets, SLICE_BYTES):
         yield from features(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
 
 
@@ -86,9 +96,38 @@ class Model:
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights.astype(np.float32), float(intercept)
 
-    def score(self, columns: np.ndarray) -> float:
-        z = self.intercept + float(self.weights[columns].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The score of each row of a slice.
+
+        n-grams lie within words, so each different word of the slice has its columns made once, and only those of some weight
+        go on to the rows that hold the word.
+        """
+        raw = LOWER[raw]
+        starts, ends, rows = spans_of(~_WORD, raw, offsets)
+        _, first, word = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends[first] - starts[first]
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        wide = np.full(int(sizes.sum()) + len(sizes) + 1, 0x20, np.uint8)
+        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        wide[np.repeat(begins, sizes) + 1 + at] = raw[np.repeat(starts[first], sizes) + at]
+        place, columns = _grams(wide)
+        heavy = self.weights[columns] != 0
+        owners, columns = _distinct(np.searchsorted(begins, place[heavy], side="right") - 1, columns[heavy])
+        cuts = np.searchsorted(owners, np.arange(len(sizes) + 1))
+        many = np.diff(cuts)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
+        held = many[word] > 0
+        pairs = np.unique(row[held] * max(1, len(sizes)) + word[held])
+        row, word = np.divmod(pairs, max(1, len(sizes)))
+        count = many[word]
+        at = np.repeat(cuts[word], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        row, columns = _distinct(np.repeat(row, count), columns[at])
+        z = self.intercept + np.bincount(row, weights=self.weights[columns], minlength=len(offsets) - 1)
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+    def scores_of(self, column: pa.Array) -> np.ndarray:
+        raw, offsets = text_buffers(column)
+        return np.concatenate([np.zeros(0), *(self.scores(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]) for x, y in slices(offsets, SLICE_BYTES))])
 
 
 def fit(examples: list[tuple[np.ndarray, int]]) -> Model:
@@ -157,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([shared.value.score(c) for c in _feature_lists(b.column("text"))], pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.scores_of(b.column("text")), pa.float64())], names=["doc_id", "score"])
 
     scored = plain(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -171,7 +210,7 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([shared.value.score(c) < 0.5 for c in _feature_lists(b.column("text"))], pa.bool_()))
+            yield b.filter(pa.array(shared.value.scores_of(b.column("text")) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
