@@ -70,6 +70,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(java(r"^\s+|\s+\Z").replace(r"\Z", r"\z")), F.lit(""))
 
 
+def let(values: list[Column], body: Callable[..., Column]) -> Column:
+    """body of the values, each of which is computed once however often body uses it."""
+    bound = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.transform(bound, lambda x: body(*(x[f"v{i}"] for i in range(len(values)))))[0]
+
+
 def fixpoint(text: Column, step: Callable[[Column], Column], rounds: Column) -> Column:
     """step applied until nothing changes, at most `rounds` times; later rounds cost nothing once it is stable."""
     start = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))

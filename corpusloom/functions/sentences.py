@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
-from corpusloom.functions.regex import java, matches, replace, strip
+from corpusloom.functions.regex import java, let, matches, replace, strip
 
 
 def protect_stops(text: Column) -> Column:
@@ -34,17 +34,20 @@ def word_count(text: Column) -> Column:
 
 def join_sentences(one: Column, two: Column) -> Column:
     """Two fragments with the stop and space that belong between; with an empty second one, the first with its stop."""
-    one, two = strip(one), strip(two)
-    spaced = F.concat(one, F.lit(" "), two)
-    joined = (
-        F.when(matches(two, r"^[^A-Z]."), spaced)
-        .when(matches(one, r"^.+[:;?!]\s*$"), spaced)
-        .when(one == "", two)
-        .otherwise(F.concat(one, F.lit(". "), two))
-    )
+
+    def joined(one: Column, two: Column) -> Column:
+        spaced = F.concat(one, F.lit(" "), two)
+        return (
+            F.when(matches(two, r"^[^A-Z]."), spaced)
+            .when(matches(one, r"^.+[:;?!]\s*$"), spaced)
+            .when(one == "", two)
+            .otherwise(F.concat(one, F.lit(". "), two))
+        )
+
+    text = let([strip(one), strip(two)], joined)
     for pattern, to in ((r"(\.\s?){2,}", ". "), (r"\s{2,}", " "), (r"^\.\s+", "")):
-        joined = replace(joined, pattern, to)
-    return strip(joined)
+        text = replace(text, pattern, to)
+    return strip(text)
 
 
 def finish(text: Column) -> Column:
@@ -56,33 +59,55 @@ def join_all(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(""), join_sentences)
 
 
-def pack_sentences(parts: Column, min_words: int = 20, max_words: int = 40) -> Column:
-    """Excerpts of the pieces, in order, each as near the word budget as whole pieces allow.
+def _cuts(words: Column, min_words: int, max_words: int) -> Column:
+    """Which pieces make each excerpt, from the pieces' word counts: `at` (from 0), `size`, and how it begins and ends.
 
-    A fold: `done` holds excerpts, `text` what is being gathered, `n` the words of its pieces.
+    An excerpt that ends before a piece which would take it beyond the budget is `closed` with a stop, and so is the last one. The one after such an
+    excerpt begins with its piece as it is (`bare`).
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"))
+    kind = "array<struct<at:int,size:int,bare:boolean,closed:boolean>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("bare"))
 
-    def made(done: Column, text: Column, n: Column) -> Column:
-        return F.struct(done.alias("done"), text.alias("text"), n.alias("n"))
+    def state(done: Column, at: Column, i: Column, n: Column, bare: Column) -> Column:
+        return F.struct(done.alias("done"), at.alias("at"), i.alias("i"), n.alias("n"), bare.alias("bare"))
 
-    def step(s: Column, p: Column) -> Column:
-        done, text, n = s["done"], s["text"], s["n"]
-        words = word_count(p)
-        total = n + words
-        bare = strip(p)
-        skipped = (p == "") | matches(bare, r"^\.+$") | matches(bare, r"^Category:.+$")
+    def cut(at: Column, size: Column, bare: Column, closed: bool) -> Column:
+        return F.array(F.struct(at.alias("at"), size.alias("size"), bare.alias("bare"), F.lit(closed).alias("closed")))
+
+    def step(s: Column, w: Column) -> Column:
+        total, after = s["n"] + w, s["i"] + 1
         over = total > max_words
-        begin_anew = over & ((n >= min_words) | ((n > 0) & (F.abs(total - max_words) >= F.abs(F.lit(min_words) - n))))
-        both = join_sentences(text, p)
+        before = over & ((s["n"] >= min_words) | ((s["n"] > 0) & (F.abs(total - max_words) >= F.abs(F.lit(min_words) - s["n"]))))
         return (
-            F.when(skipped, s)
-            .when(begin_anew, made(F.concat(done, F.array(finish(text))), p, words))
-            .when(over, made(F.concat(done, F.array(both)), F.lit(""), F.lit(0)))
-            .otherwise(made(done, both, total))
+            F.when(before, state(F.concat(s["done"], cut(s["at"], s["i"] - s["at"], s["bare"], True)), s["i"], after, w, F.lit(True)))
+            .when(over, state(F.concat(s["done"], cut(s["at"], after - s["at"], s["bare"], False)), after, after, F.lit(0), F.lit(False)))
+            .otherwise(state(s["done"], s["at"], after, total, s["bare"]))
         )
 
     def end(s: Column) -> Column:
-        return F.when(s["text"] != "", F.concat(s["done"], F.array(finish(s["text"])))).otherwise(s["done"])
+        return F.when(s["i"] > s["at"], F.concat(s["done"], cut(s["at"], s["i"] - s["at"], s["bare"], True))).otherwise(s["done"])
+
+    return F.aggregate(words, start, step, end)
+
+
+def pack_sentences(parts: Column, min_words: int = 20, max_words: int = 40) -> Column:
+    """Excerpts of the pieces, in order, each as near the word budget as whole pieces allow.
+
+    A fold over word counts finds where excerpts end; each excerpt's pieces are then joined once.
+    """
+
+    def skipped(p: Column) -> Column:
+        return let([strip(p)], lambda bare: (p == "") | matches(bare, r"^\.+$") | matches(bare, r"^Category:.+$"))
+
+    def excerpt(pieces: Column, c: Column) -> Column:
+        first = F.element_at(pieces, c["at"] + 1)
+        begun = F.when(c["bare"], first).otherwise(join_sentences(F.lit(""), first))
+        text = F.aggregate(F.slice(pieces, c["at"] + 2, c["size"] - 1), begun, join_sentences)
+        last = c["at"] + c["size"] == F.size(pieces)
+        return let([text], lambda t: F.struct(F.when(c["closed"], finish(t)).otherwise(t).alias("text"), (last & (t == "")).alias("nothing")))
+
+    def packed(pieces: Column) -> Column:
+        made = F.transform(_cuts(F.transform(pieces, word_count), min_words, max_words), lambda c: excerpt(pieces, c))
+        return F.transform(F.filter(made, lambda e: ~e["nothing"]), lambda e: e["text"])
 
-    return F.aggregate(parts, start, step, end)
+    return let([F.filter(parts, lambda p: ~skipped(p))], packed)

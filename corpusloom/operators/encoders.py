@@ -6,8 +6,8 @@ that need them; `hashing` needs none and gives the same vectors everywhere.
 
 from __future__ import annotations
 
+import hashlib
 import os
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -61,7 +61,7 @@ def _hashing(size: int) -> Predict:
         out = np.zeros((len(texts), size))
         for i, text in enumerate(texts):
             for word in str(text or "").lower().split():
-                h = zlib.crc32(word.encode())
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
                 out[i, h % size] += 1 if (h >> 16) & 1 else -1
         return normalize(out)
 
@@ -77,7 +77,7 @@ def _hub(base_directory: str) -> Predict:
     return lambda texts: layer(tf.constant([str(t or "") for t in texts])).numpy()
 
 
-def _transformer(base_directory: str, checkpoint_directory: str, checkpoint: int, pooled: bool) -> Predict:
+def _transformer(name: str, base_directory: str, checkpoint_directory: str, checkpoint: int, pooled: bool) -> Predict:
     import torch
     from transformers import AutoModel, AutoTokenizer
 
@@ -85,9 +85,9 @@ def _transformer(base_directory: str, checkpoint_directory: str, checkpoint: int
     path = os.path.join(checkpoint_directory, f"{checkpoint}_model.pt")
     if os.path.exists(path):
         model.load_state_dict(torch.load(path)["model_state_dict"])
-        print(f"Restored from {path}")
+        print(f"{name}: weights of step {checkpoint}")
     else:
-        print(f"Checkpoint {checkpoint} not found in directory: {checkpoint_directory}.")
+        print(f"{name}: no {path}, so the weights of {base_directory}")
     model.eval()
 
     def predict(texts: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def load(name: str, base_directory: str = "", checkpoint_directory: str = "", ch
         return _hashing(size)
     if family == "one":
         return _hub(base_directory)
-    return _transformer(base_directory, checkpoint_directory, checkpoint, pooled=family == "three")
+    return _transformer(name, base_directory, checkpoint_directory, checkpoint, pooled=family == "three")
 
 
 def encoder(name: str, base_directory: str = "", checkpoint_directory: str = "", checkpoint: int = 0) -> Callable[[Column], Column]:

@@ -1,9 +1,9 @@
 """Exact nearest neighbours, weighted votes and centroids (V1-V5, V8, V9).
 
-The training side of a classifier is small (tens of rows per label): blocks of it, bounded in values, go to
-the executors, and each batch of queries meets a block in one matrix product, of which the k nearest stay.
-Nothing but those leaves the task, and queries aren't shuffled. A training side beyond one block is taken block by
-block, and the blocks' candidates are ranked.
+The training side of a classifier is small (tens of rows per label). If its values fit one block, the block goes to
+the executors, and each batch of queries meets it in one matrix product, of which the k nearest stay.
+Nothing but those leaves the task, and queries aren't shuffled. A larger training side stays where it is: both sides are dealt in
+blocks, each pair of blocks is one product of bounded size, and the pairs' candidates are ranked.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.workers import importable
 
-#: Numbers in one block of training vectors (64 MB).
+#: Numbers in one block of vectors (64 MB); a training side of no more is broadcast.
 BLOCK_VALUES = 8_000_000
 
 
@@ -35,26 +35,57 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return values.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _against(queries: DataFrame, ids: np.ndarray, labels: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+def _best(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least values of each row, ties by column."""
+    if k < d.shape[1]:
+        rows, cols = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        rows, cols = (x.reshape(-1) for x in np.indices(d.shape))
+    order = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(d.shape[0]))
+    kept = np.arange(len(rows)) - first[rows] < k
+    return rows[kept], cols[kept]
+
+
+def _nearest(q_ids: pa.Array, q: np.ndarray, t_ids: np.ndarray, t_labels: np.ndarray, t: np.ndarray, k: int) -> list[pa.Array]:
+    """q_id, t_id, label_id and d of the k nearest; t is sorted by id."""
+    d = np.maximum(1 - q @ t.T, 0)
+    rows, cols = _best(d, k)
+    return [q_ids.take(pa.array(rows)), pa.array(t_ids[cols]), pa.array(t_labels[cols], pa.int32()), pa.array(d[rows, cols])]
+
+
+_FOUND = ["q_id", "t_id", "label_id", "d"]
+_FOUND_SQL = "q_id long, t_id long, label_id int, d double"
+
+
+def _by_broadcast(queries: DataFrame, side: DataFrame, k: int) -> DataFrame:
+    """side: a single block, whose size has been looked at."""
     importable(queries.sparkSession)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, labels, matrix))  # one block
-    schema = "q_id long, t_id long, label_id int, d double"
+    table = side.orderBy("t_id").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((table["t_id"].to_numpy(), table["label_id"].to_numpy(), _vectors(table["vector"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t_ids, t_labels, t = shared.value
-        top = min(k, len(t_ids))
         for b in batches:
-            q = _vectors(b.column("vector"))
-            if not len(q):
-                continue
-            d = np.maximum(1 - q @ t.T, 0)
-            # t is sorted by id, so a stable sort breaks ties by id
-            best = np.argsort(d, axis=1, kind="stable")[:, :top]
-            rows = np.repeat(np.arange(len(q)), top)
-            cols = best.reshape(-1)
-            yield pa.record_batch([b.column("q_id").take(pa.array(rows)), pa.array(t_ids[cols]), pa.array(t_labels[cols], pa.int32()), pa.array(d[rows, cols])], names=["q_id", "t_id", "label_id", "d"])
+            if b.num_rows:
+                yield pa.record_batch(_nearest(b.column("q_id"), _vectors(b.column("vector")), *shared.value, k), names=_FOUND)
+
+    return queries.mapInArrow(run, _FOUND_SQL)
+
+
+def _by_blocks(queries: DataFrame, side: DataFrame, k: int, t_blocks: int, q_blocks: int) -> DataFrame:
+    """Every block of queries meets every block of the training side, in a task of its own."""
+    importable(queries.sparkSession)
+    q = queries.withColumn("i", F.pmod(F.xxhash64("q_id"), F.lit(q_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
+    t = side.withColumn("j", F.pmod(F.xxhash64("t_id"), F.lit(t_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+
+    def run(queries: pa.Table, train: pa.Table) -> pa.Table:
+        if not queries.num_rows or not train.num_rows:
+            return pa.table({n: pa.array([], kind) for n, kind in zip(_FOUND, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)})
+        train = train.sort_by("t_id")
+        return pa.Table.from_arrays(_nearest(queries["q_id"].combine_chunks(), _vectors(queries["vector"]), train["t_id"].to_numpy(), train["label_id"].to_numpy(), _vectors(train["vector"]), k), names=_FOUND)
 
-    return queries.mapInArrow(run, schema)
+    return q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInArrow(run, _FOUND_SQL)
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
@@ -68,13 +99,10 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
         raise ValueError(f"k = {k} with {size['n']} training rows")
     q = queries.select(F.col("q_id").cast("long").alias("q_id"), F.col("vector").cast("array<double>").alias("vector"))
     blocks = -(-size["n"] * size["dim"] // BLOCK_VALUES)
-    found = None
-    for i in range(blocks):
-        rows = side if blocks == 1 else side.filter(F.pmod(F.xxhash64("t_id"), F.lit(blocks)) == i)
-        table = rows.orderBy("t_id").toArrow()
-        if table.num_rows:
-            part = _against(q, table["t_id"].to_numpy(), table["label_id"].to_numpy(), _vectors(table["vector"]), k)
-            found = part if found is None else found.unionAll(part)
+    if blocks == 1:
+        found = _by_broadcast(q, side, k)
+    else:
+        found = _by_blocks(q, side, k, blocks, max(1, -(-q.count() * size["dim"] // BLOCK_VALUES)))
     best = Window.partitionBy("q_id").orderBy("d", "t_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -28,13 +28,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again: computed once, and lineage ends here whatever executor is lost."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new shared path whose content goes when the driver's program ends."""
     path = shared_path(spark, name)
     if not _left:
         atexit.register(_clear)
     _left[path] = spark
+    return path
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: computed once, and lineage ends here whatever executor is lost."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path

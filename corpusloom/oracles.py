@@ -117,7 +117,10 @@ _PRIO = "CASE section " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(
 _GOAL_SAMPLE = "SELECT * FROM ({source}) WHERE section IN ('" + "','".join(_LANGS) + f"') QUALIFY row_number() OVER (PARTITION BY goal ORDER BY {_PRIO}, doc_id) <= 14"
 _TARGET_SAMPLE = f"SELECT * FROM ({_TARGETS}) WHERE section = 'Targets' QUALIFY row_number() OVER (PARTITION BY target ORDER BY doc_id) <= 6"
 
-_SPLIT = f"""WITH g AS (SELECT *, {_category("words", [100, 400])} AS cat3, {_category("words", [200])} AS cat2, count(*) OVER (PARTITION BY source) AS n FROM (SELECT doc_id, source, {_words("text")} AS words FROM documents)),
+
+def split_of(rows: str, fine: list[int], coarse: list[int]) -> str:
+    """rows: a query with doc_id, source and words."""
+    return f"""WITH g AS (SELECT *, {_category("words", fine)} AS cat3, {_category("words", coarse)} AS cat2, count(*) OVER (PARTITION BY source) AS n FROM ({rows})),
     v AS (SELECT *, ceil(n * 0.25) AS n_val FROM g),
     c3 AS (SELECT source, min(c) >= 2 AND count(*) <= any_value(n_val) AND count(*) <= any_value(n - n_val) AS ok FROM (SELECT source, cat3, count(*) AS c, any_value(n_val) AS n_val, any_value(n) AS n FROM v GROUP BY ALL) GROUP BY source),
     c2 AS (SELECT source, min(c) >= 2 AND count(*) <= any_value(n_val) AND count(*) <= any_value(n - n_val) AS ok FROM (SELECT source, cat2, count(*) AS c, any_value(n_val) AS n_val, any_value(n) AS n FROM v GROUP BY ALL) GROUP BY source),
@@ -127,6 +130,9 @@ _SPLIT = f"""WITH g AS (SELECT *, {_category("words", [100, 400])} AS cat3, {_ca
     q AS (SELECT source, stratum, low + (row_number() OVER (PARTITION BY source ORDER BY rest DESC, stratum) <= n_val - sum(low) OVER (PARTITION BY source))::INT AS quota FROM f)
     SELECT doc_id, source AS goal, row_number() OVER (PARTITION BY source, stratum ORDER BY md5(doc_id || '-{SEED}'), doc_id) <= quota AS validation FROM s JOIN q USING (source, stratum)"""
 
+
+_SPLIT = split_of(f"SELECT doc_id, source, {_words('text')} AS words FROM documents", [100, 400], [200])
+
 # ---------------------------------------------------------------- text
 
 
@@ -135,8 +141,8 @@ def _phrased(kind: str) -> str:
     return f"SELECT doc_id, [{', '.join(map(_quoted, some))}][doc_id % {len(some)} + 1] || text AS text FROM documents"
 
 
-def _numbers() -> str:
-    first = _chain(_phrased("number"), P.NUMBER_RULES_ONCE)
+def _numbers(source: str) -> str:
+    first = _chain(source, P.NUMBER_RULES_ONCE)
     step = "text"
     for pattern, to, limited in P.NUMBER_RULES:
         step = _sub_two(step, pattern, to) if limited else _sub(step, pattern, to)
@@ -148,13 +154,14 @@ def _numbers() -> str:
         SELECT doc_id, arg_max(text, n) AS text FROM f GROUP BY doc_id"""
 
 
-def _sentences() -> str:
-    protect = _chain("SELECT doc_id, 'e.g. this, i.e. that (etc.) of U.S. kind.Then? more;; ' || text AS text FROM documents", P.ABBREVIATIONS)
+def _sentences(source: str, keep: str = "doc_id") -> str:
+    """keep, pos (from 0) and sentence. source: a query with keep and text."""
+    protect = _chain(source, P.ABBREVIATIONS, keep)
     back = "x"
     for pattern, to in P.ABBREVIATIONS_BACK:
         back = _sub(back, pattern, to)
     pieces = f"list_filter(string_split_regex(text, {_quoted(P.SEPARATORS)}), lambda x: x <> '')"
-    return f"SELECT doc_id, (pos - 1)::INT AS pos, {back} AS sentence FROM (SELECT doc_id, unnest({pieces}) AS x, unnest(range(1, len({pieces}) + 1)) AS pos FROM ({protect}))"
+    return f"SELECT {keep}, (pos - 1)::INT AS pos, {back} AS sentence FROM (SELECT {keep}, unnest({pieces}) AS x, unnest(range(1, len({pieces}) + 1)) AS pos FROM ({protect}))"
 
 
 def _joined(one: str, two: str) -> str:
@@ -166,6 +173,20 @@ def _joined(one: str, two: str) -> str:
     return f"trim({made}, ' \t\n')"
 
 
+def _packed(sentences: str, key: str, low: int, high: int) -> str:
+    """key, part (from 0) and excerpt. sentences: a query with key, pos and sentence. A row of f is what is gathered after i sentences, and what they finished."""
+    total = "(f.n + s.words)"
+    before = f"({total} > {high} AND (f.n >= {low} OR (f.n > 0 AND abs({total} - {high}) >= abs({low} - f.n))))"
+    both, done = _joined("f.text", "s.p"), _joined("f.text", _quoted(""))
+    return f"""WITH RECURSIVE s AS MATERIALIZED (SELECT {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS i, sentence AS p, {_words("sentence")} AS words FROM ({sentences})
+            WHERE sentence <> '' AND NOT regexp_matches(trim(sentence, ' \t\n'), '^\\.+$') AND NOT regexp_matches(trim(sentence, ' \t\n'), '^Category:.+$')),
+        f(key, i, text, n, excerpt) AS (SELECT DISTINCT key, 0::BIGINT, '', 0::BIGINT, NULL::VARCHAR FROM s UNION ALL
+            SELECT f.key, s.i, CASE WHEN {before} THEN s.p WHEN {total} > {high} THEN '' ELSE {both} END, CASE WHEN {before} THEN s.words WHEN {total} > {high} THEN 0 ELSE {total} END,
+                CASE WHEN {before} THEN {done} WHEN {total} > {high} THEN {both} END FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1),
+        e AS (SELECT key, i, excerpt FROM f WHERE excerpt IS NOT NULL UNION ALL SELECT key, i + 1, {done} FROM (SELECT key, max(i) AS i, arg_max(text, i) AS text FROM f GROUP BY key) f WHERE text <> '')
+        SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i) - 1)::INT AS part, excerpt FROM e"""
+
+
 _NUMBERED = f"""WITH l AS (SELECT doc_id, source AS goal, (doc_id % 17) || '.' || (doc_id % 3) AS target, {_words("text")} AS words, min(doc_id) OVER (PARTITION BY source, doc_id % 17, doc_id % 3, coalesce(lang, '')) AS begun FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY goal, target ORDER BY begun, doc_id) AS rn FROM l),
     k AS (SELECT * FROM r WHERE rn = 1 OR words BETWEEN 5 AND 415)
@@ -178,13 +199,18 @@ _GENERAL = """WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line
     SELECT doc_id, line_no, goal, 'https://en.wikipedia.org/wiki/The_title' AS source_url, trim(line, ' \t') AS text FROM g WHERE mark IS NULL AND coalesce(goal, '') <> '' AND trim(line, ' \t') <> ''"""
 
 _PLAIN = [(chr(c), d[0]) for c in range(0xC0, 0x180) if len(d := [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) == 1 and d[0] != chr(c)]
-_TFIDF = f"""s AS (SELECT conv_id || '-' || turn AS id, text FROM conversations), nn AS (SELECT count(*) AS n FROM s),
+_PIECES = "SELECT conv_id || '-' || turn AS id, text FROM conversations"
+_TFIDF = f"""s AS ({_PIECES}), nn AS (SELECT count(*) AS n FROM s),
     k AS (SELECT id, unnest(regexp_extract_all(translate(lower(text), '{"".join(a for a, _ in _PLAIN)}', '{"".join(b for _, b in _PLAIN)}'), '[\\pL\\pN_]{{2,}}')) AS term FROM s),
     c AS (SELECT id, term, count(*) AS tf FROM k WHERE term NOT IN ('the', 'and', 'of') GROUP BY ALL),
     f AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 10),
     x AS (SELECT id, term, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN f USING (term) CROSS JOIN nn),
     w AS (SELECT id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x)"""
 
+NOISE = f"""WITH {_TFIDF}, m AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b USING (term) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.7 - 1e-9),
+    core AS (SELECT a FROM m GROUP BY a HAVING count(*) >= 10)
+    SELECT id FROM s WHERE id NOT IN (SELECT a FROM m WHERE b IN (FROM core))"""
+
 ORACLE_SQL: dict[str, str] = {
     "nearest_neighbours": f"WITH {_SIDES}, {_near(3)} SELECT q_id, t_id, round(d, 6) AS d, rank FROM n",
     "knn1_predictions": f"WITH {_predicted(1)} SELECT q_id, label, prediction FROM pl",
@@ -222,14 +248,17 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "mask_indicators": _chain(_phrased("indicator"), P.INDICATOR_RULES),
     "mask_lists": _chain(_phrased("list"), P.LIST_RULES),
-    "mask_numbers": _numbers(),
+    "mask_numbers": _numbers(_phrased("number")),
     "mask_phrases": _chain(_phrased("phrase"), P.PHRASE_RULES),
-    "sentence_split": _sentences(),
+    "sentence_split": _sentences("SELECT doc_id, 'e.g. this, i.e. that (etc.) of U.S. kind.Then? more;; ' || text AS text FROM documents"),
+    "packed_sentences": f"SELECT key AS doc_id, part AS pos, excerpt FROM ({_packed(_sentences('SELECT doc_id, text FROM documents'), 'doc_id', 20, 40)})",
     "join_fragments": f"SELECT conv_id, turn, {_joined('text', 'role')} AS low, {_joined('text', 'upper(role[1]) || lower(role[2:])')} AS high, {_joined('text', _quoted(''))} AS done FROM conversations",
     "excerpt_ids": _NUMBERED,
     "general_article": _GENERAL,
     "tfidf_weights": f"WITH {_TFIDF} SELECT id, term, df, round(w, 6) AS w FROM w",
-    "boilerplate_noise": f"""WITH {_TFIDF}, m AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b USING (term) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.7 - 1e-9),
-        core AS (SELECT a FROM m GROUP BY a HAVING count(*) >= 10)
-        SELECT id FROM s WHERE id NOT IN (SELECT a FROM m WHERE b IN (FROM core))""",
+    "boilerplate_noise": NOISE,
+    "encoded_benchmark": """WITH w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
+        h AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w),
+        v AS (SELECT item_id, (h % 256)::INT AS pos, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL)
+        SELECT item_id, 256 AS dim, pos, round((x / sqrt(sum(x * x) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE, 4) AS x FROM v QUALIFY x <> 0""",
 }

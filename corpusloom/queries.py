@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- vectors
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every fourth vector is a query, the others are for training."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vector"), "label")
@@ -35,12 +35,12 @@ def _dictionary(train: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, train = _sides(spark, sf_dir)
+    queries, train = sides(spark, sf_dir)
     return neighbours.nearest(queries, train, 3).select("q_id", "t_id", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
 def _predicted(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    queries, train = _sides(spark, sf_dir)
+    queries, train = sides(spark, sf_dir)
     found = neighbours.predict(neighbours.votes(neighbours.nearest(queries, train, k), k))
     return found.join(queries.select("q_id", "label"), "q_id")
 
@@ -54,7 +54,10 @@ def knn3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [metrics.accuracy(_predicted(spark, sf_dir, k), F.col("label"), F.col("prediction")).select(F.lit(k).alias("k"), F.round("accuracy", 6).alias("accuracy")) for k in (1, 3)]
+    queries, train = sides(spark, sf_dir)
+    near = neighbours.nearest(queries, train, 3).persist()  # one search for every k
+    known = queries.select("q_id", "label")
+    parts = [metrics.accuracy(neighbours.predict(neighbours.votes(near, k)).join(known, "q_id"), F.col("label"), F.col("prediction")).select(F.lit(k).alias("k"), F.round("accuracy", 6).alias("accuracy")) for k in (1, 3)]
     return parts[0].unionAll(parts[1])
 
 
@@ -65,7 +68,7 @@ def label_correction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, k: int, centred: bool = False) -> DataFrame:
-    queries, train = _sides(spark, sf_dir)
+    queries, train = sides(spark, sf_dir)
     side = neighbours.centroids(train) if centred else train
     p = neighbours.probabilities(neighbours.votes(neighbours.nearest(queries, side, k), k), _dictionary(train))
     relevant = F.array(F.col("label"), (F.col("label") + 1) % 10)
@@ -81,7 +84,7 @@ def ndcg5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, train = _sides(spark, sf_dir)
+    _, train = sides(spark, sf_dir)
     return neighbours.centroids(train).select("label_id", F.posexplode("vector").alias("pos", "x")).select("label_id", "pos", F.round("x", 6).alias("x"))
 
 
@@ -107,8 +110,10 @@ def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the hashing encoder gives: the numbers of each vector that aren't 0."""
     rows = encoders.embed(table(spark, sf_dir, "benchmark"), "text", "HASHING")
-    return rows.select("item_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    listed = rows.select("item_id", F.size("vector").alias("dim"), F.posexplode("vector").alias("pos", "x"))
+    return listed.filter("x <> 0").select("item_id", "dim", "pos", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 # ---------------------------------------------------------------- labels and samples
@@ -193,11 +198,6 @@ def html_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
 
 
-def _words(n: int) -> Column:
-    """The first n words of a document: what markup is put around here."""
-    return F.array_join(F.slice(F.split("text", " "), 1, n), " ")
-
-
 def template_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("{{a {{b|"), F.col("doc_id").cast("string"), F.lit("}} c {{d {{e}} }} }}x{{}}y"), F.col("text"), F.lit(" {{z}}"))
     return table(spark, sf_dir, "documents").select("doc_id", markup.drop_templates(made).alias("text"))
@@ -288,14 +288,6 @@ def general_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.general_paragraphs(pages).select(F.col("page_ord").alias("doc_id"), F.col("emit_ord").cast("long").alias("line_no"), "goal", "source_url", "text")
 
 
-def specific_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles on single goals, with a lead, two sections and a target."""
-    d = table(spark, sf_dir, "documents")
-    made = F.concat(F.col("text"), F.lit("\n== Background ==\n"), F.col("text"), F.lit("\n== Tools ==\nof these:\n* one\n* two\nend\n=== Target 1.2: By 2030 ===\nthe text\n== See also ==\nno"))
-    pages = d.select(F.lit(0).alias("file_ord"), F.col("doc_id").alias("page_ord"), F.lit("Sustainable Development Goal 3").alias("title"), F.lit("1").alias("revision_id"), F.lit("t").alias("revision_timestamp"), made.alias("text"))
-    return articles.specific_paragraphs(pages).select(F.col("page_ord").alias("doc_id"), F.col("emit_ord").cast("long").alias("emit_ord"), "goal", "target", "section", "text")
-
-
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
@@ -315,6 +307,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn3_predictions, nearest_neighbours, knn1_predictions, knn_accuracy, label_correction_accuracy, knn20_probabilities, ndcg5, centroid_vectors, centroid_ndcg5, result_rows,
         batch_sampler, triplet_loss, encoded_benchmark, label_dictionary, multi_label_parse, indicator_ids, word_buckets, external_texts, stratified_split, goal_sample, target_sample, training_sample,
         html_unwrap, template_fixpoint, link_fixpoint, url_and_file_markup, mask_indicators, mask_lists, mask_numbers, mask_phrases, sentence_split, join_fragments, packed_sentences,
-        excerpt_ids, excerpt_pipeline, general_article, specific_article, tfidf_weights, boilerplate_noise,
+        excerpt_ids, excerpt_pipeline, general_article, tfidf_weights, boilerplate_noise,
     )
 }

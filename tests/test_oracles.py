@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.oracles import ORACLE_SQL
-from corpusloom.queries import QUERIES
+from corpusloom import oracles, plan_oracles, plan_queries, queries
+
+QUERIES = queries.QUERIES | plan_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | plan_oracles.ORACLE_SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
