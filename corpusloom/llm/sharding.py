@@ -9,7 +9,7 @@ capacity the one with the least sum of squared shard sizes is taken, so a unit t
 shard's share makes its own shard large and the others stay near equal.
 
 Slots number the rows of a shard without a gap. A unit with many rows (a group of copies may hold
-a third of the table) is numbered in several cells, each by a window of its own, with the counts of
+a third of the table, and may have no ids) is numbered in several cells, each by a window of its own, with the counts of
 the cells before it added; the number of cells is bounded as well.
 
 Cases: a null text has no bytes and weighs ROW_BYTES, as an empty one; null ids and repeated rows
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.llm.shared import stored
+
 UNIT_BITS = 14
 ROW_BYTES = 16
 N_SHARDS = 40
@@ -117,7 +119,9 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("mark"),
+        F.monotonically_increasing_id().alias("row"),  # spreads rows whatever their ids and texts
     ).withColumn("unit", F.shiftrightunsigned("mark", 64 - UNIT_BITS).cast("int"))
+    rows = stored(rows, "sizes")  # some numbers for each row; texts are read once, and row numbers are settled
     units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # at most 2**UNIT_BITS rows
     units.sort(key=lambda u: u["unit"])
     shard_of = dict(zip((u["unit"] for u in units), cut([u["bytes"] for u in units], n_shards), strict=True))
@@ -127,7 +131,7 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     wide = {u: n for u, n in cells_of.items() if n > 1}
     plan = "unit int, shard int, cells int"
     placed = rows.join(F.broadcast(spark.createDataFrame([(u, shard_of[u], n) for u, n in cells_of.items()], plan)), "unit")
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"))
     counts = {(u["unit"], 0): u["n"] for u in units if u["unit"] not in wide}
     if wide:  # cells of wide units: at most 2**UNIT_BITS of them
         counted = placed.filter("cells > 1").groupBy("unit", "cell").count().collect()
