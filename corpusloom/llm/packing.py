@@ -69,9 +69,9 @@ def added_encoder(definition: str) -> Callable[[pa.Array], dict[int, np.ndarray]
     return encode
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_ID, added: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_ID, added: bool = True) -> DataFrame:
     """First pass: part, local_start, doc_id, n_tokens and ids (little-endian unsigned 32-bit), separators included.
-    With added, strings of the tokenizer's added tokens are those tokens; otherwise they are ordinary text."""
+    Strings of the tokenizer's added tokens are those tokens, as the library has it; without added they are ordinary text."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -101,7 +101,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_I
     return plain(docs).mapInArrow(run, "part int, local_start long, doc_id long, n_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, separator: int = SEPARATOR_ID, digests: bool = False, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, separator: int = SEPARATOR_ID, digests: bool = False, added: bool = True) -> DataFrame:
     """Records of pieces: doc_id, start, length, ids (or ids_crc32), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     first = stored(tokenized(docs, tokenizer_path, separator, added), "tokens")

@@ -108,7 +108,6 @@ def test_long_words(word):
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
     rows = packing.pack(frame(spark, TEXTS), path, length=16).collect()
     by = collections.defaultdict(list)
