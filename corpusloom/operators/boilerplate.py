@@ -2,7 +2,9 @@
 
 Only points that no dense cluster reaches are kept, so clusters need no names: a sentence stays if it isn't a core
 point and no core point is near. Near pairs come from an inverted index on the rarest terms of each sentence, as
-many as needed for the rest to be too light for a match, and are verified by their exact product. Sentences
+many as needed for the rest to be too light for a match. Two near points meet under their first common term: there the product of
+what either weighs from that term on is a bound, and one matrix product of bounded size finds the pairs; candidates never leave
+the task. Terms of very many points are dealt in pairs of blocks. Sentences
 with the same terms are one point with a multiplicity, so copies make no pairs.
 """
 
@@ -10,18 +12,25 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators.storage import materialized
+from corpusloom.operators.skew import salted_join
+from corpusloom.operators.storage import discard, materialized
+from corpusloom.workers import importable
 
 MIN_DF = 10
 EPS = 0.3
 MIN_SAMPLES = 10
 #: Slack of comparisons with the threshold.
 SLACK = 1e-9
+#: Points of a term, about, that meet in one product, and columns of it that are taken at once.
+BLOCK_POINTS = 400
+BLOCK_COLUMNS = 4096
 
 
 def _accents() -> tuple[str, str]:
@@ -53,8 +62,38 @@ def tfidf(sentences: DataFrame, min_df: int = MIN_DF, stop_words: list[str] | No
     return raw.withColumn("w", F.col("w") / norm)
 
 
+def near_points(table: pa.Table, least: float) -> pa.Table:
+    """a, b, ma, mb: the near pairs of points under a term. table: one term and pair of blocks, each point with its terms from there on."""
+    tail, kept = table["tail"].to_numpy(), []
+    if len(tail) > 1:
+        second, first = np.partition(tail, -2)[-2:]
+        kept = np.flatnonzero(tail * np.where(tail == first, second, first) >= least - SLACK)  # with the most that another may have
+    if len(kept) < 2:
+        return table.slice(0, 0).select(["point", "point", "m", "m"]).rename_columns(["a", "b", "ma", "mb"])
+    table = table.take(pa.array(kept))
+    lists = table["ids"].combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(kept)), size)
+    weights = table["ws"].combine_chunks().flatten().to_numpy()
+    terms, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    dots = np.zeros((len(kept), len(kept)))
+    for at in range(0, len(terms), BLOCK_COLUMNS):
+        inside = (column >= at) & (column < at + BLOCK_COLUMNS)
+        block = np.zeros((len(kept), min(BLOCK_COLUMNS, len(terms) - at)))
+        block[row[inside], column[inside] - at] = weights[inside]
+        dots += block @ block.T
+    own, names = table["own"].to_numpy(), table["point"].to_numpy(zero_copy_only=False)
+    i, j = np.nonzero(np.triu(dots >= least - SLACK, 1))
+    met = (np.minimum(own[i], own[j]) == table["low"][0].as_py()) & (np.maximum(own[i], own[j]) == table["high"][0].as_py())
+    i, j = i[met], j[met]
+    first, second = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
+    m = table["m"].to_numpy()
+    return pa.table({"a": pa.array(names[first], pa.string()), "b": pa.array(names[second], pa.string()), "ma": pa.array(m[first]), "mb": pa.array(m[second])})
+
+
 def noise(sentences: DataFrame, min_df: int = MIN_DF, eps: float = EPS, min_samples: int = MIN_SAMPLES, stop_words: list[str] | None = None) -> DataFrame:
     """id of the sentences that stay. sentences: id and text."""
+    importable(sentences.sparkSession)
     least = 1 - eps
     weights = tfidf(sentences, min_df, stop_words)
     vectors = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
@@ -62,19 +101,19 @@ def noise(sentences: DataFrame, min_df: int = MIN_DF, eps: float = EPS, min_samp
     named = vectors.withColumn("point", F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term"].alias("t"), F.round(x["w"], 10).alias("w")))), 256))
     named = materialized(named, "vectors")
     points = materialized(named.groupBy("point").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m")), "points")
-    # tail: the squared weight of a term and all rarer-ordered terms after it
-    square = lambda x: x["w"] * x["w"]
-    tails = F.transform("v", lambda x, i: F.struct(x["term"].alias("term"), F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + square(y)).alias("tail")))
-    prefixes = points.select("point", F.explode(tails).alias("p")).filter(F.sqrt("p.tail") >= least - SLACK).select("point", F.col("p.term").alias("term"))
-    pairs = prefixes.alias("a").join(prefixes.alias("b"), F.col("a.term") == F.col("b.term")).filter("a.point < b.point").select(F.col("a.point").alias("a"), F.col("b.point").alias("b")).distinct()
-    maps = points.select("point", F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["w"]))).alias("w"), "m")
-    dot = F.aggregate(F.map_entries("wa"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("wb", e["key"]), F.lit(0.0)))
-    near = (
-        pairs.join(maps.select(F.col("point").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma")), "a")
-        .join(maps.select(F.col("point").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb")), "b")
-        .filter(dot >= least - SLACK)
-    )
-    near = materialized(near.select("a", "b", "ma", "mb"), "near")
+    # tail: the weight of a term and all rarer-ordered terms after it
+    squares = F.aggregate("v", F.lit(0.0), lambda s, y: s + y["w"] * y["w"])
+    rest = F.transform("v", lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"), F.sqrt(F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])).alias("tail")))
+    prefixes = points.filter(squares > 0).select("point", "m", "v", F.explode(rest).alias("p")).filter(F.col("p.tail") >= least - SLACK)
+    after = F.slice("v", F.col("p.i") + 1, F.size("v"))
+    prefixes = prefixes.select("point", "m", F.col("p.term").alias("term"), F.col("p.tail").alias("tail"), F.transform(after, lambda x: F.xxhash64(x["term"])).alias("ids"), F.transform(after, lambda x: x["w"]).alias("ws"))
+    blocks = prefixes.groupBy("term").agg(F.ceil(F.count(F.lit(1)) * 2 / BLOCK_POINTS).cast("int").alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    prefixes, blocks = materialized(prefixes, "prefixes"), materialized(blocks, "blocks")
+    dealt = salted_join(prefixes, blocks, ["term"], "n", F.xxhash64("point"), prefixes.count()).withColumn("own", F.pmod(F.xxhash64("point"), F.col("k")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    near = dealt.groupBy("term", "low", "high").applyInArrow(lambda table: near_points(table, least), "a string, b string, ma long, mb long")
+    near = materialized(near.distinct(), "near")
+    discard(prefixes, blocks)
     both = near.select("a", "b", F.col("mb").alias("m")).unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ma").alias("m")))
     degree = points.join(both.groupBy(F.col("a").alias("point")).agg(F.sum("m").alias("others")), "point", "left")
     core = degree.filter(F.col("m") + F.coalesce("others", F.lit(0)) >= min_samples).select("point")

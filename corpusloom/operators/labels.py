@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.skew import broadcast_small
+
 
 def label_dictionary(rows: DataFrame, label: str, order: str) -> DataFrame:
     """label and label_id by first appearance; '' has none. One row per label, so numbering runs over labels, not rows."""
@@ -16,7 +18,7 @@ def label_dictionary(rows: DataFrame, label: str, order: str) -> DataFrame:
 def encode(rows: DataFrame, dictionary: DataFrame, label: str) -> DataFrame:
     """rows with label_id; rows with a blank label go, a label that isn't in the dictionary is an error."""
     known = dictionary.select(F.col("label").alias("__label"), "label_id")
-    joined = rows.filter(F.col(label) != "").join(known, F.col(label) == F.col("__label"), "left")
+    joined = rows.filter(F.col(label) != "").join(broadcast_small(known), F.col(label) == F.col("__label"), "left")
     checked = F.when(F.col("label_id").isNull(), F.raise_error(F.concat(F.lit("Unknown label: "), F.col(label))).cast("int")).otherwise(F.col("label_id"))
     return joined.withColumn("label_id", checked).drop("__label")
 
@@ -26,5 +28,5 @@ def relevance(rows: DataFrame, dictionary: DataFrame, labels: str, row_id: str)
     listed = rows.filter(F.col(labels).isNotNull()).select(row_id, labels)
     unknown = F.raise_error(F.lit("Unknown label in a list")).cast("string")
     names = dictionary.agg(F.collect_set("label").alias("known"))
-    checked = listed.join(F.broadcast(names)).withColumn(labels, F.transform(labels, lambda x: F.when(F.array_contains("known", x), x).otherwise(unknown)))  # names is one row
-    return checked.join(F.broadcast(dictionary)).select(row_id, "label_id", F.array_contains(labels, F.col("label")).cast("int").alias("rel"))  # a dictionary has some dozen labels
+    checked = listed.join(broadcast_small(names)).withColumn(labels, F.transform(labels, lambda x: F.when(F.array_contains("known", x), x).otherwise(unknown)))
+    return checked.join(broadcast_small(dictionary)).select(row_id, "label_id", F.array_contains(labels, F.col("label")).cast("int").alias("rel"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.skew import broadcast_small
 from corpusloom.workers import importable
 
 #: Numbers in one block of vectors (64 MB); a training side of no more is broadcast.
@@ -124,7 +125,7 @@ def predict(vote: DataFrame) -> DataFrame:
 def probabilities(vote: DataFrame, dictionary: DataFrame) -> DataFrame:
     """q_id, label_id, p for every label of the dictionary, 0 where no neighbour has it."""
     total = vote.groupBy("q_id").agg(F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("label_id", "weight"))).alias("w"))
-    every = total.join(F.broadcast(dictionary.select("label_id")))  # a dictionary has some dozen labels
+    every = total.join(broadcast_small(dictionary.select("label_id")))
     return every.select("q_id", "label_id", (F.coalesce(F.try_element_at("w", F.col("label_id")), F.lit(0.0)) / F.col("total")).alias("p"))
 
 

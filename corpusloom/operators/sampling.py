@@ -55,26 +55,28 @@ def stratified_split(data: DataFrame, strata: list[str], seed: int = 42, share:
     more values than either side has rows, or else the goal as a whole. Shares are rounded down and what is left goes
     to the largest remainders. A goal with a single row can't be split, which is an error.
     """
-    goal = Window.partitionBy("goal")
-    out = data.withColumn("n", F.count(F.lit(1)).over(goal)).withColumn("n_val", F.ceil(F.col("n") * share).cast("int"))
-    out = out.withColumn("n", F.when(F.col("n") < 2, F.raise_error(F.concat(F.lit("One row only: goal "), F.col("goal"))).cast("long")).otherwise(F.col("n")))
+    goal, size = Window.partitionBy("goal"), F.col("size")
+    cells = data.groupBy("goal", *strata).agg(F.count(F.lit(1)).alias("size"))  # all that is decided for a goal follows from these counts
+    cells = cells.withColumn("n", F.sum(size).over(goal)).withColumn("n_val", F.ceil(F.col("n") * share).cast("int"))
+    cells = cells.withColumn("n", F.when(F.col("n") < 2, F.raise_error(F.concat(F.lit("One row only: goal "), F.col("goal"))).cast("long")).otherwise(F.col("n")))
     level = F.lit("all")
     for c in reversed(strata):
-        size = F.count(F.lit(1)).over(Window.partitionBy("goal", c))
-        out = out.withColumn(f"size_{c}", size)
+        cells = cells.withColumn(f"size_{c}", F.sum(size).over(Window.partitionBy("goal", c)))
         least = F.min(f"size_{c}").over(goal)
         values = F.size(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(""))).over(goal))
         fits = (least >= 2) & (values <= F.col("n_val")) & (values <= F.col("n") - F.col("n_val"))
         level = F.when(fits, F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit("")))).otherwise(level)
-    out = out.withColumn("stratum", level)
-    sizes = out.groupBy("goal", "stratum").agg(F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("n_val").alias("n_val"))
+    cells = cells.withColumn("stratum", level)
+    sizes = cells.groupBy("goal", "stratum").agg(F.sum(size).alias("size"), F.first("n").alias("n"), F.first("n_val").alias("n_val"))
     exact = F.col("size") * F.col("n_val") / F.col("n")
     sizes = sizes.withColumn("floor", F.floor(exact)).withColumn("rest", F.round(exact - F.floor(exact), 9))
     by_rest = Window.partitionBy("goal").orderBy(F.desc("rest"), "stratum")
     missing = F.col("n_val") - F.sum("floor").over(Window.partitionBy("goal"))
     quota = sizes.withColumn("quota", F.col("floor") + (F.row_number().over(by_rest) <= missing).cast("long")).select("goal", "stratum", "quota")
+    named = cells.join(quota, ["goal", "stratum"]).select("stratum", "quota", *(F.col(c).alias(f"__{c}") for c in ["goal", *strata]))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ["goal", *strata]]
     drawn = F.row_number().over(Window.partitionBy("goal", "stratum").orderBy(draw_key(F.col(row_id), seed=seed), row_id))
-    return out.join(quota, ["goal", "stratum"]).withColumn("validation", drawn <= F.col("quota")).select(*data.columns, "validation")
+    return data.join(named, same).withColumn("validation", drawn <= F.col("quota")).select(*data.columns, "validation")
 
 
 def balanced_batches(data: DataFrame, iterations: int, start: int = 0, end: int | None = None, seed: int = 2355764148, many: int = 4, few: int = 3, n_many: int = 13, label: str = "label", row_id: str = "id", order: str = "pos") -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions.labels import multiple_labels
 from corpusloom.operators import encoders, labels, metrics, neighbours, testsets
+from corpusloom.operators.skew import broadcast_small
 from corpusloom.plans.corpus import FineTuningDataExtractor
 from corpusloom.sources import tables
 
@@ -35,16 +37,16 @@ NDCG_AT = 5
 
 def validate(test_task: str, k: tuple[int, int]) -> None:
     if test_task not in COUNTS:
-        raise ValueError(f"Invalid task name: {test_task}")
+        raise ValueError(f"{test_task} is none of the tasks {', '.join(COUNTS)}")
     if tuple(k) not in COUNTS[test_task]:
-        raise ValueError(f"Invalid number of training examples {k} for {test_task}")
+        raise ValueError(f"{test_task} takes (goal, target) examples {COUNTS[test_task]}, not {tuple(k)}")
 
 
 def test_set(spark: SparkSession, test_dataset: str, test_task: str, concatenation_option: int, path: str) -> tuple[DataFrame | None, DataFrame]:
     """(validation, test) of a data set; validation is None where it has none."""
     kind, tasks = DATASETS.get(test_dataset, ("", []))
     if test_task not in tasks:
-        raise ValueError(f"Invalid dataset and task combination: {test_dataset} / {test_task}")
+        raise ValueError(f"No data set {test_dataset} for the task {test_task}")
     if kind == "indicators":
         return testsets.indicator_split(testsets.indicators(tables.read_indicators(spark, path)))
     if kind == "goals":
@@ -71,7 +73,7 @@ def multi_class(train: DataFrame, dictionary: DataFrame, rows: DataFrame, label:
     names = dictionary.select(F.col("label_id").alias("prediction"), F.col("label").alias("predicted"))
     out = {}
     for k in ks:
-        predicted = neighbours.predict(neighbours.votes(near, k)).join(F.broadcast(names), "prediction")  # a dictionary has some dozen labels
+        predicted = neighbours.predict(neighbours.votes(near, k)).join(broadcast_small(names), "prediction")
         joined = known.join(predicted, known["ord"] == predicted["q_id"])
         final = metrics.corrected(F.col(label), F.col("multiple"), F.col("predicted"))
         out[k] = metrics.accuracy(joined, F.col(label), final).first()[0]
@@ -101,7 +103,7 @@ class Evaluator:
         ordered = training.filter(F.col(train_label) != "")
         dictionary = labels.label_dictionary(ordered, train_label, "ord").persist()
         vectors = encoders.embed(ordered, "modified_text_excerpt", encoder, checkpoint=checkpoint_number, **directories)
-        train = labels.encode(vectors, dictionary, train_label).select(F.monotonically_increasing_id().alias("t_id"), "label_id", "vector").persist()
+        train = labels.encode(vectors, dictionary, train_label).select(F.row_number().over(Window.orderBy("ord", "modified_text_excerpt")).alias("t_id"), "label_id", "vector").persist()  # a training sample of some hundred rows
         embedded = {n: None if rows is None else encoders.embed(rows, "text", encoder, checkpoint=checkpoint_number, **directories) for n, rows in (("validation", validation), ("test", test))}
         ks, found = KS[test_task], {}
         for name, rows in embedded.items():

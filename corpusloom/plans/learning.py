@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators import sampling
+from corpusloom.operators.encoders import MAX_TOKENS
+from corpusloom.operators.skew import broadcast_small
 from corpusloom.plans.corpus import FineTuningDataExtractor
 
 SEED = 2355764148
@@ -28,6 +30,47 @@ def is_checkpoint(step: int) -> bool:
     return step > 0 and (step + 1) % CHECKPOINT_EVERY == 0
 
 
+def state_path(directory: str, step: int) -> str:
+    return os.path.join(directory, f"{step}_model.pt")
+
+
+class Trainer:
+    """A transformer with its optimizer. loss: a function of torch, normalised vectors and labels."""
+
+    def __init__(self, base_model_dir: str, loss: Callable):
+        import torch
+        from transformers import AutoModel, AutoTokenizer
+
+        self.torch, self.loss = torch, loss
+        self.tokenizer, self.model = AutoTokenizer.from_pretrained(base_model_dir), AutoModel.from_pretrained(base_model_dir)
+        self.optimizer = torch.optim.Adam(self.model.parameters(), lr=LEARNING_RATE)
+
+    def restore(self, directory: str, step: int) -> bool:
+        """Go on from a saved step, if there is one."""
+        found = os.path.exists(state_path(directory, step))
+        if found:
+            saved = self.torch.load(state_path(directory, step))
+            self.model.load_state_dict(saved["model_state_dict"])
+            self.optimizer.load_state_dict(saved["optimizer_state_dict"])
+        return found
+
+    def save(self, directory: str, step: int) -> None:
+        self.model.eval()
+        self.torch.save({"model_state_dict": self.model.state_dict(), "optimizer_state_dict": self.optimizer.state_dict()}, state_path(directory, step))
+
+    def vectors(self, texts: list[str]):
+        given = self.tokenizer(texts, return_tensors="pt", max_length=MAX_TOKENS, truncation=True, padding="max_length")
+        weights = given["attention_mask"].unsqueeze(-1).float()
+        pooled = (self.model(**given)[0] * weights).sum(1) / weights.sum(1).clamp(min=1e-9)
+        return self.torch.nn.functional.normalize(pooled, dim=1)
+
+    def step(self, texts: list[str], y: list[int]) -> None:
+        self.model.train()
+        self.optimizer.zero_grad()
+        self.loss(self.torch, self.vectors(texts), self.torch.tensor(y)).backward()
+        self.optimizer.step()
+
+
 class RepresentationLearner:
     """label: the column whose classes are told apart."""
 
@@ -46,7 +89,7 @@ class RepresentationLearner:
         if self.label == "goal":
             return rows.select("id", F.col("modified_text_excerpt").alias("text"), "goal", (F.col("goal").cast("int") - 1).alias("y"), "pos")
         firsts = rows.groupBy("target").agg(F.min("pos").alias("first")).select("target", (F.row_number().over(Window.orderBy("first")) - 1).alias("y"))
-        return rows.join(F.broadcast(firsts), "target").select("id", F.col("modified_text_excerpt").alias("text"), "goal", "y", "pos")
+        return rows.join(broadcast_small(firsts), "target").select("id", F.col("modified_text_excerpt").alias("text"), "goal", "y", "pos")
 
     def load_data(self, spark: SparkSession, k: int) -> DataFrame:
         return self.prepare(self.extractor.run(spark, *self.counts(k)))
@@ -60,32 +103,13 @@ class RepresentationLearner:
         drawn.unpersist()
 
     def train_network(self, spark: SparkSession, k: int, base_model_dir: str, output_dir: str, iterations: int, start_iteration: int, end_iteration: int) -> None:
-        """Needs torch and transformers on the driver; resumes from <start>_model.pt if there is one."""
-        import torch
-        from transformers import AutoModel, AutoTokenizer
-
-        tokenizer, model = AutoTokenizer.from_pretrained(base_model_dir), AutoModel.from_pretrained(base_model_dir)
-        optimizer = torch.optim.Adam(model.parameters(), lr=LEARNING_RATE)
-        path = os.path.join(output_dir, f"{start_iteration}_model.pt")
-        if os.path.exists(path):
-            state = torch.load(path)
-            model.load_state_dict(state["model_state_dict"])
-            optimizer.load_state_dict(state["optimizer_state_dict"])
-            print(f"Restored from {path}")
-        else:
-            print("Initializing from scratch.")
-        for step, (texts, _, y) in enumerate(self.batches(self.load_data(spark, k), iterations, start_iteration, end_iteration)):
-            model.train()
-            given = tokenizer(texts, return_tensors="pt", max_length=128, truncation=True, padding="max_length")
-            mask = given["attention_mask"].unsqueeze(-1).float()
-            vectors = (model(**given)[0] * mask).sum(1) / mask.sum(1).clamp(min=1e-9)
-            loss = self._loss(torch, torch.nn.functional.normalize(vectors, dim=1), torch.tensor(y))
-            optimizer.zero_grad()
-            loss.backward()
-            optimizer.step()
-            if is_checkpoint(step):
-                model.eval()
-                torch.save({"model_state_dict": model.state_dict(), "optimizer_state_dict": optimizer.state_dict()}, os.path.join(output_dir, f"{start_iteration + step + 1}_model.pt"))
+        """Steps over the batches from start_iteration on; needs torch and transformers on the driver."""
+        trainer = Trainer(base_model_dir, self._loss)
+        trainer.restore(output_dir, start_iteration)
+        for done, (texts, _, y) in enumerate(self.batches(self.load_data(spark, k), iterations, start_iteration, end_iteration)):
+            trainer.step(texts, y)
+            if is_checkpoint(done):
+                trainer.save(output_dir, start_iteration + done + 1)
 
     def _loss(self, torch, vectors, y):
         d = 1 - vectors @ vectors.T
