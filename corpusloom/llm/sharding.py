@@ -6,7 +6,9 @@ together. Units are at most 2**UNIT_BITS however large the table is; only their
 driver. There the smallest feasible shard capacity is found by binary search: a capacity is
 feasible if greedy filling needs no more than n_shards shards. Among the cuts within that
 capacity the one with the least sum of squared shard sizes is taken, so a unit that outweighs a
-shard's share makes its own shard large and the others stay near equal.
+shard's share makes its own shard large and the others stay near equal. The units on either side of a cut are
+then taken apart by further bits of the fingerprint, down to groups of equal texts where a table is not very large, and the search is made
+again with these finer units (PARTS more at most), so that cuts fall between texts and not between ranges of them.
 
 Slots number the rows of a shard without a gap. A unit with many rows (a group of copies may hold
 a third of the table, and may have no ids) is numbered in several cells, each by a window of its own, with the counts of
@@ -32,6 +34,8 @@ from corpusloom.llm.shared import stored
 UNIT_BITS = 14
 ROW_BYTES = 16
 N_SHARDS = 40
+#: Finer units, at most, into which the units beside the cuts are taken apart.
+PARTS = 1 << 16
 #: Rows of a unit from which it is numbered in more than one cell.
 CELL_ROWS = 2000
 
@@ -122,27 +126,34 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),  # spreads rows whatever their ids and texts
     ).withColumn("unit", F.shiftrightunsigned("mark", 64 - UNIT_BITS).cast("int"))
     rows = stored(rows, "sizes")  # some numbers for each row; texts are read once, and row numbers are settled
-    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # at most 2**UNIT_BITS rows
-    units.sort(key=lambda u: u["unit"])
-    shard_of = dict(zip((u["unit"] for u in units), cut([u["bytes"] for u in units], n_shards), strict=True))
-    total = sum(u["n"] for u in units)
+    count = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")]
+    units = sorted(rows.groupBy("unit").agg(*count).collect())  # at most 2**UNIT_BITS rows
+    coarse = cut([u["bytes"] for u in units], n_shards)
+    beside = sorted({units[k]["unit"] for i in range(1, len(units)) if coarse[i] != coarse[i - 1] for k in (i - 1, i)})
+    bits = max(0, (PARTS // max(1, len(beside))).bit_length() - 1)
+    fine = F.shiftrightunsigned(F.shiftleft("mark", UNIT_BITS), 64 - bits) if bits else F.lit(0)
+    rows = rows.withColumn("part", F.when(F.col("unit").isin(beside), fine).otherwise(0).cast("int"))
+    parts = rows.filter(F.col("unit").isin(beside)).groupBy("unit", "part").agg(*count).collect()  # at most PARTS rows
+    whole = [(u["unit"], 0, u["bytes"], u["n"]) for u in units if u["unit"] not in set(beside)]
+    atoms = sorted([*whole, *map(tuple, parts)])
+    shard_of = dict(zip(((unit, part) for unit, part, _, _ in atoms), cut([size for _, _, size, _ in atoms], n_shards), strict=True))
+    total = sum(n for *_, n in atoms)
     per_cell = max(CELL_ROWS, -(-total // (1 << UNIT_BITS)))  # so that cells are at most twice as many as units
-    cells_of = {u["unit"]: -(-u["n"] // per_cell) for u in units}
-    wide = {u: n for u, n in cells_of.items() if n > 1}
-    plan = "unit int, shard int, cells int"
-    placed = rows.join(F.broadcast(spark.createDataFrame([(u, shard_of[u], n) for u, n in cells_of.items()], plan)), "unit")
+    cells_of = {(unit, part): -(-n // per_cell) for unit, part, _, n in atoms}
+    plan = "unit int, part int, shard int, cells int"
+    placed = rows.join(F.broadcast(spark.createDataFrame([(*atom, shard_of[atom], n) for atom, n in cells_of.items()], plan)), ["unit", "part"])
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"))
-    counts = {(u["unit"], 0): u["n"] for u in units if u["unit"] not in wide}
-    if wide:  # cells of wide units: at most 2**UNIT_BITS of them
-        counted = placed.filter("cells > 1").groupBy("unit", "cell").count().collect()
-        counts |= {(r["unit"], r["cell"]): r["count"] for r in counted}
+    counts = {(unit, part, 0): n for unit, part, _, n in atoms if cells_of[unit, part] == 1}
+    if len(counts) < len(atoms):  # cells of units with many rows: at most 2**UNIT_BITS of them
+        counted = placed.filter("cells > 1").groupBy("unit", "part", "cell").count().collect()
+        counts |= {(r["unit"], r["part"], r["cell"]): r["count"] for r in counted}
     base, before = [], [0] * (n_shards + 1)
-    for unit, cell in sorted(counts):
-        shard = shard_of[unit]
-        base.append((unit, cell, before[shard]))
-        before[shard] += counts[unit, cell]
-    placed = placed.join(F.broadcast(spark.createDataFrame(base, "unit int, cell int, base long")), ["unit", "cell"])
-    order = Window.partitionBy("unit", "cell").orderBy("mark", "doc_id", "text_crc32", "size")
+    for unit, part, cell in sorted(counts):
+        shard = shard_of[unit, part]
+        base.append((unit, part, cell, before[shard]))
+        before[shard] += counts[unit, part, cell]
+    placed = placed.join(F.broadcast(spark.createDataFrame(base, "unit int, part int, cell int, base long")), ["unit", "part", "cell"])
+    order = Window.partitionBy("unit", "part", "cell").orderBy("mark", "doc_id", "text_crc32", "size")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.row_number().over(order) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

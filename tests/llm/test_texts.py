@@ -198,6 +198,20 @@ def test_sharding(spark, monkeypatch):
     assert sharding.assign(frame(spark, texts).limit(0), 7).count() == 0
 
 
+def test_cuts_fall_between_texts(spark, monkeypatch):
+    """With few coarse units, the units beside the cuts are taken apart, and the capacity is about that of single texts."""
+    monkeypatch.setattr(sharding, "UNIT_BITS", 5)
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "t" * rng.randint(0, 90) + str(i)) for i in range(900)], "doc_id long, text string")
+    rows = sharding.assign(docs, 6).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert sorted(sizes) == list(range(6)) and max(sizes.values()) <= 1.02 * sum(sizes.values()) / 6
+    for shard in range(6):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
 def test_base_statistics(spark):
     texts = [*TEXTS, "a b c a b c d\nx\nx\n\n \nx\n", "# $ %\n# $ %", "one two three " * 30]
     column = pa.array([t or "" for t in texts])
