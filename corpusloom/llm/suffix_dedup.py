@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.llm.bpe import _within
 from corpusloom.llm.incidence import SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, shorten
-from corpusloom.llm.shared import mix, partitions_for, release, salted_join, slices, small_batches, span_hash_pairs, stored, text_buffers
+from corpusloom.llm.shared import discard, mix, partitions_for, release, salted_join, slices, small_batches, span_hash_pairs, stored, text_buffers
 
 LENGTH = 50
 GRAM = 20
@@ -424,33 +424,40 @@ def _hot_anchors(shared: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, o in zip(b.column("features"), b.column("owner"), strict=True):
-                hashes = from_bytes(f.as_buffer()).astype(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(hashes), o.as_py())), pa.array(hashes)], names=["owner", "anchor"])
+            hashes = [from_bytes(f.as_buffer()).astype(np.int64) for f in b.column("features")]
+            owners = np.repeat(b.column("owner").to_numpy(), [len(h) for h in hashes])
+            yield pa.record_batch([pa.array(owners), pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]))], names=["owner", "anchor"])
 
     counted = some.select("features", "owner").mapInArrow(run, "owner long, anchor long").distinct().groupBy("anchor").count()
     rows = counted.filter(F.col("count") >= HOT_TEXTS).select("anchor").collect()  # bounded by the sample
     return np.array(sorted(r["anchor"] for r in rows), np.uint64)
 
 
-def _hot_verdicts(hot: DataFrame) -> DataFrame:
-    """doc_id, owner, places and bits of the strings over hot anchors that a smaller document has. hot: doc_id, owner and hot."""
+def _strings(hot: DataFrame) -> DataFrame:
+    """A row for each string over a hot anchor. hot: doc_id, owner and hot."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, owner, data in zip(b.column("doc_id"), b.column("owner"), b.column("hot"), strict=True):
-                rows = np.frombuffer(data.as_buffer(), _HOT)
-                same = lambda v: pa.array(np.full(len(rows), v.as_py()))  # noqa: B023, E731
-                kept = [np.ascontiguousarray(rows[k]) for k in _HOT.names]
-                yield pa.record_batch([same(doc), same(owner), pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2].view(np.int64)), pa.array(kept[3].view(np.int64))], names=["doc_id", "owner", *_HOT.names])
+            held = [np.frombuffer(x.as_buffer(), _HOT) for x in b.column("hot")]
+            size = [len(x) for x in held]
+            rows = np.concatenate([np.zeros(0, _HOT), *held])
+            at, before, one, two = (np.ascontiguousarray(rows[k]) for k in _HOT.names)
+            columns = [np.repeat(b.column(k).to_numpy(), size) for k in ("doc_id", "owner")] + [at, before, one.view(np.int64), two.view(np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "owner", *_HOT.names])
+
+    return hot.mapInArrow(run, "doc_id long, owner long, at int, before int, one long, two long")
+
+
+def _hot_verdicts(rows: DataFrame) -> DataFrame:
+    """doc_id, owner, places and bits of the strings that a smaller document has. rows: what _strings gives, stored."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, owner, found in zip(b.column("doc_id"), b.column("owner"), b.column("found"), strict=True):
-                at, bits = (np.array([x[k] for x in found.as_py()], "<i4") for k in ("at", "bits"))
-                yield pa.record_batch([pa.array([doc.as_py()], pa.int64()), pa.array([owner.as_py()], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], names=["doc_id", "owner", "places", "bits"])
+            found, cuts = b.column("found").flatten(), (b.column("found").offsets.to_numpy() - b.column("found").offsets[0].as_py()).tolist()
+            at, bits = (found.field(k).to_numpy(zero_copy_only=False).astype("<i4") for k in ("at", "bits"))
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            yield pa.record_batch([b.column("doc_id"), b.column("owner"), *(pa.array([x[u:v].tobytes() for u, v in spans], pa.binary()) for x in (at, bits))], names=["doc_id", "owner", "places", "bits"])
 
-    rows = stored(hot.mapInArrow(strings, "doc_id long, owner long, at int, before int, one long, two long"), "hot")
     least = rows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = salted_join(rows, least, ["one", "two"], "n", F.xxhash64("owner"), max(1, rows.count())).filter("doc_id > least")
     bits = found.groupBy("doc_id", "owner", "at").agg(F.bit_or(F.expr("shiftleft(1, before)")).alias("bits"))
@@ -521,7 +528,8 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
     found = stored(exchanged(_first_pass(texts.drop(*extra), buckets), buckets, True), "anchors")
     release(spark)
     stats = found.filter("n is not null")
-    least = stats.groupBy("owner", "owner2").agg(F.min("doc_id").alias("least"))
+    counted = stats.groupBy("owner", "owner2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = counted.drop("n")
     blocks = found.filter("credit is not null").select("owner", "features")
     hot = _hot_anchors(blocks)
     shared = blocks.groupBy("owner").agg(F.collect_list("features").alias("shared"))
@@ -536,14 +544,18 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
     chosen = least.join(shared, "owner").select(F.col("least").alias("doc_id"), "owner", "owner2", "shared")
     runs = _runs(texts.join(chosen, ["doc_id", "owner", "owner2"]).select("doc_id", "owner", "text", "shared"), splitters, buckets, hot)
     merged = _merged(runs, buckets)
+    done = [found]
     if len(hot):
         merged = stored(merged, "merged")
-        merged = merged.filter("hot is null").drop("hot").unionByName(_hot_verdicts(merged.filter("hot is not null").select("doc_id", "owner", "hot")))
+        strings = stored(_strings(merged.filter("hot is not null").select("doc_id", "owner", "hot")), "strings")
+        done += [merged, strings]
+        merged = merged.filter("hot is null").drop("hot").unionByName(_hot_verdicts(strings))
     verdicts = merged.groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
-    copies = stats.join(least, ["owner", "owner2"]).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
+    copies = salted_join(stats.select("doc_id", "owner", "owner2"), counted, ["owner", "owner2"], "n", F.xxhash64("doc_id"), max(1, stats.count())).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
+    discard(*done)
     release(spark)  # runs and texts of the merge go before the texts move again
     settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits", *extra)
     nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"), *extra)
