@@ -234,6 +234,44 @@ def test_kneser_ney_sums_to_one():
     assert np.exp(model.log_chances(every.reshape(-1))).reshape(-1, 32).sum(1) == pytest.approx(np.ones(len(contexts)))
 
 
+def naive_kneser_ney(counts):
+    """The chance of a gram's last symbol after the others, from dictionaries; counts: 4-grams as tuples."""
+    levels = {4: counts}
+    for n in (3, 2, 1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    cuts = {}
+    for n, level in levels.items():
+        n1, n2, n3, n4 = (sum(c == k for c in level.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y]
+        cuts[n] = [min(max(v, 0.05), 0.95 * (k + 1)) for k, v in enumerate(d)]
+
+    def chance(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (1 << perplexity.SYMBOL_BITS)
+        follow = [c for g, c in levels[n].items() if g[:-1] == gram[:-1]]
+        if not follow:
+            return chance(gram[1:])
+        own, cut = levels[n].get(gram, 0), cuts[n]
+        left = cut[0] * sum(c == 1 for c in follow) + cut[1] * sum(c == 2 for c in follow) + cut[2] * sum(c > 2 for c in follow)
+        return ((own - cut[min(own, 3) - 1] if own else 0) + left * chance(gram[1:])) / sum(follow)
+
+    return chance
+
+
+def test_kneser_ney_against_a_naive_one():
+    rng = random.Random(3)
+    text = [rng.choice((0, 0, 0, 1, 1, 2, 3, 4)) for _ in range(900)]
+    counts = collections.Counter(tuple(text[k : k + 4]) for k in range(len(text) - 3))
+    key = lambda g: sum(s << (perplexity.SYMBOL_BITS * k) for k, s in enumerate(reversed(g)))
+    grams = sorted(counts, key=key)
+    model = perplexity.Model(np.array([key(g) for g in grams]), np.array([counts[g] for g in grams]))
+    chance = naive_kneser_ney(counts)
+    asked = [*grams[:60], *(tuple(rng.randint(0, 5) for _ in range(4)) for _ in range(60))]
+    assert model.log_chances(np.array([key(g) for g in asked])) == pytest.approx([np.log(chance(g)) for g in asked])
+
+
 def test_perplexity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice(("ba", "ne", "ti", "ro")) for _ in range(rng.randint(1, 4))) for _ in range(60)]
