@@ -154,8 +154,10 @@ def target_sections(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
 def read_article(text: str) -> Iterator[tuple[str, str, str]]:
     lines = [s for line in text.splitlines() if (s := line.strip())]
     yield from lead_section(lines)
+    headings = [line.lower() for line in lines if line.startswith(("== ", "==\t"))]
     for key in P.SECTIONS:
-        yield from named_section(lines, key)
+        if any(key in heading for heading in headings):  # else the section isn't there
+            yield from named_section(lines, key)
     yield from target_sections(lines)
 
 

@@ -82,7 +82,8 @@ def stratified_split(data: DataFrame, strata: list[str], seed: int = 42, share:
 def balanced_batches(data: DataFrame, iterations: int, start: int = 0, end: int | None = None, seed: int = 2355764148, many: int = 4, few: int = 3, n_many: int = 13, label: str = "label", row_id: str = "id", order: str = "pos") -> DataFrame:
     """Rows of each iteration's batch: n_many classes give `many` rows, the others `few`, or what they have.
 
-    A draw depends only on row, iteration and seed, so skipping or resuming iterations changes nothing.
+    A draw depends only on row, iteration and seed, so skipping or resuming iterations changes nothing. The bound by a constant lets tasks
+    drop all but the first rows of a class before they are exchanged.
     """
     spark = data.sparkSession
     last = iterations if end is None else min(iterations, end)
@@ -92,4 +93,4 @@ def balanced_batches(data: DataFrame, iterations: int, start: int = 0, end: int
     quotas = classes.withColumn("quota", F.when(rank <= n_many, many).otherwise(few))
     rows = data.join(quotas, label)
     drawn = F.row_number().over(Window.partitionBy("iteration", label).orderBy(draw_key(F.col(row_id), F.col("iteration"), seed=seed), row_id))
-    return rows.withColumn("rn", drawn).filter(F.col("rn") <= F.col("quota")).drop("rn", "quota").orderBy("iteration", order)
+    return rows.withColumn("rn", drawn).filter((F.col("rn") <= max(many, few)) & (F.col("rn") <= F.col("quota"))).drop("rn", "quota").orderBy("iteration", order)
