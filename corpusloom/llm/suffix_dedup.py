@@ -17,7 +17,7 @@ sorted suffixes and the common prefixes of neighbours:
    string over the anchor has its class, and a class its least document.
 4. Hot anchors. An anchor lies whole in one range, so one that stands in a great part of a sample of texts would make that range
    too large. What its runs leave unsettled is dealt by the LENGTH-byte strings over the anchor instead (by 128 bits of
-   their hashes), each class's least document is found by an aggregation, and large classes are answered in several tasks.
+   their hashes): a task keeps the least document of each string and settles the others, so that a string comes to its range but once from each.
 
 Cases: a null text is empty; texts shorter than LENGTH lose nothing; a copy of a whole text loses all; a row
 with a null doc_id loses nothing and is no source; rows that repeat id and text are one document
@@ -183,27 +183,42 @@ def _unpacked(data: bytes, size: int) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-_HOT = np.dtype([("at", "<i4"), ("before", "<i4"), ("one", "<u8"), ("two", "<u8")])
+_HOT = np.dtype([("doc", "<i8"), ("owner", "<i8"), ("one", "<u8"), ("two", "<u8"), ("at", "<i4"), ("before", "<i4")])
+
+
+def _repeated(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows (of _HOT) in the order of their strings, and which of them repeat a string of a smaller document."""
+    rows = rows[np.lexsort((rows["doc"], rows["two"], rows["one"]))]
+    new = np.append(True, (rows["one"][1:] != rows["one"][:-1]) | (rows["two"][1:] != rows["two"][:-1]))
+    return rows, rows["doc"] > rows["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
+
+
+def _settled_strings(rows: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    yield from _settled(rows["doc"], rows["owner"], rows["at"].astype(np.int64), np.int64(1) << rows["before"].astype(np.int64), ranges)
 
 
 def _dealt(parts: tuple[np.ndarray, ...], ranges: int) -> Iterator[pa.RecordBatch]:
-    """For each document, the strings over its hot anchors: the anchor's place, the bytes before it and the string's hashes."""
+    """The strings over hot anchors (the anchor's place, the bytes before it and the string's hashes), in blocks dealt by hash.
+
+    Of equal strings of several documents those of larger ones are settled at once and the least document's goes on.
+    """
     right, sizes, left, left_sizes, doc, owner, at = parts
     wide = np.concatenate([left[:, ::-1], right], axis=1)
-    width = wide.shape[1]
     row, before = np.nonzero((_all_places(left_sizes, sizes)[:, None] >> np.arange(BEFORE + 1)) & 1)
     if not len(row):
         return
-    order = np.lexsort((before, at[row], owner[row], doc[row]))
-    row, before = row[order], before[order]
-    starts = row * width + BEFORE - before
-    one, two = span_hash_pairs(np.ascontiguousarray(wide).reshape(-1), starts, starts + LENGTH)
-    made = np.empty(len(row), _HOT)
-    made["at"], made["before"], made["one"], made["two"] = at[row], before, one, two
-    doc, owner = doc[row], owner[row]
-    cuts = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])) + 1, [len(doc)]]).tolist()
-    first = np.array(cuts[:-1])
-    yield _run_rows(range=(owner[first] % ranges).astype(np.int32), doc_id=doc[first], owner=owner[first], hot=[made[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
+    starts = row * wide.shape[1] + BEFORE - before
+    rows = np.empty(len(row), _HOT)
+    rows["one"], rows["two"] = span_hash_pairs(np.ascontiguousarray(wide).reshape(-1), starts, starts + LENGTH)
+    rows["doc"], rows["owner"], rows["at"], rows["before"] = doc[row], owner[row], at[row], before
+    rows, larger = _repeated(rows)
+    yield from _settled_strings(rows[larger], ranges)
+    rows = rows[~larger]
+    where = (rows["one"] % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    rows, where = rows[order], where[order]
+    cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(rows)]
+    yield _run_rows(range=where[cuts[:-1]], hot=[rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def _sorted_run(parts: list[tuple], splitters: np.ndarray, ranges: int, hot: bool = False) -> Iterator[pa.RecordBatch]:
@@ -388,11 +403,16 @@ def _verdicts(right_common: np.ndarray, sizes: np.ndarray, left: np.ndarray, lef
 def _merged(blocks: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_range: dict[int, list[dict]] = {}
+        hot: list[np.ndarray] = []
         for b in batches:
-            sent = b.column("common").is_valid()
-            yield b.filter(pa.compute.invert(sent))
+            sent, strings = b.column("common").is_valid(), b.column("hot").is_valid()
+            yield b.filter(pa.compute.invert(pa.compute.or_(sent, strings)))
+            hot += [np.frombuffer(x.as_buffer(), _HOT) for x in b.column("hot").filter(strings)]
             for row in b.filter(sent).to_pylist():
                 by_range.setdefault(row["range"], []).append(row)
+        if hot:
+            rows, larger = _repeated(np.concatenate(hot))
+            yield from _settled_strings(rows[larger], ranges)
         for rows in by_range.values():
             runs, base = [], 0
             for row in rows:
@@ -410,7 +430,7 @@ def _merged(blocks: DataFrame, ranges: int) -> DataFrame:
             bits = _verdicts(shared, sizes, left[order], widths[order], doc)
             yield from _settled(doc, owner, at, bits, ranges)
 
-    return blocks.repartition(ranges, "range").mapInArrow(run, _RUN_SQL).select("doc_id", "owner", "places", "bits", "hot")
+    return blocks.repartition(ranges, "range").mapInArrow(run, _RUN_SQL).select("doc_id", "owner", "places", "bits")
 
 
 # ---------------------------------------------------------------- hot anchors
@@ -433,38 +453,6 @@ def _hot_anchors(shared: DataFrame) -> np.ndarray:
     return np.array(sorted(r["anchor"] for r in rows), np.uint64)
 
 
-def _strings(hot: DataFrame) -> DataFrame:
-    """A row for each string over a hot anchor. hot: doc_id, owner and hot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [np.frombuffer(x.as_buffer(), _HOT) for x in b.column("hot")]
-            size = [len(x) for x in held]
-            rows = np.concatenate([np.zeros(0, _HOT), *held])
-            at, before, one, two = (np.ascontiguousarray(rows[k]) for k in _HOT.names)
-            columns = [np.repeat(b.column(k).to_numpy(), size) for k in ("doc_id", "owner")] + [at, before, one.view(np.int64), two.view(np.int64)]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", "owner", *_HOT.names])
-
-    return hot.mapInArrow(run, "doc_id long, owner long, at int, before int, one long, two long")
-
-
-def _hot_verdicts(rows: DataFrame) -> DataFrame:
-    """doc_id, owner, places and bits of the strings that a smaller document has. rows: what _strings gives, stored."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, cuts = b.column("found").flatten(), (b.column("found").offsets.to_numpy() - b.column("found").offsets[0].as_py()).tolist()
-            at, bits = (found.field(k).to_numpy(zero_copy_only=False).astype("<i4") for k in ("at", "bits"))
-            spans = list(zip(cuts, cuts[1:], strict=False))
-            yield pa.record_batch([b.column("doc_id"), b.column("owner"), *(pa.array([x[u:v].tobytes() for u, v in spans], pa.binary()) for x in (at, bits))], names=["doc_id", "owner", "places", "bits"])
-
-    least = rows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    found = salted_join(rows, least, ["one", "two"], "n", F.xxhash64("owner"), max(1, rows.count())).filter("doc_id > least")
-    bits = found.groupBy("doc_id", "owner", "at").agg(F.bit_or(F.expr("shiftleft(1, before)")).alias("bits"))
-    listed = bits.groupBy("doc_id", "owner").agg(F.collect_list(F.struct("at", "bits")).alias("found"))  # of one document
-    return listed.mapInArrow(packed, "doc_id long, owner long, places binary, bits binary")
-
-
 # ---------------------------------------------------------------- removal
 
 
@@ -543,19 +531,12 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
 
     chosen = least.join(shared, "owner").select(F.col("least").alias("doc_id"), "owner", "owner2", "shared")
     runs = _runs(texts.join(chosen, ["doc_id", "owner", "owner2"]).select("doc_id", "owner", "text", "shared"), splitters, buckets, hot)
-    merged = _merged(runs, buckets)
-    done = [found]
-    if len(hot):
-        merged = stored(merged, "merged")
-        strings = stored(_strings(merged.filter("hot is not null").select("doc_id", "owner", "hot")), "strings")
-        done += [merged, strings]
-        merged = merged.filter("hot is null").drop("hot").unionByName(_hot_verdicts(strings))
-    verdicts = merged.groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
+    verdicts = _merged(runs, buckets).groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
     copies = salted_join(stats.select("doc_id", "owner", "owner2"), counted, ["owner", "owner2"], "n", F.xxhash64("doc_id"), max(1, stats.count())).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
-    discard(*done)
+    discard(found)
     release(spark)  # runs and texts of the merge go before the texts move again
     settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits", *extra)
     nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"), *extra)
