@@ -531,13 +531,15 @@ def remove_repeats(docs: DataFrame, digests: bool = False, carry: tuple[str, ...
 
     chosen = least.join(shared, "owner").select(F.col("least").alias("doc_id"), "owner", "owner2", "shared")
     runs = _runs(texts.join(chosen, ["doc_id", "owner", "owner2"]).select("doc_id", "owner", "text", "shared"), splitters, buckets, hot)
-    verdicts = _merged(runs, buckets).groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
+    merged = stored(_merged(runs, buckets), "merged")
+    release(spark)  # texts and runs of the merge go before the verdicts move
+    verdicts = merged.groupBy("doc_id", "owner").agg(F.collect_list("places").alias("places"), F.collect_list("bits").alias("bits"))
     verdicts = least.withColumnRenamed("least", "doc_id").join(verdicts, ["doc_id", "owner"])
     copies = salted_join(stats.select("doc_id", "owner", "owner2"), counted, ["owner", "owner2"], "n", F.xxhash64("doc_id"), max(1, stats.count())).filter("doc_id > least").select("doc_id", "owner", "owner2").distinct()
     copies = copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"))
     verdicts = stored(verdicts.select("doc_id", "owner", "owner2", F.lit(False).alias("copy"), "places", "bits").unionByName(copies), "verdicts")
-    discard(found)
-    release(spark)  # runs and texts of the merge go before the texts move again
+    discard(found, merged)
+    release(spark)
     settled = texts.join(verdicts, ["doc_id", "owner", "owner2"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "bits", *extra)
     nameless = rows.filter("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("places"), F.lit(None).cast("array<binary>").alias("bits"), *extra)
     kept = _removed(settled.unionByName(nameless), digests)
