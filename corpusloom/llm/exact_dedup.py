@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import salted_join, stored
+from corpusloom.llm.shared import broadcast_small, salted_join, stored
 
 MIN_CHUNK = 512
 MAX_CHUNK = 8192
@@ -91,6 +91,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows, groups = _classified(docs)
     name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("")).alias("__id")
     away = _verdicts(rows, groups).filter("not kept").select(name(F.col("doc_id")), F.col("text_sha256").alias("__sha")).distinct()
+    away = broadcast_small(stored(away, "away"))  # if there are few, texts needn't move
     marked = docs.select("*", name(docs["doc_id"]), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256).alias("__sha"))
     kept = marked.join(away, ["__id", "__sha"], "left_anti")
     if not rows.groupBy("doc_id", "digest", "digest2").count().filter("count > 1").isEmpty():

@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.components import connected
 from corpusloom.llm.incidence import COLUMN_BYTES, SCHEMA_SQL, Gatherer, exchanged, from_bytes, record, runs_of, to_bytes
-from corpusloom.llm.shared import LOWER, discard, mix, partitions_for, plain, release, salted_join, slices, small_batches, span_hashes, stored, text_buffers, words_of
+from corpusloom.llm.shared import BROADCAST_ROWS, LOWER, broadcast_small, discard, mix, partitions_for, plain, release, salted_join, slices, small_batches, span_hashes, stored, text_buffers, words_of
 
 WORDS = 5
 #: Entries and sets of one block of the product, about, and how many sets make a column dense.
@@ -372,7 +372,8 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     left = left.select(F.monotonically_increasing_id().alias("node"), *keys, "first", (F.col("credit") / F.col("n")).alias("weight"))
     survivors = stored(left, "survivors")  # which fixes the nodes' numbers
     wanted = survivors.select("node", *keys, "weight", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
-    chosen = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("text", "node", *keys, "weight")
+    few = survivors.count() <= BROADCAST_ROWS  # then texts needn't move
+    chosen = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("text", "node", *keys, "weight")
     sets = stored(_whole_sets(chosen, n).dropDuplicates(["node"]), "sets")
     release(spark)
 
@@ -416,6 +417,6 @@ def distinct(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     together. Rows without a doc_id or a word stay.
     """
     away = _grouped(docs, n, percent).filter("first is not null and not (first.doc_id = doc_id and first.mark = mark)")
-    away = away.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    away = broadcast_small(stored(away.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "away"))
     same = (docs["doc_id"].cast("long") == away["__id"]) & (F.xxhash64(docs["text"].cast("string")) == away["__mark"])
     return docs.join(away, same, "left_anti")

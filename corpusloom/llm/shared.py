@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.skew import salted_join
+from corpusloom.operators.skew import BROADCAST_ROWS, broadcast_small, salted_join
 from corpusloom.operators.storage import discard
 from corpusloom.operators.storage import materialized as stored
 from corpusloom.workers import importable
