@@ -29,7 +29,7 @@ rows that repeat a doc_id are one document to `components`, with the links of al
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +85,7 @@ def prefix_length(n: int, extra: int, percent: int = PERCENT) -> int:
     return min(n, n - least_overlap(n, percent) + extra)
 
 
-def _set_key(grams: np.ndarray) -> tuple[int, int]:
+def set_key(grams: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True) or 1, int.from_bytes(digest[8:], "little", signed=True)
 
@@ -101,7 +101,7 @@ def _incidence(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
             for x, y in slices(offsets):
                 for grams in shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n):
                     size = len(grams)
-                    one, two = _set_key(grams) if size else (None, None)
+                    one, two = set_key(grams) if size else (None, None)
                     counts.append(size)
                     owner.append(one)
                     owner2.append(two)
@@ -125,7 +125,7 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
             sets, rows = [], []
             for x, y in slices(offsets):
                 for i, grams in enumerate(shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], n), x):
-                    if _set_key(grams) == owners[i]:
+                    if set_key(grams) == owners[i]:
                         sets.append(grams.view(np.int64))
                         rows.append(i)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -287,18 +287,18 @@ def _met(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"head": pa.array(np.full(len(rows), head)), "node": pa.array(nodes[rows]), "linked": pa.array(both * 100 >= (size + len(own) - both) * percent)})
 
 
-def _stars(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """head, node, n, weight and linked, for the members of large heads other than the head."""
+def _stars(large: DataFrame, sets: DataFrame, meet: Callable[[pa.Table], pa.Table], columns: tuple[str, ...]) -> DataFrame:
+    """head, node and linked, for the members of large heads other than the head."""
     count = F.ceil(F.col("m") / STAR_SETS).cast("int").alias("k")
     heads = large.groupBy("head").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("m")).select("head", count)
-    own = heads.join(sets.select(F.col("node").alias("head"), "grams"), "head")
+    own = heads.join(sets.select(F.col("node").alias("head"), *columns), "head")
     # a head of very many blocks is copied in two steps, so that no task makes all copies
-    spread = own.select("head", "grams", "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / STAR_BLOCKS).cast("int"))).alias("part")).repartition("head", "part")
+    spread = own.select("head", *columns, "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / STAR_BLOCKS).cast("int"))).alias("part")).repartition("head", "part")
     first = F.col("part") * STAR_BLOCKS
-    copies = spread.select("head", F.explode(F.sequence(first, F.least(first + STAR_BLOCKS, F.col("k")) - 1)).alias("block"), F.col("head").alias("node"), "grams")
+    copies = spread.select("head", F.explode(F.sequence(first, F.least(first + STAR_BLOCKS, F.col("k")) - 1)).alias("block"), F.col("head").alias("node"), *columns)
     others = salted_join(large.filter("head <> node").select("head", "node"), large.groupBy("head").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.ceil(F.col("m") / STAR_SETS).cast("int")), ["head"], "m", F.xxhash64("node"), max(1, large.count()))
-    dealt = others.select("head", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), "node").join(sets.select("node", "grams"), "node").select("head", "block", "node", "grams")
-    return dealt.unionByName(copies).groupBy("head", "block").applyInArrow(lambda table: _met(table, percent), "head long, node long, linked boolean")
+    dealt = others.select("head", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), "node").join(sets.select("node", *columns), "node").select("head", "block", "node", *columns)
+    return dealt.unionByName(copies).groupBy("head", "block").applyInArrow(meet, "head long, node long, linked boolean")
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
@@ -321,39 +321,57 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return pairs.select("head", "node", F.concat_ws(" ", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
 
 
-def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links that connect the sets of each block."""
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    nodes, grams = table["node"].to_pylist(), table["grams"].combine_chunks()
+    found = linked([np.asarray(g.values) for g in grams], percent)
+    return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
+
 
-    def run(table: pa.Table) -> pa.Table:
-        nodes, grams = table["node"].to_pylist(), table["grams"].combine_chunks()
-        found = linked([np.asarray(g.values) for g in grams], percent)
-        return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
+def _links(blocks: DataFrame, sets: DataFrame, link: Callable[[pa.Table], pa.Table], columns: tuple[str, ...]) -> DataFrame:
+    """u, v: links that connect the sets of each block."""
+    return blocks.join(sets.select("node", *columns), "node").groupBy("head", "block").applyInArrow(link, "u long, v long")
 
-    return blocks.join(sets.select("node", "grams"), "node").groupBy("head", "block").applyInArrow(run, "u long, v long")
 
+def linked_sets(members: DataFrame, sets: DataFrame, link: Callable[[pa.Table], pa.Table], meet: Callable[[pa.Table], pa.Table], columns: tuple[str, ...] = ("grams",)) -> DataFrame:
+    """u, v: links that connect the members (head, node, n) of all heads. sets: node and columns.
 
-def _linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: links that connect the members (head, node, n) of all heads."""
+    link gives u and v of one block of sets, meet gives head, node and linked of a block that has the head's set.
+    """
     sized = stored(_sized(members, max(1, members.count())), "sized")
     small = sized.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
     large = sized.filter(F.col("total") > BLOCK_GRAMS)
-    links = _links(small, sets, percent)
+    links = _links(small, sets, link, columns)
     if large.isEmpty():
         links = stored(links, "links")
         discard(sized)
         return links
-    met = stored(_stars(large, sets, percent), "met")
+    met = stored(_stars(large, sets, meet, columns), "met")
     links = links.unionAll(met.filter("linked").select(F.col("head").alias("u"), F.col("node").alias("v")))
     done = [sized, met]
     if not met.filter("not linked").isEmpty():
         rest = stored(large.join(met, ["head", "node"]).select("head", "node", "n", "weight", "linked"), "rest")
-        links = links.unionAll(_links(_blocks(rest), sets, percent))
+        links = links.unionAll(_links(_blocks(rest), sets, link, columns))
         done.append(rest)
     links = stored(links, "links")
     discard(*done)
     return links
 
 
+def placed(stats: DataFrame, classes: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """stats (doc_id, mark, n, owner, owner2) with class_size and `first`: doc_id and mark of the first document of the component, or null
+    where there is no set or no doc_id. classes: owner, owner2, first, class_size. nodes: node, owner, owner2, first of the classes that links name."""
+    keys = ["owner", "owner2"]
+    rooted = stored(connected(links).join(nodes, "node"), "rooted")
+    discard(links)
+    least = rooted.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("m"))
+    joined = salted_join(rooted, least, ["component"], "m", F.xxhash64("node"), max(1, rooted.count())).select(*keys, "least")
+    found = stored(classes.join(joined, keys, "left").select(*keys, "class_size", F.coalesce("least", "first").alias("first")), "classes")
+    usable = stats.filter("owner is not null and doc_id is not null")
+    grouped = salted_join(usable, found, keys, "class_size", F.xxhash64("doc_id", "mark"), max(1, stats.count())).select("doc_id", "mark", "n", "class_size", "first")
+    lone = stats.filter("owner is null or doc_id is null").select("doc_id", "mark", "n", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("struct<doc_id:long,mark:long>").alias("first"))
+    return grouped.unionByName(lone)
+
+
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One row per document: doc_id, mark (a hash of the text), n, class_size, and `first`: doc_id and mark of the first document of
     its component, or null where there is no set or no doc_id."""
@@ -384,24 +402,17 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     live = F.sum("columns").over(Window.partitionBy("node"))
     members = shared.withColumn("upto", upto).withColumn("live", live).filter(F.col("live") * 100 >= F.col("n") * percent)
     members = stored(members.filter(F.col("upto") * 200 >= F.col("n") * percent).select("head", "node", "n"), "members")
-    links = _linked_sets(members, sets, percent)
-    rooted = stored(connected(links).join(survivors.select("node", *keys, "first"), "node"), "rooted")
-    discard(sets, members, links)
-    least = rooted.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("m"))
-    joined = salted_join(rooted, least, ["component"], "m", F.xxhash64("node"), max(1, rooted.count())).select(*keys, "least")
-    found = stored(classes.join(joined, keys, "left").select(*keys, "class_size", F.coalesce("least", "first").alias("first")), "classes")
-    total = max(1, stats.count())
-    grouped = salted_join(usable, found, keys, "class_size", F.xxhash64("doc_id", "mark"), total).select("doc_id", "mark", "n", "class_size", "first")
-    lone = stats.filter("owner is null or doc_id is null").select("doc_id", "mark", "n", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("struct<doc_id:long,mark:long>").alias("first"))
-    return grouped.unionByName(lone)
+    links = linked_sets(members, sets, lambda table: _block_links(table, percent), lambda table: _met(table, percent))
+    discard(sets, members)
+    return placed(stats, classes, survivors.select("node", *keys, "first"), links)
 
 
-def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_size (documents with an equal set)."""
-    rows = _grouped(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "class_size")
+def joined_components(grouped: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size; documents whose rows are in several components join these."""
+    rows = grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "class_size")
     rows = stored(rows, "grouped")
     several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("one"), F.max("component_id").alias("two")).filter("one < two")
-    several = stored(several, "several")  # documents whose rows are in several components join these
+    several = stored(several, "several")
     if several.isEmpty():
         return rows
     edges = rows.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
@@ -410,6 +421,11 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     return found.select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"), "class_size")
 
 
+def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_size (documents with an equal set)."""
+    return joined_components(_grouped(docs, n, percent))
+
+
 def distinct(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, all their columns as they are: of each group of near copies the first by doc_id.
 
