@@ -3,14 +3,16 @@
 Only points that no dense cluster reaches are kept, so clusters need no names: a sentence stays if it isn't a core
 point and no core point is near. Near pairs come from an inverted index on the rarest terms of each sentence, as
 many as needed for the rest to be too light for a match. Two near points meet under their first common term: there the product of
-what either weighs from that term on is a bound, and one matrix product of bounded size finds the pairs; candidates never leave
-the task. Terms of very many points are dealt in pairs of blocks. Sentences
+what either weighs from that term on is a bound, and one matrix product of bounded size finds the pairs. Neither candidates nor pairs leave
+the task: a first pass counts what is near each point, up to what makes it a core point, a second one names the points near a core point, and
+from a block comes a row for each of its points at most. Terms of very many points are dealt in pairs of blocks. Sentences
 with the same terms are one point with a multiplicity, so copies make no pairs.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SLACK = 1e-9
 #: Points of a term, about, that meet in one product, and columns of it that are taken at once.
 BLOCK_POINTS = 400
 BLOCK_COLUMNS = 4096
+#: Points of small terms that share one product.
+CALL_POINTS = 100
 
 
 def _accents() -> tuple[str, str]:
@@ -62,33 +66,114 @@ def tfidf(sentences: DataFrame, min_df: int = MIN_DF, stop_words: list[str] | No
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def near_points(table: pa.Table, least: float) -> pa.Table:
-    """a, b, ma, mb: the near pairs of points under a term. table: one term and pair of blocks, each point with its terms from there on."""
-    tail, kept = table["tail"].to_numpy(), []
-    if len(tail) > 1:
-        second, first = np.partition(tail, -2)[-2:]
-        kept = np.flatnonzero(tail * np.where(tail == first, second, first) >= least - SLACK)  # with the most that another may have
-    if len(kept) < 2:
-        return table.slice(0, 0).select(["point", "point", "m", "m"]).rename_columns(["a", "b", "ma", "mb"])
-    table = table.take(pa.array(kept))
-    lists = table["ids"].combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(kept)), size)
-    weights = table["ws"].combine_chunks().flatten().to_numpy()
-    terms, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    dots = np.zeros((len(kept), len(kept)))
-    for at in range(0, len(terms), BLOCK_COLUMNS):
+# ---------------------------------------------------------------- near points of one term
+
+
+def _together(runs: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows that are compared in one product: whole runs, of CALL_POINTS rows together or of one run. runs: where each begins, and the end."""
+    out, at = [], 0
+    for x, y in zip(runs, runs[1:], strict=False):
+        if x > at and y - at > CALL_POINTS:
+            out.append((at, int(x)))
+            at = int(x)
+    return [*out, (at, int(runs[-1]))] if runs[-1] > at else out
+
+
+def _shared(lists: pa.ListArray, weights: np.ndarray | None, run: np.ndarray) -> np.ndarray:
+    """Products of the rows' sparse vectors; terms of different runs are different."""
+    row = np.repeat(np.arange(len(run)), np.diff(lists.offsets.to_numpy()))
+    terms = lists.flatten().to_numpy().view(np.uint64) ^ (run[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    names, column = np.unique(terms, return_inverse=True)
+    out = np.zeros((len(run), len(run)))
+    for at in range(0, len(names), BLOCK_COLUMNS):
         inside = (column >= at) & (column < at + BLOCK_COLUMNS)
-        block = np.zeros((len(kept), min(BLOCK_COLUMNS, len(terms) - at)))
-        block[row[inside], column[inside] - at] = weights[inside]
-        dots += block @ block.T
-    own, names = table["own"].to_numpy(), table["point"].to_numpy(zero_copy_only=False)
-    i, j = np.nonzero(np.triu(dots >= least - SLACK, 1))
-    met = (np.minimum(own[i], own[j]) == table["low"][0].as_py()) & (np.maximum(own[i], own[j]) == table["high"][0].as_py())
-    i, j = i[met], j[met]
-    first, second = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
+        block = np.zeros((len(run), min(BLOCK_COLUMNS, len(names) - at)))
+        block[row[inside], column[inside] - at] = 1 if weights is None else weights[inside]
+        out += block @ block.T
+    return out
+
+
+def near_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j that are near points of one term and pair of blocks, each two points under their first common term alone.
+
+    table: sorted by run (a term and a pair of blocks). Two points meet under every term that both have; terms come in one order, so the first one
+    is where they have none in common before, and from there on the product is that of the whole vectors.
+    """
+    run, own = table["run"].to_numpy(), table["own"].to_numpy()
+    tail = table["tail"].to_numpy()
+    order = np.lexsort((-tail, run))
+    begin = np.searchsorted(run[order], run)
+    first = tail[order][begin]
+    second = tail[order][np.minimum(begin + 1, len(run) - 1)]
+    alone = run[order][np.minimum(begin + 1, len(run) - 1)] != run
+    most = np.where(tail == first, second, first)  # the most that another point of the run may have
+    kept = np.flatnonzero(~alone & (begin + 1 < len(run)) & (tail * most >= least - SLACK))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    cuts = np.append(np.flatnonzero(np.append(True, run[kept][1:] != run[kept][:-1])), len(kept)) if len(kept) else np.zeros(1, np.int64)
+    for x, y in _together(cuts):
+        some = kept[x:y]
+        part = table.take(pa.array(some))
+        part_run = run[some]
+        dots = _shared(part["ids"].combine_chunks(), part["ws"].combine_chunks().flatten().to_numpy(), part_run)
+        i, j = np.nonzero(np.triu(dots >= least - SLACK, 1))
+        if len(i):
+            before = _shared(part["before"].combine_chunks(), None, part_run)
+            a, b = some[i], some[j]
+            met = (before[i, j] == 0) & (np.minimum(own[a], own[b]) == table["low"].to_numpy()[a]) & (np.maximum(own[a], own[b]) == table["high"].to_numpy()[a])
+            pairs.append((a[met], b[met]))
+    return tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def degrees(table: pa.Table, least: float, enough: int) -> pa.Table:
+    """node, others: of the points of some runs, how many sentences are near in them, up to `enough`. A row for each run and point at most."""
+    i, j = near_pairs(table, least)
     m = table["m"].to_numpy()
-    return pa.table({"a": pa.array(names[first], pa.string()), "b": pa.array(names[second], pa.string()), "ma": pa.array(m[first]), "mb": pa.array(m[second])})
+    near = np.bincount(i, m[j], len(m)) + np.bincount(j, m[i], len(m))
+    some = np.flatnonzero(near)
+    return pa.table({"node": table["node"].take(pa.array(some)), "others": pa.array(np.minimum(near[some], enough).astype(np.int64))})
+
+
+def reached(table: pa.Table, least: float) -> pa.Table:
+    """node: the points of some runs that aren't core and have a core point near."""
+    i, j = near_pairs(table, least)
+    core = table["core"].to_numpy(zero_copy_only=False)
+    at = np.unique(np.concatenate([i[~core[i] & core[j]], j[~core[j] & core[i]]]))
+    return pa.table({"node": table["node"].take(pa.array(at))})
+
+
+# ---------------------------------------------------------------- all terms
+
+
+def _by_run(prefixes: DataFrame, terms: DataFrame, found: Callable[[pa.Table], pa.Table], schema: str, total: int) -> DataFrame:
+    """What `found` tells of whole runs. terms: term, n (its points) and k (its blocks); a hot term is dealt in pairs of blocks."""
+    run = ["term", "low", "high"]
+    dealt = salted_join(prefixes, terms, ["term"], "n", F.xxhash64("node"), total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if not table.num_rows:
+                continue
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.logical_or.reduce([(c := table[n].to_numpy())[1:] != c[:-1] for n in run])
+            last = int(np.flatnonzero(new)[-1])  # the next batch may go on with this run
+            if last:
+                done = table.slice(0, last).append_column("run", pa.array(np.cumsum(new[:last]))).combine_chunks()
+                yield from found(done).to_batches()
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from found(rest.append_column("run", pa.array(np.zeros(rest.num_rows, np.int64))).combine_chunks()).to_batches()
+
+    n = max(1, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.drop("other", "k", "n").repartition(n, *run).sortWithinPartitions(*run).mapInArrow(whole, schema)
+
+
+def _blocks(prefixes: DataFrame, *wanted: Column) -> DataFrame:
+    """term, n and k of the terms under which points can meet."""
+    counts = prefixes.groupBy("term").agg(F.count(F.lit(1)).alias("n"), *wanted)
+    return counts.filter("n > 1").withColumn("k", F.ceil(F.col("n") * 2 / BLOCK_POINTS).cast("int"))
 
 
 def noise(sentences: DataFrame, min_df: int = MIN_DF, eps: float = EPS, min_samples: int = MIN_SAMPLES, stop_words: list[str] | None = None) -> DataFrame:
@@ -100,23 +185,25 @@ def noise(sentences: DataFrame, min_df: int = MIN_DF, eps: float = EPS, min_samp
     # the weights of equal term counts are equal, so rounding only guards the grouping
     named = vectors.withColumn("point", F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term"].alias("t"), F.round(x["w"], 10).alias("w")))), 256))
     named = materialized(named, "vectors")
-    points = materialized(named.groupBy("point").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m")), "points")
+    points = materialized(named.groupBy("point").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m")).withColumn("node", F.monotonically_increasing_id()), "points")  # which fixes the nodes' numbers
     # tail: the weight of a term and all rarer-ordered terms after it
     squares = F.aggregate("v", F.lit(0.0), lambda s, y: s + y["w"] * y["w"])
     rest = F.transform("v", lambda x, i: F.struct(x["term"].alias("term"), i.alias("i"), F.sqrt(F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])).alias("tail")))
-    prefixes = points.filter(squares > 0).select("point", "m", "v", F.explode(rest).alias("p")).filter(F.col("p.tail") >= least - SLACK)
-    after = F.slice("v", F.col("p.i") + 1, F.size("v"))
-    prefixes = prefixes.select("point", "m", F.col("p.term").alias("term"), F.col("p.tail").alias("tail"), F.transform(after, lambda x: F.xxhash64(x["term"])).alias("ids"), F.transform(after, lambda x: x["w"]).alias("ws"))
-    blocks = prefixes.groupBy("term").agg(F.ceil(F.count(F.lit(1)) * 2 / BLOCK_POINTS).cast("int").alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    prefixes, blocks = materialized(prefixes, "prefixes"), materialized(blocks, "blocks")
-    dealt = salted_join(prefixes, blocks, ["term"], "n", F.xxhash64("point"), prefixes.count()).withColumn("own", F.pmod(F.xxhash64("point"), F.col("k")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    near = dealt.groupBy("term", "low", "high").applyInArrow(lambda table: near_points(table, least), "a string, b string, ma long, mb long")
-    near = materialized(near.distinct(), "near")
-    discard(prefixes, blocks)
-    both = near.select("a", "b", F.col("mb").alias("m")).unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ma").alias("m")))
-    degree = points.join(both.groupBy(F.col("a").alias("point")).agg(F.sum("m").alias("others")), "point", "left")
-    core = degree.filter(F.col("m") + F.coalesce("others", F.lit(0)) >= min_samples).select("point")
-    reached = both.join(core, both["b"] == core["point"], "left_semi").select(F.col("a").alias("point"))
-    dropped = named.join(core.unionAll(reached).distinct(), "point", "left_semi").select("id")
-    return sentences.select("id").join(dropped, "id", "left_anti")
+    prefixes = points.filter(squares > 0).select("node", "m", "v", F.explode(rest).alias("p")).filter(F.col("p.tail") >= least - SLACK)
+    after, names = F.slice("v", F.col("p.i") + 1, F.size("v")), lambda terms: F.transform(terms, lambda x: F.xxhash64(x["term"]))
+    prefixes = prefixes.select(
+        "node", "m", F.xxhash64("p.term").alias("term"), F.col("p.tail").alias("tail"), names(F.slice("v", 1, F.col("p.i"))).alias("before"), names(after).alias("ids"), F.transform(after, lambda x: x["w"]).alias("ws"),
+    )
+    prefixes = materialized(prefixes, "prefixes")
+    total = max(1, prefixes.count())
+    terms = materialized(_blocks(prefixes), "terms")
+    near = _by_run(prefixes, terms, lambda t: degrees(t, least, min_samples), "node long, others long", total)
+    degree = points.select("node", "point", "m").join(near.groupBy("node").agg(F.sum("others").alias("others")), "node", "left")
+    judged = materialized(degree.select("node", "point", (F.col("m") + F.coalesce("others", F.lit(0)) >= min_samples).alias("core")), "judged")
+    # terms under which a core point can meet another
+    marked = prefixes.join(judged.select("node", "core"), "node")
+    both = materialized(_blocks(marked, F.max("core").alias("some"), F.min("core").alias("every")).filter("some and not every").drop("some", "every"), "terms")
+    touched = _by_run(marked, both, lambda t: reached(t, least), "node long", total).distinct().join(judged, "node").select("point")
+    gone = materialized(judged.filter("core").select("point").unionAll(touched), "gone")
+    discard(prefixes, terms, both, judged, points)
+    return sentences.select("id").join(named.join(gone, "point", "left_semi").select("id"), "id", "left_anti")

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from corpusloom.functions.labels import standard_target
 from corpusloom.functions.sentences import pack_sentences, split_sentences, word_count
 from corpusloom.operators import boilerplate
+from corpusloom.operators.numbering import numbered
+from corpusloom.operators.skew import salted_join
 from corpusloom.operators.storage import materialized
 
 GROUP = ["goal", "target", "section", "source_url", "title", "revision_id", "revision_timestamp"]
@@ -32,30 +34,51 @@ def drop_boilerplate(lists: DataFrame, **parameters) -> DataFrame:
 
 
 def pack(lists: DataFrame, min_length: int = 20, max_length: int = 40) -> DataFrame:
-    """One row per excerpt, in order; of equal ones (case aside) of a group the first stays."""
+    """One row per excerpt, in order; of equal ones (case aside) of a group the first stays.
+
+    Equal ones are found by a 128-bit digest, whose rows move without their texts. A second digest is held to it: should two
+    texts share the first only, all are compared as they are.
+    """
     packed = lists.select(*ORDER, *GROUP, F.posexplode(pack_sentences(F.col("sentences"), min_length, max_length)).alias("part", "excerpt"))
-    first = Window.partitionBy(*GROUP, F.lower("excerpt")).orderBy(*ORDER, "part")
-    return packed.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    packed = materialized(packed, "packed")
+    place, text = F.struct(*ORDER, "part"), [*(F.col(c) for c in GROUP), F.lower("excerpt")]
+    marks = packed.select(place.alias("place"), F.xxhash64(*text).alias("d1"), F.xxhash64(F.lit(1), *text).alias("d2"), F.md5(F.to_json(F.struct(*text))).alias("check"))
+    firsts = materialized(marks.groupBy("d1", "d2").agg(F.min("place").alias("place"), (F.min("check") == F.max("check")).alias("one")), "firsts")
+    if not firsts.filter("not one").isEmpty():
+        whole = Window.partitionBy(*GROUP, F.lower("excerpt")).orderBy(*ORDER, "part")
+        return packed.withColumn("rn", F.row_number().over(whole)).filter("rn = 1").drop("rn")
+    return packed.join(firsts.select(*(F.col(f"place.{c}").alias(c) for c in (*ORDER, "part"))), [*ORDER, "part"], "left_semi")
+
+
+def _groups(packed: DataFrame) -> DataFrame:
+    """Of each group: its key, its number of rows, the paragraph in which it begins, and its first row if this is the first of its target."""
+    row = F.struct(*ORDER, "part")
+    groups = packed.groupBy(F.struct(*GROUP).alias("key")).agg(F.min(F.struct(*ORDER)).alias("begun"), F.min(row).alias("opens"), F.count(F.lit(1)).alias("rows"))
+    label = F.struct("key.goal", "key.target").alias("label")  # a struct, as null labels are labels too
+    firsts = groups.groupBy(label).agg(F.min("opens").alias("opens"))
+    return groups.withColumn("label", label).join(firsts.withColumn("first", F.lit(True)), ["label", "opens"], "left").select("key", "rows", "begun", F.when(F.col("first"), F.col("opens")).alias("first"))
 
 
 def number(packed: DataFrame, min_length: int = 20, max_length: int = 40, max_std: int = 15, filter_min: bool = True, filter_max: bool = True) -> DataFrame:
     """Excerpts of fitting length with their ids, goal_target_counter.
 
-    The first excerpt of a target is kept whatever its length. Groups follow each other in the order in which they begin.
+    The first excerpt of a target is kept whatever its length. Groups follow each other in the order in which they begin. A label's rows
+    are numbered where they lie, however many they are.
     """
-    begun = Window.partitionBy(*GROUP)
-    order = [*(F.col(f"begun.{c}") for c in ORDER), *ORDER, "part"]
-    label = Window.partitionBy("goal", "target").orderBy(*order)
-    rows = packed.withColumn("begun", F.min(F.struct(*ORDER)).over(begun)).withColumn("rn", F.row_number().over(label)).withColumn("words", word_count(F.col("excerpt")))
+    groups = materialized(_groups(packed), "groups")
+    total = groups.agg(F.sum("rows")).first()[0] or 1
+    rows = salted_join(packed.withColumn("key", F.struct(*GROUP)), groups, ["key"], "rows", F.xxhash64(*ORDER, "part"), total).withColumn("words", word_count(F.col("excerpt")))
     fits = F.lit(True)
     if filter_min:
         fits = fits & (F.col("words") >= min_length - max_std)
     if filter_max:
         fits = fits & (F.col("words") <= max_length + max_std)
-    kept = rows.filter(fits | ((F.col("target") != "") & (F.col("rn") == 1)))
-    counter = F.row_number().over(label) - 1
-    named = kept.withColumn("id", F.concat_ws("_", "goal", "target", counter.cast("string"))).withColumn("ord", F.struct("begun", *ORDER, "part"))
-    return named.filter(standard_target(F.col("target"))).select("id", F.col("excerpt").alias("modified_text_excerpt"), *GROUP, "ord")
+    first = F.coalesce(F.struct(*ORDER, "part") == F.col("first"), F.lit(False))
+    kept = rows.filter(fits | ((F.col("target") != "") & first)).filter(standard_target(F.col("target")))
+    kept = kept.select("excerpt", *GROUP, F.struct("begun", *ORDER, "part").alias("ord"))
+    counted = numbered(kept, ["goal", "target"], ["ord"], "counter")
+    named = counted.withColumn("id", F.concat_ws("_", "goal", "target", F.col("counter").cast("string")))
+    return named.select("id", F.col("excerpt").alias("modified_text_excerpt"), *GROUP, "ord")
 
 
 def excerpts(paragraphs: DataFrame, min_length: int = 20, max_length: int = 40, max_std: int = 15, filter_min: bool = True, filter_max: bool = True, **cluster) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from corpusloom.operators.numbering import numbered
 from corpusloom.operators.skew import broadcast_small
 
 
 def label_dictionary(rows: DataFrame, label: str, order: str) -> DataFrame:
-    """label and label_id by first appearance; '' has none. One row per label, so numbering runs over labels, not rows."""
+    """label and label_id by first appearance; '' has none."""
     firsts = rows.filter(F.col(label) != "").groupBy(F.col(label).alias("label")).agg(F.min(order).alias("first"))
-    return firsts.select("label", (F.row_number().over(Window.orderBy("first", "label")) - 1).alias("label_id"))
+    return numbered(firsts, [], ["first", "label"], "label_id").select("label", "label_id")
 
 
 def encode(rows: DataFrame, dictionary: DataFrame, label: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions.labels import multiple_labels
 from corpusloom.operators import encoders, labels, metrics, neighbours, testsets
+from corpusloom.operators.numbering import numbered
 from corpusloom.operators.skew import broadcast_small
 from corpusloom.plans.corpus import FineTuningDataExtractor
 from corpusloom.sources import tables
@@ -101,9 +101,9 @@ class Evaluator:
         spark = training.sparkSession
         train_label, test_label = label_columns(test_task)
         ordered = training.filter(F.col(train_label) != "")
-        dictionary = labels.label_dictionary(ordered, train_label, "ord").persist()
+        dictionary = labels.label_dictionary(ordered, train_label, "ord")
         vectors = encoders.embed(ordered, "modified_text_excerpt", encoder, checkpoint=checkpoint_number, **directories)
-        train = labels.encode(vectors, dictionary, train_label).select(F.row_number().over(Window.orderBy("ord", "modified_text_excerpt")).alias("t_id"), "label_id", "vector").persist()  # a training sample of some hundred rows
+        train = numbered(labels.encode(vectors, dictionary, train_label), [], ["ord", "modified_text_excerpt"], "t_id").select("t_id", "label_id", "vector")
         embedded = {n: None if rows is None else encoders.embed(rows, "text", encoder, checkpoint=checkpoint_number, **directories) for n, rows in (("validation", validation), ("test", test))}
         ks, found = KS[test_task], {}
         for name, rows in embedded.items():

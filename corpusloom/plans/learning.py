@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.operators import sampling
 from corpusloom.operators.encoders import MAX_TOKENS
+from corpusloom.operators.numbering import numbered
 from corpusloom.operators.skew import broadcast_small
 from corpusloom.plans.corpus import FineTuningDataExtractor
 
@@ -84,11 +84,10 @@ class RepresentationLearner:
 
     def prepare(self, data: DataFrame) -> DataFrame:
         """id, text, goal, y and pos, by goal as a number, then target."""
-        order = Window.orderBy(F.col("goal").cast("int"), "target", "ord", "id")
-        rows = data.na.fill("").withColumn("pos", F.row_number().over(order) - 1)  # a training sample of some hundred rows
+        rows = numbered(data.na.fill(""), [], [F.col("goal").cast("int"), "target", "ord", "id"], "pos")
         if self.label == "goal":
             return rows.select("id", F.col("modified_text_excerpt").alias("text"), "goal", (F.col("goal").cast("int") - 1).alias("y"), "pos")
-        firsts = rows.groupBy("target").agg(F.min("pos").alias("first")).select("target", (F.row_number().over(Window.orderBy("first")) - 1).alias("y"))
+        firsts = numbered(rows.groupBy("target").agg(F.min("pos").alias("first")), [], ["first"], "y").select("target", "y")
         return rows.join(broadcast_small(firsts), "target").select("id", F.col("modified_text_excerpt").alias("text"), "goal", "y", "pos")
 
     def load_data(self, spark: SparkSession, k: int) -> DataFrame:
