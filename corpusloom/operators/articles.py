@@ -1,23 +1,18 @@
 """Articles to labelled paragraphs.
 
-The general article is window SQL over lines. The goals' articles are read by small state machines whose
-state runs over a page's lines; a page is one row, so they run in an Arrow batch function, page by page.
+Both kinds are window functions over lines. In the goals' articles the few states that a line can find (a list is open, a section has
+begun, a target is told) follow from the lines before it by running aggregates.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import markup
 from corpusloom.functions import patterns as P
-from corpusloom.functions.regex import matches, strip
-from corpusloom.workers import importable
+from corpusloom.functions.regex import matches, replace, strip
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1c-\x1e\x85\u2028\u2029]"
 PARAGRAPH_COLUMNS = ["goal", "target", "section", "source_url", "title", "revision_id", "revision_timestamp", "text"]
@@ -51,127 +46,119 @@ def general_paragraphs(pages: DataFrame) -> DataFrame:
     return body.select(*KEYS, "emit_ord", *paragraph(F.col("goal_now"), F.lit(""), F.lit("General"), line))
 
 
-class _Lists:
-    """Gathers a list and the line before it into one paragraph."""
-
-    def __init__(self, item, opening=lambda line: False):
-        self.item, self.opening, self.open = item, opening, None
-
-    @staticmethod
-    def entry(line: str) -> str:
-        return line.replace("*", "") + ";; "
-
-    def feed(self, line: str) -> list[str]:
-        """The paragraphs that the line completes."""
-        done = []
-        if self.open is not None:
-            if self.item(line):
-                self.open += self.entry(line)
-                return done
-            done, self.open = [self.open], None
-        elif self.opening(line) and not line.endswith(":"):
-            self.open = self.entry(line)
-            return done
-        if line.endswith(":"):
-            self.open = line
-            return done
-        return [*done, line]
-
-
-def _star_first(line: str) -> bool:
-    return line.startswith("*")
-
-
-def _star_last(line: str) -> bool:
-    return line.endswith("*")
-
-
-def lead_section(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
-    """(target, section, text) up to the first heading."""
-    lists = _Lists(_star_first)
-    for line in lines:
-        heading = line.startswith("=")
-        if heading and lists.open is None:
-            return
-        for text in lists.feed(line):
-            yield "", "Lead section", text
-        if heading:
-            return
-
-
-_NEXT_SECTION = re.compile(r"^==[\s\tA-Z].+$")
-
-
-def named_section(lines: Iterable[str], key: str) -> Iterator[tuple[str, str, str]]:
-    """The sections whose heading holds the key."""
-    lists, name, closing = _Lists(_star_last, _star_last), None, False
-    for line in lines:
-        low = line.lower()
-        if line.startswith(("== ", "==\t")) and key in low:
-            name = line.replace("=", "").replace("\t", "").strip()
-        elif name is None:
-            continue
-        elif (_NEXT_SECTION.match(line) and key not in low) or (line.startswith("===") and "custodian agencies" in low):
-            if lists.open is None:
-                return
-            closing = True  # once the open list is done
-        elif not line.startswith("=="):
-            for text in lists.feed(line):
-                yield "", name, text
-            if closing:
-                return
-
-
-_TARGET = re.compile(r"^===\s?target.+$", re.IGNORECASE)
-_TARGET_WORD = re.compile(r"===\s?[tT]argets?\s")
-
-
-def target_sections(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
-    """Each target's heading and what stands below it."""
-    lists, target = _Lists(_star_first), None
-    label = None
-    for line in lines:
-        if line.startswith("==="):
-            if lists.open is not None:
-                yield label, "Targets", lists.open
-            lists, target = _Lists(_star_first), None
-            if _TARGET.match(line):
-                mark = ":" if ":" in line else ". "
-                rest = _TARGET_WORD.sub("", line)
-                target = rest[: rest.index(mark)].strip().removesuffix(".")
-                label = target
-                title = line.replace("=", "").strip()
-                yield target, "Targets", title[title.index(mark) + 1 :].strip()
-        elif target is None:
-            continue
-        elif line.startswith("== "):
-            return
-        else:
-            for text in lists.feed(line):
-                yield target, "Targets", text
-
-
-def read_article(text: str) -> Iterator[tuple[str, str, str]]:
-    lines = [s for line in text.splitlines() if (s := line.strip())]
-    yield from lead_section(lines)
-    headings = [line.lower() for line in lines if line.startswith(("== ", "==\t"))]
-    for key in P.SECTIONS:
-        if any(key in heading for heading in headings):  # else the section isn't there
-            yield from named_section(lines, key)
-    yield from target_sections(lines)
+# ---------------------------------------------------------------- articles on one goal
+
+#: What follows a section: a heading of the second level, or the agencies.
+NEXT_SECTION, AGENCIES = r"^==[\s\tA-Z].+$", "custodian agencies"
+TARGET, TARGET_WORD = r"^===\s?target.+$", r"===\s?[tT]argets?\s"
+_PAGE = [*KEYS, "title", "revision_id", "revision_timestamp"]
+
+
+def _parts(pages: DataFrame) -> DataFrame:
+    """A row for each line of each part of an article: part (0 the lead, then a number for each section's key, last the targets), key, i and line.
+
+    A part begins at its first heading and has what follows; the lead ends with the first heading.
+    """
+    lines = F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "")
+    found = pages.select(*_PAGE, lines.alias("lines"))
+    first = lambda condition: F.array_position(F.transform("lines", condition), F.lit(True))
+    headings = lambda key: lambda x: (x.startswith("== ") | x.startswith("==\t")) & F.contains(F.lower(x), F.lit(key))
+    part = lambda n, key, start, length: F.struct(F.lit(n).alias("part"), F.lit(key).alias("key"), F.slice("lines", start, length).alias("lines"))
+    end, h = F.size("lines"), first(lambda x: x.startswith("="))
+    every = [part(0, "", F.lit(1), F.when(h > 0, h).otherwise(end).cast("int"))]
+    for n, (key, at) in enumerate([*((k, first(headings(k))) for k in P.SECTIONS), ("", first(lambda x: x.startswith("===")))], 1):
+        every.append(F.when(at > 0, part(n, key, at.cast("int"), end)))
+    kept = F.filter(F.array(*every), lambda x: x.isNotNull())
+    return found.filter(end > 0).select(*_PAGE, F.explode(kept).alias("p")).select(*_PAGE, "p.part", "p.key", F.posexplode("p.lines").alias("i", "line"))
+
+
+def _lead(lines: DataFrame) -> DataFrame:
+    """Lines that the lead's lists read; a heading only where a list is open before it, which is looked at later."""
+    return lines.withColumns({"fed": F.lit(True), "name": F.lit("Lead section"), "seg": F.lit(0), "label": F.lit(""), "after_heading": F.lit(False), "heads": F.col("line").startswith("=")})
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines of the sections of one key. The section ends at the next one's heading, or one line later where a list is open there."""
+    line, low, key = F.col("line"), F.lower("line"), F.col("key")
+    whole = Window.partitionBy(*KEYS, "part")
+    head = (line.startswith("== ") | line.startswith("==\t")) & F.contains(low, key)
+    ends = ~head & ((matches(line, NEXT_SECTION) & ~F.contains(low, key)) | (line.startswith("===") & low.contains(AGENCIES)))
+    marked = lines.withColumns({"head": head, "cand": ~line.startswith("=="), "open": line.endswith("*") | line.endswith(":")})
+    marked = marked.withColumn("end", F.min(F.when(ends, F.col("i"))).over(whole))
+    inside = F.col("cand") & (F.col("end").isNull() | (F.col("i") < F.col("end")))
+    open_there = F.max(F.when(inside, F.struct("i", "open"))).over(whole)["open"]
+    further = F.min(F.when(F.col("cand") & (F.col("i") > F.col("end")), F.col("i"))).over(whole)
+    name = F.last(F.when(F.col("head"), strip(F.translate("line", "=\t", ""))), ignorenulls=True).over(whole.orderBy("i"))
+    fed = inside | (F.col("cand") & F.coalesce(open_there, F.lit(False)) & (F.col("i") == further))
+    told = marked.withColumns({"fed": F.coalesce(fed, F.lit(False)), "name": name})
+    return told.withColumns({"seg": F.lit(0), "label": F.lit(""), "after_heading": F.lit(False), "heads": F.lit(False)}).drop("head", "cand", "open", "end")
+
+
+def _found(mark: Column, text: Column, line: Column) -> Column:
+    """Where the mark stands in a text, from 1; none is an error."""
+    at = F.position(mark, text)
+    return F.when(at == 0, F.raise_error(F.concat(F.lit("No mark in the heading of a target: "), line)).cast("int")).otherwise(at)
+
+
+def _targets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines below the headings of targets, and the headings as paragraphs."""
+    line = F.col("line")
+    whole = Window.partitionBy(*KEYS, "part")
+    running = whole.orderBy("i")
+    sect = line.startswith("===")
+    mark = F.when(F.contains(line, F.lit(":")), ":").otherwise(". ")
+    rest, title = replace(line, TARGET_WORD), strip(F.replace(line, F.lit("="), F.lit("")))
+    name = F.regexp_replace(strip(F.call_function("left", rest, _found(mark, rest, line) - 1)), r"\.\z", "")
+    told = F.call_function("substring", title, _found(mark, title, line) + 1, F.char_length(title))
+    opened = F.when(matches(line, TARGET, ignore_case=True), F.struct(name.alias("label"), strip(told).alias("told")))
+    marked = lines.withColumns({"sect": sect, "opened": F.when(sect, F.struct(opened.alias("of")))})
+    marked = marked.withColumn("of", F.last("opened", ignorenulls=True).over(running)["of"]).withColumn("seg", F.count(F.when(F.col("sect"), 1)).over(running).cast("int"))
+    stop = F.min(F.when(~F.col("sect") & F.col("of").isNotNull() & line.startswith("== "), F.col("i"))).over(whole)
+    marked = marked.withColumn("stop", stop).filter("stop is null or i <= stop").withColumn("segs", F.max("seg").over(whole)).filter("of is not null")
+    body = marked.filter("not sect and (stop is null or i < stop)").withColumns({"fed": F.lit(True), "name": F.lit("Targets"), "label": F.col("of.label"), "after_heading": F.col("seg") < F.col("segs"), "heads": F.lit(False)})
+    columns = [*_PAGE, "part", "i"]
+    return body.drop("sect", "opened", "of", "stop", "segs"), marked.filter("sect").select(*columns, F.col("of.label").alias("target"), F.lit("Targets").alias("section"), F.col("of.told").alias("text"))
+
+
+def _gathered(lines: DataFrame) -> DataFrame:
+    """Lines as paragraphs, a list with the line before it as one. lines: part, i, line, fed, name, seg, label, after_heading and heads.
+
+    A line opens a list if it ends with a colon; in a section (stars come last there) one with a star does, too. A line with a star goes on with an open list.
+    Whether a list is open after a line follows from the line alone, but for a star outside the sections, which leaves it as it is. A list is told once
+    a line follows that isn't its own, or a target's heading does; else it is lost.
+    """
+    line, section = F.col("line"), (F.col("part") > 0) & (F.col("part") <= len(P.SECTIONS))
+    run = Window.partitionBy(*KEYS, "part", "seg").orderBy("i")
+    item, colon = F.when(section, line.endswith("*")).otherwise(line.startswith("*")), line.endswith(":")
+    state = F.when(colon, True).when(section, item).when(~item, False)
+    rows = lines.filter("fed").withColumns({"item": item, "colon": colon, "state": F.last(state, ignorenulls=True).over(run)})
+    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(run), F.lit(False))).filter("not heads or before")
+    goes_on = F.col("before") & F.col("item")
+    entry = F.concat(F.replace(line, F.lit("*"), F.lit("")), F.lit(";; "))
+    starred = section & F.col("item")
+    rows = rows.withColumns({"goes_on": goes_on, "plain": ~goes_on & ~F.col("colon") & ~starred, "piece": F.when(goes_on | starred, entry).otherwise(line)})
+    rows = rows.withColumns({"g": F.count(F.when(~F.col("goes_on"), 1)).over(run), "next_name": F.lead("name").over(run)})
+    pieces = F.array_sort(F.collect_list(F.struct("i", "piece")))
+    grouped = rows.groupBy(*_PAGE, "part", "seg", "g").agg(
+        F.min("i").alias("i"), F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text"), F.max_by(F.struct("name", "next_name"), "i").alias("names"), F.max("plain").alias("plain"), F.max("label").alias("target"), F.max("after_heading").alias("after_heading"),
+    )
+    told = F.col("plain") | F.col("after_heading") | F.col("names.next_name").isNotNull()
+    return grouped.filter(told).select(*_PAGE, "part", "i", "target", F.when(F.col("plain"), F.col("names.name")).otherwise(F.coalesce("names.next_name", "names.name")).alias("section"), "text")
 
 
 def specific_paragraphs(pages: DataFrame) -> DataFrame:
-    """Lead section, named sections and targets of each goal's article."""
-
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"target": a, "section": b, "line": c} for a, b, c in read_article(t or "")])
-
-    importable(pages.sparkSession)
-    parsed = F.pandas_udf(parse, "array<struct<target:string,section:string,line:string>>")
-    rows = pages.select(*KEYS, "title", "revision_id", "revision_timestamp", F.posexplode(parsed("text")).alias("emit_ord", "p"))
+    """Lead section, named sections and targets of each goal's article.
+
+    Each line of a part is a row, and what the lines before it have opened is told by windows over the page, so the work is in
+    proportion to the lines of a page, however many it has.
+    """
+    lines, last = _parts(pages), len(P.SECTIONS) + 1
+    body, titles = _targets(lines.filter(F.col("part") == last))
+    both = _lead(lines.filter("part = 0")).unionByName(_named(lines.filter((F.col("part") > 0) & (F.col("part") < last)))).unionByName(body)
+    rows = _gathered(both).unionByName(titles)
+    rows = rows.withColumn("emit_ord", F.row_number().over(Window.partitionBy(*KEYS).orderBy("part", "i")) - 1)
     goal = F.substring(F.col("title"), F.lit(len(P.TITLE_PREFIX) + 1), F.char_length("title"))
-    return rows.select(*KEYS, "emit_ord", *paragraph(goal, F.col("p.target"), F.col("p.section"), F.col("p.line")))
+    return rows.select(*KEYS, "emit_ord", *paragraph(goal, F.col("target"), F.col("section"), F.col("text")))
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
