@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
+from corpusloom.functions.literals import where_needed
 from corpusloom.functions.regex import fixpoint, replace
 
 
+#: Levels of nested templates that one round takes away.
+LEVELS = 40
+
+
+def _rule(text: Column, pattern: str, replacement: str = "") -> Column:
+    return where_needed(text, pattern, partial(replace, pattern=pattern, replacement=replacement))
+
+
 def drop_breaks(text: Column) -> Column:
-    return replace(text, P.BREAK)
+    return _rule(text, P.BREAK)
 
 
 def drop_subscripts(text: Column) -> Column:
     for p in P.SUBSCRIPTS:
-        text = replace(text, p)
+        text = _rule(text, p)
     return text
 
 
 def drop_references(text: Column) -> Column:
     for p in P.REFERENCES:
-        text = replace(text, p)
+        text = _rule(text, p)
     return text
 
 
 def unwrap_tags(text: Column) -> Column:
-    return replace(text, P.PAIRED_TAG, r"\1")
+    return _rule(text, P.PAIRED_TAG, r"\1")
 
 
 def drop_comments(text: Column) -> Column:
-    return replace(text, P.COMMENT)
+    return _rule(text, P.COMMENT)
 
 
 def plain_spaces(text: Column) -> Column:
@@ -46,23 +57,37 @@ def java_literal(mark: str) -> str:
     return "".join("\\" + c for c in mark)
 
 
+def nested_templates(levels: int = LEVELS) -> str:
+    """A template with templates inside, to so many levels, as one (Java) pattern.
+
+    What is taken away is what rounds of P.TEMPLATE take away, from the inside out: whatever order innermost templates go in, the same text is left, as two of them
+    never overlap. A template that begins with another one, or is deeper, waits for the next round. Groups are possessive, which runs them
+    in a loop, so long templates need no deep stack.
+    """
+    pattern = r"\{\{[^{}]++\}\}"
+    for _ in range(levels - 1):
+        pattern = rf"\{{\{{[^{{}}]++(?:{pattern}[^{{}}]*+)*+\}}\}}"
+    return pattern
+
+
 def drop_templates(text: Column) -> Column:
-    """Innermost templates first, until none is left; an empty one stays."""
-    return fixpoint(text, lambda t: replace(t, P.TEMPLATE), _opened(text, "{{"))
+    """Templates with all that they hold, until none is left; an empty one stays."""
+    step = lambda t: F.regexp_replace(t, F.lit(nested_templates()), F.lit(""))
+    return where_needed(text, P.TEMPLATE, lambda t: fixpoint(t, step, _opened(t, "{{")))
 
 
 def drop_files(text: Column) -> Column:
     for p in P.FILE_LINKS:
-        text = replace(text, p)
+        text = _rule(text, p)
     return text
 
 
 def unwrap_urls(text: Column) -> Column:
-    return replace(replace(text, P.LABELLED_URL, r"\1"), P.BARE_URL)
+    return _rule(_rule(text, P.LABELLED_URL, r"\1"), P.BARE_URL)
 
 
 def drop_quotes(text: Column) -> Column:
-    return replace(text, P.QUOTES)
+    return _rule(text, P.QUOTES)
 
 
 def strip_markup(text: Column) -> Column:
@@ -74,7 +99,8 @@ def strip_markup(text: Column) -> Column:
 
 def unwrap_links(text: Column) -> Column:
     """Internal links to their labels, from the inside out."""
-    return fixpoint(text, lambda t: replace(replace(t, P.PIPED_LINK, r"\2"), P.PLAIN_LINK, r"\1"), _opened(text, "[["))
+    step = lambda t: replace(replace(t, P.PIPED_LINK, r"\2"), P.PLAIN_LINK, r"\1")
+    return where_needed(text, P.PLAIN_LINK, lambda t: fixpoint(t, step, _opened(t, "[[")))
 
 
 def collapse_spaces(text: Column) -> Column:

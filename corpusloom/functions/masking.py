@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
+from corpusloom.functions.literals import where_needed
 from corpusloom.functions.regex import fixpoint, replace
 
 #: Matches that a limited rule replaces.
@@ -13,8 +16,9 @@ LIMIT = 2
 
 
 def mask(text: Column, rules: list[tuple[str, str, bool]]) -> Column:
+    """The rules one after another, each only where the text has what it needs."""
     for pattern, replacement, limited in rules:
-        text = replace(text, pattern, replacement, LIMIT if limited else None)
+        text = where_needed(text, pattern, partial(replace, pattern=pattern, replacement=replacement, limit=LIMIT if limited else None))
     return text
 
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
+from corpusloom.functions.literals import where_needed
 from corpusloom.functions.regex import java, let, matches, replace, strip
 
 
 def protect_stops(text: Column) -> Column:
     for pattern, to in P.ABBREVIATIONS:
-        text = replace(text, pattern, to)
+        text = where_needed(text, pattern, partial(replace, pattern=pattern, replacement=to))
     return text
 
 
 def restore_stops(text: Column) -> Column:
-    for pattern, to in P.ABBREVIATIONS_BACK:
-        text = replace(text, pattern, to)
-    return text
+    """Every rule needs the mark that stands for a stop."""
+
+    def back(t: Column) -> Column:
+        for pattern, to in P.ABBREVIATIONS_BACK:
+            t = replace(t, pattern, to)
+        return t
+
+    return F.when(F.contains(text, F.lit("~")), back(text)).otherwise(text)
 
 
 def split_sentences(text: Column, separators: str = P.SEPARATORS) -> Column:
