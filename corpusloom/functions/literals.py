@@ -69,16 +69,26 @@ def required(pattern: str) -> tuple[str, ...]:
     return () if any(len(x) == 1 and x in COMMON for x in found) else found
 
 
-def where_needed(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """change(text) where the text has what the pattern needs; the text, which is computed once, as it is elsewhere."""
+def _has(text: Column, pattern: str) -> Column:
     literals = required(pattern)
-    if not literals:
-        return change(text)
+    has = F.lit(True)
+    for i, x in enumerate(literals):
+        has = F.contains(text, F.lit(x)) if i == 0 else has | F.contains(text, F.lit(x))
+    return has
 
-    def turn(t: Column) -> Column:
-        has = F.contains(t, F.lit(literals[0]))
-        for x in literals[1:]:
-            has = has | F.contains(t, F.lit(x))
-        return F.when(has, change(t)).otherwise(t)
 
-    return F.transform(F.array(text), turn)[0]
+def where_needed(text: Column, *rules: tuple[str, Callable[[Column], Column]]) -> Column:
+    """The rules' changes one after another, each where the text has what the rule's pattern needs.
+
+    A fold over the rules' numbers: each rule sees the text as the one before it has left it, the text is computed once, and the expression is as deep for a hundred
+    rules as for one.
+    """
+
+    def turn(t: Column, k: Column) -> Column:
+        out = None
+        for i, (pattern, change) in enumerate(rules):
+            due = (k == i) & _has(t, pattern)
+            out = F.when(due, change(t)) if out is None else out.when(due, change(t))
+        return out.otherwise(t)
+
+    return F.aggregate(F.array(*(F.lit(i) for i in range(len(rules)))), text, turn)

@@ -16,32 +16,28 @@ from corpusloom.functions.regex import fixpoint, replace
 LEVELS = 40
 
 
-def _rule(text: Column, pattern: str, replacement: str = "") -> Column:
-    return where_needed(text, pattern, partial(replace, pattern=pattern, replacement=replacement))
+def _rules(text: Column, *patterns: str, to: str = "") -> Column:
+    return where_needed(text, *((p, partial(replace, pattern=p, replacement=to)) for p in patterns))
 
 
 def drop_breaks(text: Column) -> Column:
-    return _rule(text, P.BREAK)
+    return _rules(text, P.BREAK)
 
 
 def drop_subscripts(text: Column) -> Column:
-    for p in P.SUBSCRIPTS:
-        text = _rule(text, p)
-    return text
+    return _rules(text, *P.SUBSCRIPTS)
 
 
 def drop_references(text: Column) -> Column:
-    for p in P.REFERENCES:
-        text = _rule(text, p)
-    return text
+    return _rules(text, *P.REFERENCES)
 
 
 def unwrap_tags(text: Column) -> Column:
-    return _rule(text, P.PAIRED_TAG, r"\1")
+    return _rules(text, P.PAIRED_TAG, to=r"\1")
 
 
 def drop_comments(text: Column) -> Column:
-    return _rule(text, P.COMMENT)
+    return _rules(text, P.COMMENT)
 
 
 def plain_spaces(text: Column) -> Column:
@@ -73,21 +69,19 @@ def nested_templates(levels: int = LEVELS) -> str:
 def drop_templates(text: Column) -> Column:
     """Templates with all that they hold, until none is left; an empty one stays."""
     step = lambda t: F.regexp_replace(t, F.lit(nested_templates()), F.lit(""))
-    return where_needed(text, P.TEMPLATE, lambda t: fixpoint(t, step, _opened(t, "{{")))
+    return where_needed(text, (P.TEMPLATE, lambda t: fixpoint(t, step, _opened(t, "{{"))))
 
 
 def drop_files(text: Column) -> Column:
-    for p in P.FILE_LINKS:
-        text = _rule(text, p)
-    return text
+    return _rules(text, *P.FILE_LINKS)
 
 
 def unwrap_urls(text: Column) -> Column:
-    return _rule(_rule(text, P.LABELLED_URL, r"\1"), P.BARE_URL)
+    return _rules(_rules(text, P.LABELLED_URL, to=r"\1"), P.BARE_URL)
 
 
 def drop_quotes(text: Column) -> Column:
-    return _rule(text, P.QUOTES)
+    return _rules(text, P.QUOTES)
 
 
 def strip_markup(text: Column) -> Column:
@@ -100,7 +94,7 @@ def strip_markup(text: Column) -> Column:
 def unwrap_links(text: Column) -> Column:
     """Internal links to their labels, from the inside out."""
     step = lambda t: replace(replace(t, P.PIPED_LINK, r"\2"), P.PLAIN_LINK, r"\1")
-    return where_needed(text, P.PLAIN_LINK, lambda t: fixpoint(t, step, _opened(t, "[[")))
+    return where_needed(text, (P.PLAIN_LINK, lambda t: fixpoint(t, step, _opened(t, "[["))))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -17,9 +17,7 @@ LIMIT = 2
 
 def mask(text: Column, rules: list[tuple[str, str, bool]]) -> Column:
     """The rules one after another, each only where the text has what it needs."""
-    for pattern, replacement, limited in rules:
-        text = where_needed(text, pattern, partial(replace, pattern=pattern, replacement=replacement, limit=LIMIT if limited else None))
-    return text
+    return where_needed(text, *((pattern, partial(replace, pattern=pattern, replacement=replacement, limit=LIMIT if limited else None)) for pattern, replacement, limited in rules))
 
 
 def mask_indicators(text: Column) -> Column:

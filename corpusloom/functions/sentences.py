@@ -13,9 +13,7 @@ from corpusloom.functions.regex import java, let, matches, replace, strip
 
 
 def protect_stops(text: Column) -> Column:
-    for pattern, to in P.ABBREVIATIONS:
-        text = where_needed(text, pattern, partial(replace, pattern=pattern, replacement=to))
-    return text
+    return where_needed(text, *((pattern, partial(replace, pattern=pattern, replacement=to)) for pattern, to in P.ABBREVIATIONS))
 
 
 def restore_stops(text: Column) -> Column:
