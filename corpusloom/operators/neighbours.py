@@ -129,8 +129,45 @@ def probabilities(vote: DataFrame, dictionary: DataFrame) -> DataFrame:
     return every.select("q_id", "label_id", (F.coalesce(F.try_element_at("w", F.col("label_id")), F.lit(0.0)) / F.col("total")).alias("p"))
 
 
+_SUMS = "label_id int, n long, total array<double>"
+
+
+def _sums(labels: np.ndarray, n: np.ndarray, vectors: np.ndarray) -> pa.Table:
+    """A row for each label: its rows and the sum of its vectors."""
+    order = np.argsort(labels, kind="stable")
+    at = np.flatnonzero(np.append(True, labels[order][1:] != labels[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    total = np.add.reduceat(vectors[order], at, axis=0) if len(at) else vectors[:0]
+    dim = total.shape[1] if len(at) else 0
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(dim)), pa.array(total.reshape(-1)))
+    return pa.table({"label_id": pa.array(labels[order][at], pa.int32()), "n": pa.array(np.add.reduceat(n[order], at) if len(at) else n[:0], pa.int64()), "total": lists})
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    joined = pa.concat_tables(parts).combine_chunks()
+    return _sums(joined["label_id"].to_numpy(), joined["n"].to_numpy(), _vectors(joined["total"]))
+
+
 def centroids(train: DataFrame) -> DataFrame:
-    """label_id and the mean vector of its rows, not normalised; also as t_id, for use as a training side."""
-    means = train.select("label_id", F.posexplode("vector").alias("pos", "x")).groupBy("label_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    grouped = means.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    return grouped.select(F.col("label_id").alias("t_id"), "label_id", F.transform("v", lambda e: e["x"]).alias("vector"))
+    """label_id and the mean vector of its rows, not normalised; also as t_id, for use as a training side.
+
+    Each task adds up whole vectors by label before the exchange, which carries one row for each task and label (more where the sums of a task's
+    labels pass BLOCK_VALUES numbers).
+    """
+    importable(train.sparkSession)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        for b in batches:
+            if b.num_rows:
+                parts.append(_sums(b.column("label_id").to_numpy(), np.ones(b.num_rows, np.int64), _vectors(b.column("vector"))))
+                if sum(len(p["total"].combine_chunks().flatten()) for p in parts) > BLOCK_VALUES // 8:
+                    parts = [_added(parts)]
+                    if len(parts[0]["total"].combine_chunks().flatten()) > BLOCK_VALUES // 16:
+                        yield from parts[0].to_batches()
+                        parts = []
+        if parts:
+            yield from _added(parts).to_batches()
+
+    side = train.select(F.col("label_id").cast("int").alias("label_id"), F.col("vector").cast("array<double>").alias("vector")).filter("label_id is not null and vector is not null")
+    sums = side.mapInArrow(partial, _SUMS).groupBy("label_id").applyInArrow(lambda t: _added([t]), _SUMS)
+    return sums.select(F.col("label_id").alias("t_id"), "label_id", F.transform("total", lambda x: x / F.col("n")).alias("vector"))

@@ -121,5 +121,6 @@ class Evaluator:
         validation, test = test_set(spark, test_dataset, test_task, concatenation_option, test_input_file)
         training = FineTuningDataExtractor(input_files, flags, **cluster).run(spark, *k)
         results = self.evaluate(training, validation, test, test_task, encoder, checkpoint_number, k, random_seed, base_directory=base_model_directory, checkpoint_directory=checkpoint_directory)
-        tables.write_results(results, result_directory, test_task)
+        run = "-".join(map(str, (test_dataset, concatenation_option, encoder, random_seed, checkpoint_number, *k)))
+        tables.write_results(results, result_directory, test_task, run=run)  # the same settings replace their own rows
         return results

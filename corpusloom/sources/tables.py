@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,22 @@ def read_external(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, EXTERNAL_COLUMNS, subset=True)
 
 
-def write_results(rows: DataFrame, directory: str, test_task: str, append: bool = True, header: bool = False) -> None:
-    """CSV below directory/<test_task>.csv; each call adds part files, or with append=False replaces them."""
-    rows.select([f.name for f in RESULT]).coalesce(1).write.mode("append" if append else "overwrite").option("header", header).csv(f"{directory.rstrip('/')}/{test_task}.csv")
+def write_results(rows: DataFrame, directory: str, test_task: str, append: bool = True, header: bool = False, run: str | None = None) -> None:
+    """CSV below directory/<test_task>.csv, in a folder for each run.
+
+    A run that is written again (a retry, or the same settings once more) replaces its own rows and no others; without a name each call is a run
+    of its own. append=False leaves only what is written now.
+    """
+    named = rows.select([f.name for f in RESULT]).withColumn("run", F.lit(run or uuid.uuid4().hex)).coalesce(1)
+    writer = named.write.mode("overwrite").partitionBy("run").option("header", header)
+    writer.option("partitionOverwriteMode", "dynamic" if append else "static").csv(_results_path(directory, test_task))
+
+
+def read_results(spark: SparkSession, directory: str, test_task: str, header: bool = False) -> DataFrame:
+    """The rows of all runs, as RESULT has them, and run."""
+    schema = T.StructType([*RESULT, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).option("header", header).csv(_results_path(directory, test_task))
+
+
+def _results_path(directory: str, test_task: str) -> str:
+    return f"{directory.rstrip('/')}/{test_task}.csv"

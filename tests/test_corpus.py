@@ -221,7 +221,9 @@ def test_training_and_evaluation(spark, files, tmp_path):
     assert {(r["goal"], r["y"]) for r in prepared.collect()} == {("1", 0), ("2", 1)}
     ranges = learning.class_ranges(prepared).orderBy("start").collect()
     assert ranges[0]["end"] == ranges[1]["start"]
-    assert len(next(goal_learner.batches(prepared, 1))[0]) == min(8, prepared.count()) or len(next(goal_learner.batches(prepared, 1))[0]) > 0
+    texts, ids, y = next(goal_learner.batches(prepared, 1))
+    by_goal = {g: min(4, n) for g, n in prepared.groupBy("y").count().collect()}  # two classes, which both give four
+    assert len(texts) == len(ids) == len(y) and {g: y.count(g) for g in by_goal} == by_goal
 
     tests = write_csv(tmp_path / "t.csv", ["id", "repeats", "text"], [[f"{g}.2.{i + 1}", "1.2.1,2.2.1" if i == 0 else "", f"text of number {i} about poverty"] for g in (1, 2) for i in range(6)])
     out = evaluation.Evaluator().run(spark, files, [True, False], tests, "IND-TITLE-AGENDA", 0, "HASHING", "", "", 0, "MC-IND-SDG", (14, 6), 42, str(tmp_path / "res"), min_df=1)
@@ -235,13 +237,71 @@ def test_training_and_evaluation(spark, files, tmp_path):
 
 
 def test_stream(spark, files, tmp_path):
-    from corpusloom.streaming.paragraphs import cleaned_paragraphs
+    from corpusloom.streaming.paragraphs import cleaned_paragraphs, write_paragraphs
 
     pages = read_pages(spark, files, [True, False]).filter("not is_general")
-    path = str(tmp_path / "pages")
-    pages.write.parquet(path)
-    stream = spark.readStream.schema(pages.schema).parquet(path)
-    query = cleaned_paragraphs(stream).writeStream.format("memory").queryName("cleaned").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("cleaned").count() == cleaned_paragraphs(pages).count() > 0
+    path, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    pages.repartition(2).write.parquet(path)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for _ in range(2):  # started again, it goes on where it was
+        query = write_paragraphs(stream, out, str(tmp_path / "checkpoint")).start()
+        query.processAllAvailable()
+        query.stop()
+    columns = ["page_ord", "emit_ord", "goal", "target", "section", "text"]
+    expected = sorted(map(tuple, cleaned_paragraphs(pages).select(columns).collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect())) == expected and expected
+
+
+def test_one_scan_of_many_files(spark, tmp_path):
+    """500 files in three folders, one a glob, with names that are encoded; the plan has one scan."""
+    folders = [tmp_path / n for n in ("a b", "c", "d+é")]
+    for f in folders:
+        f.mkdir()
+    for i in range(500):
+        xml(folders[i % 3] / f"{'x' if i % 2 else 'y'}{i}.xml", [(f"P{i}", "t"), (f"Q{i}", "u")])
+    given = [f"{folders[0]}/", f"file:{folders[1]}", f"{folders[2]}/x*.xml", f"{folders[2]}/y{{2,5,8}}*.xml"]
+    pages = read_pages(spark, given, [True, False, False, True])
+    assert pages._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = {(r["title"], r["file_ord"], r["is_general"]) for r in pages.collect()}
+    expected = set()
+    for i in range(500):
+        n = i % 3 if i % 3 < 2 else 2 if i % 2 else 3 if str(i)[0] in "258" else None
+        if n is not None:
+            expected |= {(f"{t}{i}", n, n in (0, 3)) for t in "PQ"}
+    assert found == expected
+    order = [r["title"] for r in pages.filter("title like '%1'").orderBy("file_ord", "page_ord").collect()]
+    assert all(order.index(f"P{i}") < order.index(f"Q{i}") for i in (1, 31, 61, 301))
+
+
+def test_results_survive_a_retry(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "HASHING", 42, 0, 14, 6, None, 0.5), (3, "HASHING", 42, 0, 14, 6, 0.25, 0.75)], tables.RESULT)
+    path = str(tmp_path / "r")
+    for run in ("a", "b", "a", "a"):
+        tables.write_results(rows, path, "MC-IND-SDG", run=run)
+    found = tables.read_results(spark, path, "MC-IND-SDG")
+    assert sorted((r["run"], r["k"], r["validation"]) for r in found.collect()) == [("a", 1, None), ("a", 3, 0.25), ("b", 1, None), ("b", 3, 0.25)]
+    for _ in range(2):
+        tables.write_results(rows, path, "MC-IND-SDG")  # a run without a name is one of its own
+    assert tables.read_results(spark, path, "MC-IND-SDG").count() == 8
+    tables.write_results(rows, path, "MC-IND-SDG", append=False, run="c")
+    assert {r["run"] for r in tables.read_results(spark, path, "MC-IND-SDG").collect()} == {"c"}
+
+
+def test_selection_is_a_sort(spark):
+    """The first rows of each group, by histogram, against sorting the group; one group holds most rows, and some keys are equal."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 8 else f"g{i % 5}", f"{rng.randrange(3000):04x}", i) for i in range(6000)]
+    quota = {"hot": 2345, "g0": 0, "g1": 10_000, "g2": 1, "g3": 77, "g4": 150}
+    df = spark.createDataFrame([(g, k, i, quota[g]) for g, k, i in rows], "grp string, key string, id int, quota int").repartition(5)
+    got = {r["id"] for r in sampling.first_of(df, ["grp"], "key", ["id"], "quota", "inside").filter("inside").collect()}
+    expected = set()
+    for g, n in quota.items():
+        expected |= {i for _, i in sorted((k, i) for x, k, i in rows if x == g)[:n]}
+    assert got == expected
+
+
+def test_draws_leave_tasks_bounded(spark):
+    """One class has 5,000 rows in four tasks; from a task come at most `most` draws of an iteration and class."""
+    rows = spark.range(0, 5000, 1, 4).select(F.lit("c").alias("label"), F.col("id").cast("string").alias("id"))
+    found = sampling._least_draws(rows, range(3), 7, 4).groupBy(F.spark_partition_id().alias("p"), "iteration").count().collect()
+    assert len(found) == 12 and {r["count"] for r in found} == {4}
