@@ -190,7 +190,7 @@ def _packed(sentences: str, key: str, low: int, high: int) -> str:
 _NUMBERED = f"""WITH l AS (SELECT doc_id, source AS goal, (doc_id % 17) || '.' || (doc_id % 3) AS target, {_words("text")} AS words, min(doc_id) OVER (PARTITION BY source, doc_id % 17, doc_id % 3, coalesce(lang, '')) AS begun FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY goal, target ORDER BY begun, doc_id) AS rn FROM l),
     k AS (SELECT * FROM r WHERE rn = 1 OR words BETWEEN 5 AND 415)
-    SELECT goal || '_' || target || '_' || (row_number() OVER (PARTITION BY goal, target ORDER BY begun, doc_id) - 1) AS id, goal, target, doc_id FROM k"""
+    SELECT goal || '_' || target || '_' || (row_number() OVER (PARTITION BY goal, target ORDER BY begun, doc_id) - 1) AS id, goal, target, doc_id, begun FROM k"""
 
 _GENERAL = """WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM
       (SELECT doc_id, 'before' || chr(10) || '==== Goal ' || (doc_id % 17 + 1) || ': name ====' || chr(10) || text || chr(10) || ' ' || chr(10) || '=== Closing ===' || chr(10) || 'after' || chr(10) || '==== Goal 1: x' || chr(10) || 'last' AS t FROM documents)),
@@ -253,7 +253,7 @@ ORACLE_SQL: dict[str, str] = {
     "sentence_split": _sentences("SELECT doc_id, 'e.g. this, i.e. that (etc.) of U.S. kind.Then? more;; ' || text AS text FROM documents"),
     "packed_sentences": f"SELECT key AS doc_id, part AS pos, excerpt FROM ({_packed(_sentences('SELECT doc_id, text FROM documents'), 'doc_id', 20, 40)})",
     "join_fragments": f"SELECT conv_id, turn, {_joined('text', 'role')} AS low, {_joined('text', 'upper(role[1]) || lower(role[2:])')} AS high, {_joined('text', _quoted(''))} AS done FROM conversations",
-    "excerpt_ids": _NUMBERED,
+    "excerpt_ids": f"SELECT id, goal, target, doc_id FROM ({_NUMBERED})",
     "general_article": _GENERAL,
     "tfidf_weights": f"WITH {_TFIDF} SELECT id, term, df, round(w, 6) AS w FROM w",
     "boilerplate_noise": NOISE,

@@ -99,6 +99,47 @@ _EXTERNAL = f"""WITH p AS (SELECT p_partkey, regexp_replace(trim(p_name), '\\s+'
     UNION ALL SELECT p_partkey::VARCHAR, 1, CASE WHEN p_partkey % 5 = 0 THEN '1.2,2.b' ELSE '' END, '1', '1.2', one FROM goals
     UNION ALL SELECT p_partkey::VARCHAR, 2, g, '1', '1.2', n || CASE WHEN n LIKE '%.' THEN ' ' ELSE '. ' END || CASE WHEN d = '' THEN '' WHEN two LIKE '%.' THEN two ELSE two || '.' END FROM goals"""
 
+def _branches() -> str:
+    sets, parts = {**dict.fromkeys(["IND-TITLE-AGENDA"], "i"), **dict.fromkeys(["SDG-TITLE-WIKI"], "g"), **dict.fromkeys(["IND-DESCR-EUSDG", "IND-DESCR-WDISDG", "IND-DESCR-URBAN", "IND-DESCR-REGIONS"], "e")}, []
+    served = {
+        "IND-TITLE-AGENDA": "MC-IND-SDG MC-IND-TRG ML-IND-SDG", "SDG-TITLE-WIKI": "ML-SDG-SDG", "IND-DESCR-EUSDG": "MC-IND-SDG ML-IND-SDG", "IND-DESCR-WDISDG": "MC-IND-SDG MC-IND-TRG",
+        "IND-DESCR-URBAN": "MC-IND-SDG MC-IND-TRG ML-IND-SDG", "IND-DESCR-REGIONS": "MC-IND-SDG MC-IND-TRG",
+    }
+    columns = {"MC-IND-SDG": ("goal", "goal"), "MC-IND-TRG": ("target", "target"), "ML-IND-SDG": ("goal", "repeats"), "ML-SDG-SDG": ("goal", "links")}
+    for name, source in sets.items():
+        for task in served[name].split():
+            train, test = columns[task]
+            parts.append(f"SELECT '{name}' AS dataset, '{task}' AS task, side, '{train}' AS train_label, '{test}' AS test_label, id, {test} AS label, text FROM {source}")
+    split = O.split_of(f"SELECT id AS doc_id, goal AS source, words FROM ({_INDICATOR})", [10, 20], [15]).replace(str(O.SEED), "42")
+    return f"""WITH i AS MATERIALIZED (SELECT id, repeats, i.goal, target, text, CASE WHEN validation THEN 'validation' ELSE 'test' END AS side FROM ({_INDICATOR}) i JOIN ({split}) s ON i.id = s.doc_id),
+        g AS (SELECT (n_nationkey % 16 + 1)::VARCHAR AS id, array_to_string(list_sort(list(n_regionkey::VARCHAR)), ',') AS links, min(n_name) AS text, 'test' AS side FROM nation GROUP BY n_nationkey % 16),
+        e AS (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN '1,2' ELSE '' END AS repeats, '1' AS goal, '1.2' AS target, regexp_replace(trim(p_name), '\\s+', ' ', 'g') || CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE '' END AS text, 'test' AS side FROM part)
+        {" UNION ALL ".join(parts)}"""
+
+
+def _sampled() -> str:
+    """Lines of the two exports in order, masked, split, filtered, packed, numbered and drawn. Odd numbers, as the masks' SQL takes even ones for a section of their own."""
+    lines = """SELECT conv_id, turn, conv_id % 2 AS single, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM conversations
+        UNION ALL SELECT conv_id, turn, 1, 'About it', 0 FROM conversations WHERE conv_id % 2 = 1 AND turn > 0"""
+    masked = O._chain(f"SELECT doc_id, {O._sub('line', P.SPACES, ' ')} AS text FROM para", P.INDICATOR_RULES)
+    for rules in (None, P.LIST_RULES, P.PHRASE_RULES):
+        masked = O._chain(f"SELECT doc_id, text FROM ({masked})", rules) if rules else O._numbers(f"SELECT doc_id, text FROM ({masked})")
+    sentences = O._sentences("SELECT doc_id, text FROM msk")
+    kept = f"SELECT doc_id, pos, sentence FROM sent WHERE id IN ({O.NOISE.replace(O._PIECES, 'SELECT id, sentence AS text FROM sent')})"
+    order = "begun, place, part"
+    return f"""WITH l AS ({lines}), para AS MATERIALIZED (SELECT (single * 1000000000000 + conv_id * 1000000 + turn * 1000 + n) * 2 + 1 AS doc_id, conv_id, (conv_id % 17 + 1)::VARCHAR AS goal,
+            CASE WHEN single = 1 AND turn > 0 THEN (conv_id % 17 + 1) || '.' || turn ELSE '' END AS target, CASE WHEN single = 0 THEN 'General' WHEN turn = 0 THEN 'Lead section' ELSE 'Targets' END AS section, trim(line, ' \t') AS line FROM l WHERE trim(line, ' \t') <> ''),
+        msk AS MATERIALIZED ({masked}), sent AS MATERIALIZED (SELECT doc_id, pos, sentence, doc_id || '-' || pos AS id FROM ({sentences})), pk AS MATERIALIZED ({O._packed(kept, "doc_id", 20, 40)}),
+        e AS (SELECT para.*, para.doc_id AS place, part, excerpt FROM pk JOIN para ON pk.key = para.doc_id),
+        one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY goal, target, section, conv_id, lower(excerpt) ORDER BY place, part) = 1),
+        r AS (SELECT *, min(place) OVER (PARTITION BY goal, target, section, conv_id) AS begun, {O._words("excerpt")} AS words FROM one),
+        f AS (SELECT *, row_number() OVER (PARTITION BY goal, target ORDER BY {order}) AS rn FROM r),
+        k AS (SELECT *, goal || '_' || target || '_' || (row_number() OVER (PARTITION BY goal, target ORDER BY {order}) - 1) AS id FROM f WHERE words BETWEEN 5 AND 55 OR (target <> '' AND rn = 1)),
+        a AS (SELECT * FROM k WHERE section <> 'Targets' QUALIFY row_number() OVER (PARTITION BY goal ORDER BY section <> 'General', {order}) <= 14),
+        b AS (SELECT * FROM k WHERE section = 'Targets' QUALIFY row_number() OVER (PARTITION BY target ORDER BY {order}) <= 6)
+        SELECT id, goal, target, section, excerpt FROM a UNION ALL SELECT id, goal, target, section, excerpt FROM b"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "evaluated_classes": f"SELECT 1 AS k, {_accuracy(1)} AS accuracy UNION ALL SELECT 3, {_accuracy(3)}",
     "evaluated_lists": f"SELECT 20 AS k, {_mean_ndcg(20)} AS ndcg UNION ALL SELECT 40, {_mean_ndcg(40)}",
@@ -124,4 +165,12 @@ ORACLE_SQL: dict[str, str] = {
     "external_csv": _EXTERNAL,
     "wiki_xml": """SELECT (doc_id % 2)::INT AS file_ord, doc_id % 2 = 0 AS is_general, 'Page ' || doc_id AS title, '1' AS revision_id, '2020-01-01' AS revision_timestamp, '| ' || text || ' <&> |' AS text FROM documents""",
     "result_csv": f"SELECT r.*, task FROM ({O.ORACLE_SQL['result_rows']}) r, (VALUES ('MC-IND-SDG'), ('ML-IND-SDG'), ('ML-IND-SDG')) t(task)",
+    "evaluation_branches": _branches(),
+    "allowed_counts": """SELECT task, goal_count, target_count, (task, goal_count, target_count) IN (
+            ('MC-IND-SDG', 14, 6), ('MC-IND-SDG', 14, 17), ('MC-IND-SDG', 22, 6), ('MC-IND-SDG', 22, 17), ('ML-IND-SDG', 14, 6), ('ML-IND-SDG', 14, 17), ('ML-IND-SDG', 22, 6), ('ML-IND-SDG', 22, 17),
+            ('ML-SDG-SDG', 14, 6), ('ML-SDG-SDG', 14, 17), ('ML-SDG-SDG', 22, 6), ('ML-SDG-SDG', 22, 17), ('MC-IND-TRG', 0, 6), ('MC-IND-TRG', 0, 17)) AS accepted
+        FROM (SELECT DISTINCT [0, 14, 22, 15][p_size % 4 + 1] AS goal_count, [6, 17, 5][p_partkey % 3 + 1] AS target_count FROM part), (VALUES ('MC-IND-SDG'), ('MC-IND-TRG'), ('ML-IND-SDG'), ('ML-SDG-SDG'), ('MC-SDG-SDG')) t(task)""",
+    "saved_steps": "SELECT vec_id AS step, CASE WHEN vec_id % 5 = 4 THEN (vec_id + 11) || '_model.pt' END AS saved FROM embeddings",
+    "fine_tuning_sample": _sampled(),
+    "excerpt_order": f"WITH n AS ({O._NUMBERED}) SELECT id, (row_number() OVER (ORDER BY goal, target, begun, doc_id) - 1)::INT AS place FROM n",
 }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, masking
 from corpusloom.operators import articles, excerpts, labels, testsets
+from corpusloom.operators.numbering import numbered
 from corpusloom.operators.storage import scratch
 from corpusloom.plans import evaluation, learning
-from corpusloom.queries import PHRASES, SEED, result_rows, sides, table
+from corpusloom.plans.corpus import FineTuningDataExtractor
+from corpusloom.queries import PHRASES, SEED, lines, result_rows, sides, table
 from corpusloom.sources import tables
 from corpusloom.sources.articles import read_pages
 
@@ -144,10 +148,13 @@ def _csv(rows: DataFrame, name: str) -> str:
     return path
 
 
-def _indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _indicator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("p_partkey") % 10 == 0, "").otherwise(F.concat("p_name", F.lit(', "'), F.col("p_type"), F.lit('"\n'), F.expr("repeat('more ', p_size div 4)"), "p_brand"))
-    rows = table(spark, sf_dir, "part").select(_part_ids().alias("id"), F.when(F.col("p_size") > 25, "1.1.1,2.2.2").otherwise("").alias("repeats"), text.alias("text"))
-    return testsets.indicators(tables.read_indicators(spark, _csv(rows, "indicators")))
+    return table(spark, sf_dir, "part").select(_part_ids().alias("id"), F.when(F.col("p_size") > 25, "1.1.1,2.2.2").otherwise("").alias("repeats"), text.alias("text"))
+
+
+def _indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testsets.indicators(tables.read_indicators(spark, _csv(_indicator_rows(spark, sf_dir), "indicators")))
 
 
 def indicator_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,15 +176,19 @@ def goal_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goals.select("id", "links", "goal", "text")
 
 
-def external_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts written as a file of external indicators, with a column too many, and read with each way of making a text."""
+def _external_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as external indicators, with a column too many."""
     k = F.col("p_partkey")
     definition = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" Of  "), F.col("p_type"), F.when(k % 2 == 0, F.concat(F.lit(". Or "), F.col("p_brand"))).otherwise("")))
-    rows = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         k.cast("string").alias("id"), F.concat("p_name", F.when(k % 7 == 0, ".").otherwise("")).alias("name"), definition.alias("definition"), F.lit("x").alias("further"),
         F.concat_ws(" , ", F.lit("1"), F.when(k % 2 == 0, "2")).alias("goal"), F.concat_ws(", ", F.lit("1.2"), F.when(k % 5 == 0, "2.b")).alias("target"),
     )
-    raw = tables.read_external(spark, _csv(rows, "external"))
+
+
+def external_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a file of external indicators and read with each way of making a text."""
+    raw = tables.read_external(spark, _csv(_external_rows(spark, sf_dir), "external"))
     parts = [testsets.external(raw, task, option)[1].withColumn("option", F.lit(option)) for option, task in enumerate(("MC-IND-SDG", "MC-IND-TRG", "ML-IND-SDG"))]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).select("id", "option", "repeats", "goal", "target", "text")
 
@@ -204,10 +215,70 @@ def result_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("MC-IND-SDG").unionAll(read("ML-IND-SDG"))
 
 
+def evaluation_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every data set with every task that it serves: the rows of its sets with the label that the task compares, and the labels' columns."""
+    n = table(spark, sf_dir, "nation").groupBy((F.col("n_nationkey") % 16 + 1).cast("string").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("n_regionkey").cast("string"))), ",").alias("links"), F.min("n_name").alias("text"))
+    paths = {"indicators": _csv(_indicator_rows(spark, sf_dir), "indicators"), "goals": _csv(n, "goals"), "external": _csv(_external_rows(spark, sf_dir), "external")}
+    parts = []
+    for name, (kind, tasks) in evaluation.DATASETS.items():
+        for task in tasks:
+            train_label, test_label = evaluation.label_columns(task)
+            for side, rows in zip(("validation", "test"), evaluation.test_set(spark, name, task, 0, paths[kind]), strict=True):
+                if rows is not None:
+                    told = [F.lit(v).alias(c) for c, v in (("dataset", name), ("task", task), ("side", side), ("train_label", train_label), ("test_label", test_label))]
+                    parts.append(rows.select(*told, "id", F.col(test_label).alias("label"), "text"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def allowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with numbers of training examples, and whether they go together."""
+    pick = lambda c, some: F.element_at(F.array(*map(F.lit, some)), (F.col(c) % len(some) + 1).cast("int"))
+    pairs = table(spark, sf_dir, "part").select(pick("p_size", [0, 14, 22, 15]).alias("goal_count"), pick("p_partkey", [6, 17, 5]).alias("target_count")).distinct()
+    tasks = F.explode(F.array(*map(F.lit, [*evaluation.COUNTS, "MC-SDG-SDG"]))).alias("task")
+    return pairs.select("*", tasks).select("task", "goal_count", "target_count", evaluation.allowed(F.col("task"), F.col("goal_count"), F.col("target_count")).alias("accepted"))
+
+
+def saved_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of vectors as steps of a training that goes on from its tenth: what is saved after each."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step"), learning.saved_state(F.col("vec_id"), 10).alias("saved"))
+
+
+# ---------------------------------------------------------------- from export files to a training sample
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Conversations as two wiki exports: those with an even number as general articles, the others as articles on single goals with a target for each further turn."""
+    goal = (F.col("conv_id") % 17 + 1).cast("string")
+    block = lambda x: F.concat(F.lit("==== Goal "), goal, F.lit(": name ====\n"), x["text"])
+    below = lambda x: F.when(x["turn"] == 0, x["text"]).otherwise(F.concat(F.lit("=== Target "), goal, F.lit("."), x["turn"].cast("string"), F.lit(": About it ===\n"), x["text"]))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    files = []
+    for half, title, told in ((0, F.lit("Goals"), block), (1, F.concat(F.lit("Sustainable Development Goal "), goal), below)):
+        revision = F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("2020-01-01").alias("timestamp"), F.array_join(F.transform("turns", told), "\n").alias("text"))
+        pages = turns.filter(F.col("conv_id") % 2 == half).select("conv_id", title.alias("title"), F.array(revision).alias("revision"))
+        files.append(scratch(spark, "export"))
+        # an export is one file, whose pages stand in order
+        pages.repartition(1).sortWithinPartitions("conv_id").drop("conv_id").write.format("xml").options(rowTag="page", rootTag="mediawiki").save(files[-1])
+    return files
+
+
+def fine_tuning_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from export files to a training sample."""
+    drawn = FineTuningDataExtractor(_exports(spark, sf_dir), [True, False], stop_words=["the", "and", "of"]).run(spark, 14, 6)
+    return drawn.select("id", "goal", "target", "section", F.col("modified_text_excerpt").alias("excerpt"))
+
+
+def excerpt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as excerpts, and where each stands in the sorted output: by goal and target as strings."""
+    found = excerpts.number(lines(spark, sf_dir).withColumnRenamed("text", "excerpt").withColumn("part", F.lit(0)), 20, 400, 15)
+    return numbered(found, [], ["goal", "target", "ord"], "place").select("id", "place")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evaluated_classes, evaluated_lists, evaluated_centroids, learner_goals, learner_targets, learner_ranges, label_encoding, label_relevance,
         tag_markup, stripped_article, masked_paragraphs, specific_article, conversation_excerpts, indicator_csv, indicator_split, goal_csv, external_csv, wiki_xml, result_csv,
+        evaluation_branches, allowed_counts, saved_steps, fine_tuning_sample, excerpt_order,
     )
 }

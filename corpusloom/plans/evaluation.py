@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import multiple_labels
@@ -42,6 +42,13 @@ def validate(test_task: str, k: tuple[int, int]) -> None:
         raise ValueError(f"{test_task} takes (goal, target) examples {COUNTS[test_task]}, not {tuple(k)}")
 
 
+def allowed(test_task: Column, goal_count: Column, target_count: Column) -> Column:
+    """Whether validate() takes a task with these counts."""
+    cell = lambda t, g, n: F.struct(t.alias("task"), g.cast("int").alias("goals"), n.cast("int").alias("targets"))
+    every = F.array(*(cell(F.lit(t), F.lit(g), F.lit(n)) for t, some in COUNTS.items() for g, n in some))
+    return F.array_contains(every, cell(test_task, goal_count, target_count))
+
+
 def test_set(spark: SparkSession, test_dataset: str, test_task: str, concatenation_option: int, path: str) -> tuple[DataFrame | None, DataFrame]:
     """(validation, test) of a data set; validation is None where it has none."""
     kind, tasks = DATASETS.get(test_dataset, ("", []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sampling
@@ -30,6 +30,12 @@ def is_checkpoint(step: int) -> bool:
     return step > 0 and (step + 1) % CHECKPOINT_EVERY == 0
 
 
+def saved_state(step: Column, start_iteration: int) -> Column:
+    """The name of the state that is saved after a step (from 0) of a training from start_iteration on; null where none is."""
+    number = (step + start_iteration + 1).cast("string")
+    return F.when((step > 0) & ((step + 1) % CHECKPOINT_EVERY == 0), F.concat(number, F.lit("_model.pt")))
+
+
 def state_path(directory: str, step: int) -> str:
     return os.path.join(directory, f"{step}_model.pt")
 

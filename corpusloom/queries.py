@@ -260,7 +260,7 @@ def packed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(pack_sentences(split_sentences(F.col("text")))).alias("pos", "excerpt"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a paragraph of a label."""
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -271,13 +271,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def excerpt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as excerpts: length filter and running ids."""
-    rows = _lines(spark, sf_dir).withColumnRenamed("text", "excerpt").withColumn("part", F.lit(0))
+    rows = lines(spark, sf_dir).withColumnRenamed("text", "excerpt").withColumn("part", F.lit(0))
     return excerpts.number(rows, 20, 400, 15).select("id", "goal", "target", F.col("ord.page_ord").alias("doc_id"))
 
 
 def excerpt_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences, boilerplate filter, packing and numbering over all documents."""
-    return excerpts.excerpts(_lines(spark, sf_dir)).select("id", "goal", "target", F.md5("modified_text_excerpt").alias("md5"))
+    return excerpts.excerpts(lines(spark, sf_dir)).select("id", "goal", "target", F.md5("modified_text_excerpt").alias("md5"))
 
 
 def general_article(spark: SparkSession, sf_dir: str) -> DataFrame:
