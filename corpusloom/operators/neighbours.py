@@ -2,8 +2,9 @@
 
 The training side of a classifier is small (tens of rows per label). If its values fit one block, the block goes to
 the executors, and each batch of queries meets it in one matrix product, of which the k nearest stay.
-Nothing but those leaves the task, and queries aren't shuffled. A larger training side stays where it is: both sides are dealt in
-blocks, each pair of blocks is one product of bounded size, and the pairs' candidates are ranked.
+Nothing but those leaves the task, and queries aren't shuffled. A larger training side is dealt in cells around pivots, with their radius. A query meets
+the cells nearest to it, and then only those that a bound from pivot and radius doesn't rule out at its k-th distance; each product has a bounded
+size, and the candidates are ranked.
 """
 
 from __future__ import annotations
@@ -17,10 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.skew import broadcast_small
+from corpusloom.operators.storage import materialized
 from corpusloom.workers import importable
 
 #: Numbers in one block of vectors (64 MB); a training side of no more is broadcast.
 BLOCK_VALUES = 8_000_000
+#: Pivots of a large training side.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 1024
+#: Slack of comparisons with a bound.
+SLACK = 1e-9
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -74,11 +80,79 @@ def _by_broadcast(queries: DataFrame, side: DataFrame, k: int) -> DataFrame:
     return queries.mapInArrow(run, _FOUND_SQL)
 
 
-def _by_blocks(queries: DataFrame, side: DataFrame, k: int, t_blocks: int, q_blocks: int) -> DataFrame:
-    """Every block of queries meets every block of the training side, in a task of its own."""
-    importable(queries.sparkSession)
-    q = queries.withColumn("i", F.pmod(F.xxhash64("q_id"), F.lit(q_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    t = side.withColumn("j", F.pmod(F.xxhash64("t_id"), F.lit(t_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+class Cells:
+    """Cells of a training side: pivots, and of each cell its rows and its radius, the most that a row lies away from the pivot."""
+
+    def __init__(self, pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray):
+        self.pivots, self.rows, self.radius = pivots, rows, radius
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each vector, and how far it is."""
+        squares = (vectors**2).sum(1)[:, None] - 2 * vectors @ self.pivots.T + (self.pivots**2).sum(1)[None, :]
+        cell = squares.argmin(1)
+        return cell, np.sqrt(((vectors - self.pivots[cell]) ** 2).sum(1))
+
+    def first(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """Query x cell: the cells of greatest product with the pivot, as many as hold k rows."""
+        order = np.argsort(-(queries @ self.pivots.T), axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (before < k) & (self.rows[order] > 0), 1)
+        return out
+
+    def further(self, queries: np.ndarray, k: int, kth: np.ndarray) -> np.ndarray:
+        """Query x cell: the other cells that can hold a row as near as kth. As q.t = q.p + q.(t - p), no product in a cell passes q.p + |q| radius."""
+        most = queries @ self.pivots.T + np.linalg.norm(queries, axis=1)[:, None] * self.radius[None, :]
+        near = np.maximum(1 - most, 0) <= kth[:, None] + SLACK
+        return near & (self.rows > 0) & ~self.first(queries, k)
+
+
+def _cells(side: DataFrame, many: int) -> tuple[Cells, DataFrame]:
+    """Cells around rows of the side that are drawn by hash, and the side with the cell of each row. many: MOST_PIVOTS at most, which bounds what the driver holds."""
+    drawn = side.orderBy(F.xxhash64("t_id"), "t_id").limit(many).toArrow()
+    shared = side.sparkSession.sparkContext.broadcast(Cells(_vectors(drawn["vector"]), np.zeros(0), np.zeros(0)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell, away = shared.value.of(_vectors(b.column("vector")))
+                yield pa.record_batch([*b.columns, pa.array(cell, pa.int32()), pa.array(away)], names=[*b.schema.names, "cell", "away"])
+
+    placed = materialized(side.mapInArrow(place, "t_id long, label_id int, vector array<double>, cell int, away double"), "cells")
+    found = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("away").alias("r")).toArrow()  # a row for each cell
+    pivots = shared.value.pivots
+    rows, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    rows[found["cell"].to_numpy()], radius[found["cell"].to_numpy()] = found["m"].to_numpy(), found["r"].to_numpy()
+    return Cells(pivots, rows, radius), placed.drop("away")
+
+
+def routes(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """queries (q_id, vector, and kth where it is known) with each cell that they have to visit."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+    known = "kth" in queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                vectors = _vectors(b.column("vector"))
+                visits = shared.value.further(vectors, k, b.column("kth").to_numpy()) if known else shared.value.first(vectors, k)
+                row, cell = np.nonzero(visits)
+                at = pa.array(row)
+                yield pa.record_batch([b.column("q_id").take(at), b.column("vector").take(at), pa.array(cell, pa.int32())], names=["q_id", "vector", "cell"])
+
+    return queries.mapInArrow(run, "q_id long, vector array<double>, cell int")
+
+
+def _meet(visits: DataFrame, placed: DataFrame, cells: Cells, dim: int, k: int) -> DataFrame:
+    """The k nearest of each query in each block of the cells that it visits."""
+    spark, most = placed.sparkSession, max(1, BLOCK_VALUES // dim)
+    came = {r["cell"]: r["m"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect()}  # a row for each cell
+    blocks = [(c, -(-m // most), -(-int(cells.rows[c]) // most)) for c, m in came.items()]
+    sizes = F.broadcast(spark.createDataFrame(blocks, "cell int, q_blocks int, t_blocks int"))  # MOST_PIVOTS rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q = visits.join(sizes, "cell").withColumn("i", own("q_id", "q_blocks")).withColumn("j", every("t_blocks")).select("cell", "i", "j", "q_id", "vector")
+    t = placed.join(sizes, "cell").withColumn("j", own("t_id", "t_blocks")).withColumn("i", every("q_blocks")).select("cell", "i", "j", "t_id", "label_id", "vector")
 
     def run(queries: pa.Table, train: pa.Table) -> pa.Table:
         if not queries.num_rows or not train.num_rows:
@@ -86,7 +160,19 @@ def _by_blocks(queries: DataFrame, side: DataFrame, k: int, t_blocks: int, q_blo
         train = train.sort_by("t_id")
         return pa.Table.from_arrays(_nearest(queries["q_id"].combine_chunks(), _vectors(queries["vector"]), train["t_id"].to_numpy(), train["label_id"].to_numpy(), _vectors(train["vector"]), k), names=_FOUND)
 
-    return q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInArrow(run, _FOUND_SQL)
+    keys = ["cell", "i", "j"]
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(run, _FOUND_SQL)
+
+
+def _by_cells(queries: DataFrame, side: DataFrame, k: int, blocks: int, dim: int) -> DataFrame:
+    """First the cells nearest to a query, which gives a k-th distance; then those cells alone that can hold a nearer row. Other pairs of blocks are never multiplied."""
+    importable(queries.sparkSession)
+    cells, placed = _cells(side, min(MOST_PIVOTS, max(LEAST_PIVOTS, blocks)))
+    near = materialized(_meet(routes(queries, cells, k), placed, cells, dim, k), "near")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "t_id"))
+    kth = near.withColumn("rank", rank).filter(F.col("rank") == k).select("q_id", F.col("d").alias("kth"))
+    visits = materialized(routes(queries.join(kth, "q_id"), cells, k), "visits")
+    return near.unionByName(_meet(visits, placed, cells, dim, k))
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
@@ -103,7 +189,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     if blocks == 1:
         found = _by_broadcast(q, side, k)
     else:
-        found = _by_blocks(q, side, k, blocks, max(1, -(-q.count() * size["dim"] // BLOCK_VALUES)))
+        found = _by_cells(q, side, k, blocks, size["dim"])
     best = Window.partitionBy("q_id").orderBy("d", "t_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -83,3 +83,50 @@ def test_encoders(spark):
     with pytest.raises(ValueError):
         encoders.dimension("x")
     assert len(encoders.REGISTRY) == 13
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_pruned_cells_are_exact(spark, monkeypatch, scale):
+    """A training side of many blocks in 30 clusters, with copies, zero vectors and (at the larger scale) products above 1: all neighbours, and most cells left out."""
+    monkeypatch.setattr(neighbours, "BLOCK_VALUES", 8 * 40)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 8))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    draw = lambda n: centers[rng.integers(0, 30, n)] + rng.normal(scale=0.02, size=(n, 8))
+    train, queries, k = draw(900), draw(120), 5
+    train[10:20] = train[0]
+    train[20:23] = 0
+    queries[0] = 0
+    train, queries = train * np.sqrt(scale), queries * np.sqrt(scale)
+    t = spark.createDataFrame([(i, i % 7, v.tolist()) for i, v in enumerate(train)], "t_id long, label_id int, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "q_id long, vector array<double>")
+    got = {(r["q_id"], r["rank"]): (r["t_id"], r["label_id"], round(r["d"], 9)) for r in neighbours.nearest(q, t, k).collect()}
+    d = np.maximum(1 - queries @ train.T, 0)
+    expected = {}
+    for i, row in enumerate(d):
+        for rank, j in enumerate(np.lexsort((np.arange(len(row)), row))[:k], 1):
+            expected[i, rank] = (j, j % 7, round(row[j], 9))
+    wrong = {key for key in expected if expected[key][0] != got[key][0]}  # only products that round the same may change places
+    assert got.keys() == expected.keys() and all(abs(expected[key][2] - got[key][2]) < 1e-8 for key in expected) and len(wrong) < 10
+    if scale == 1:
+        cells, placed = neighbours._cells(t, 64)
+        near = neighbours._meet(neighbours.routes(q, cells, k), placed, cells, 8, k)
+        kth = near.groupBy("q_id").agg(F.max("d").alias("kth"))
+        visits = neighbours.routes(q, cells, k).count() + neighbours.routes(q.join(kth, "q_id"), cells, k).count()
+        assert visits < 0.35 * len(queries) * (cells.rows > 0).sum()
+
+
+def test_a_cell_bound_holds():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.normal(size=(300, 6)), rng.normal(size=(50, 6))
+    cells = neighbours.Cells(vectors[:12], np.zeros(0), np.zeros(0))
+    cell, away = cells.of(vectors)
+    cells.rows = np.bincount(cell, minlength=12)
+    cells.radius = np.array([away[cell == c].max(initial=0) for c in range(12)])
+    d = np.maximum(1 - queries @ vectors.T, 0)
+    for k in (1, 7):
+        first = cells.first(queries, k)
+        assert all(cells.rows[f].sum() >= k for f in first)
+        kth = np.sort(d, axis=1)[:, k - 1]
+        visited = first | cells.further(queries, k, kth)
+        assert all(visited[i, cell[j]] for i in range(50) for j in np.flatnonzero(d[i] <= kth[i]))
