@@ -61,7 +61,7 @@ def multiple_labels(labels: Column, task: str) -> Column:
     elif task == "ML-SDG-SDG":
         pattern = None
     else:
-        raise ValueError(f"Unknown task: {task}")
+        raise ValueError(f"{task!r} is no task with several labels")
     if pattern:  # a label that isn't an identifier is taken as it is
         parts = F.transform(parts, lambda p: F.when(_part(p, pattern) == "", p).otherwise(_part(p, pattern)))
     return F.when((labels == "") | (parts[0] == F.element_at(parts, -1)), None).otherwise(parts)

@@ -42,7 +42,7 @@ Predict = Callable[[np.ndarray], np.ndarray]
 
 def dimension(name: str) -> int:
     if name not in REGISTRY:
-        raise ValueError(f"Invalid encoder name: {name}")
+        raise ValueError(f"No encoder is called {name!r}; there are {', '.join(REGISTRY)}")
     return REGISTRY[name][1]
 
 

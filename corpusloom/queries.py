@@ -11,6 +11,7 @@ from corpusloom.functions import labels as L
 from corpusloom.functions import markup, masking
 from corpusloom.functions.sentences import finish, join_sentences, pack_sentences, split_sentences, word_count
 from corpusloom.operators import articles, boilerplate, encoders, excerpts, labels, metrics, neighbours, sampling
+from corpusloom.operators.storage import materialized
 
 SEED = 42
 
@@ -55,7 +56,7 @@ def knn3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, train = sides(spark, sf_dir)
-    near = neighbours.nearest(queries, train, 3).persist()  # one search for every k
+    near = materialized(neighbours.nearest(queries, train, 3), "near")  # one search for every k
     known = queries.select("q_id", "label")
     parts = [metrics.accuracy(neighbours.predict(neighbours.votes(near, k)).join(known, "q_id"), F.col("label"), F.col("prediction")).select(F.lit(k).alias("k"), F.round("accuracy", 6).alias("accuracy")) for k in (1, 3)]
     return parts[0].unionAll(parts[1])
