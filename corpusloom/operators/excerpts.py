@@ -76,7 +76,7 @@ def number(packed: DataFrame, min_length: int = 20, max_length: int = 40, max_st
     first = F.coalesce(F.struct(*ORDER, "part") == F.col("first"), F.lit(False))
     kept = rows.filter(fits | ((F.col("target") != "") & first)).filter(standard_target(F.col("target")))
     kept = kept.select("excerpt", *GROUP, F.struct("begun", *ORDER, "part").alias("ord"))
-    counted = numbered(kept, ["goal", "target"], ["ord"], "counter")
+    counted = numbered(kept, ["goal", "target"], ["ord"], "counter", kind="long")
     named = counted.withColumn("id", F.concat_ws("_", "goal", "target", F.col("counter").cast("string")))
     return named.select("id", F.col("excerpt").alias("modified_text_excerpt"), *GROUP, "ord")
 

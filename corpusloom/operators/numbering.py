@@ -17,10 +17,10 @@ from corpusloom.operators.skew import broadcast_small
 from corpusloom.operators.storage import materialized
 
 
-def numbered(rows: DataFrame, labels: Sequence[str], order: Sequence[str | Column], name: str, ranges: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, labels: Sequence[str], order: Sequence[str | Column], name: str, ranges: int | None = None, kind: str = "int") -> DataFrame:
     """rows with `name`: from 0, the number of the row within its label by `order`. Without labels all rows are numbered.
 
-    Null labels are one label. Rows that `order` doesn't tell apart are numbered in any order.
+    Null labels are one label. Rows that `order` doesn't tell apart are numbered in any order. kind: the numbers' type.
     """
     spark = rows.sparkSession
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -32,7 +32,7 @@ def numbered(rows: DataFrame, labels: Sequence[str], order: Sequence[str | Colum
     earlier = Window.partitionBy(*(labels or [F.lit(0)])).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     offsets = held.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__from"))
     offsets = broadcast_small(offsets.select(F.col("__task").alias("__t"), *(F.col(c).alias(f"__l{i}") for i, c in enumerate(labels)), "__before"))
-    same = (F.col("__task") == F.col("__t")) & F.lit(True)
+    same = F.col("__task") == F.col("__t")
     for i, c in enumerate(labels):
         same = same & F.col(c).eqNullSafe(F.col(f"__l{i}"))
-    return placed.join(offsets, same).select(*rows.columns, (F.col("__at") + F.col("__before")).cast("int").alias(name))
+    return placed.join(offsets, same).select(*rows.columns, (F.col("__at") + F.col("__before")).cast(kind).alias(name))

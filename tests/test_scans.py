@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import boilerplate, excerpts
+from corpusloom.operators import boilerplate, excerpts, sampling
 from corpusloom.operators.numbering import numbered
 
 
@@ -115,6 +115,14 @@ def test_five_thousand_variants(spark):
     assert [r["id"] for r in boilerplate.noise(df, 10, 0.8, 10, []).collect()] == [9999]
 
 
+def test_capped_samples_are_limited_in_each_task(spark):
+    """Before the exchange a task keeps no more rows of a label than the sample takes."""
+    rows = spark.range(0, 1000, 1, 4).select((F.col("id") % 3).cast("string").alias("goal"), F.concat(F.lit("1."), (F.col("id") % 4).cast("string")).alias("target"), F.lit("General").alias("section"), "id")
+    for found in (sampling.goal_sample(rows, 14, ["id"]), sampling.target_sample(rows.withColumn("section", F.lit("Targets")), 6, ["id"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
 PLACE = ["file_ord", "page_ord", "emit_ord"]
 
 
