@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.incidence import COLUMN_BYTES, SCHEMA_SQL, Gatherer, exchanged
 from corpusloom.llm.ngram_join import joined_components, linked_sets, placed, set_key, shingle_sets
-from corpusloom.llm.shared import BROADCAST_ROWS, discard, mix, plain, release, salted_join, slices, small_batches, stored, text_buffers
+from corpusloom.llm.shared import BROADCAST_ROWS, discard, mix, partitions_for, plain, release, salted_join, slices, small_batches, stored, text_buffers
 
 WORDS = 3
 #: Similarity in hundredths from which two texts link.
@@ -45,14 +46,26 @@ _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD13
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS x ROWS values for each set; zeros for an empty one."""
-    out = np.zeros((len(sets), len(_FACTORS)), np.uint32)
+    """A row of BANDS x ROWS values for each set; zeros for an empty one.
+
+    A value is 16 bits made of the least hash, so unequal ones agree by chance once in 65,536 times, which adds a candidate now and then and loses none.
+    """
+    out = np.zeros((len(sets), len(_FACTORS)), np.uint16)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         grams = mix(np.concatenate([sets[i] for i in full]))
         first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
         for k, factor in enumerate(_FACTORS):
-            out[full, k] = np.minimum.reduceat(grams * factor >> np.uint64(32), first).astype(np.uint32)
+            out[full, k] = mix(np.minimum.reduceat(grams * factor, first)) >> np.uint64(48)
+    return out
+
+
+def bands(sigs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each signature."""
+    values = sigs.reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), values.shape[:2])
+    for k in range(ROWS):
+        out = mix(out ^ (values[:, :, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -168,15 +181,30 @@ def _met_head(table: pa.Table, percent: int) -> pa.Table:
 
 def _sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     grams = [np.asarray(g.values) for g in table["grams"].combine_chunks()]
-    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(grams), -1)
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(grams), -1)
     return [g.view(np.uint64) for g in grams], sigs
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """head, node: the classes of every bucket with several, under the bucket's least. classes: node, sig."""
-    width = 4 * ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width))))
-    rows = stored(classes.select("node", F.explode(band).alias("bucket")), "bands")
+def _members(classes: DataFrame, buckets: int) -> DataFrame:
+    """head, node: the classes of every bucket with several, under the bucket's least. classes: node, sig.
+
+    Most buckets hold one class; an exchange of short hashes tells which don't, and only these are grouped.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Gatherer(buckets, True)
+        for b in batches:
+            sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+            for node, own in zip(b.column("node").to_pylist(), bands(sigs), strict=True):
+                got.add(own, node + 1)  # as 0 stands for several owners
+            if got.full():
+                yield from got.flush()
+        yield from got.flush()
+
+    shared = exchanged(classes.mapInArrow(entries, SCHEMA_SQL), buckets, True).select("owner", "features")
+    short = F.transform(F.sequence(F.lit(1), F.length("features"), F.lit(COLUMN_BYTES)), lambda at: F.xxhash64(F.substring(F.col("features"), at, F.lit(COLUMN_BYTES))))
+    rows = stored(shared.select(F.explode(short).alias("bucket"), (F.col("owner") - 1).alias("node")), "buckets")
+    release(classes.sparkSession)
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = stored(salted_join(rows, heads, ["bucket"], "m", F.xxhash64("node"), max(1, rows.count())).select("head", "node").distinct(), "members")
     discard(rows)
@@ -189,12 +217,14 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     small_batches(spark)
     texts = plain(docs).withColumn("mark", F.xxhash64("text"))
     signed = stored(_signed(texts, n), "signed")
-    stats = signed.drop("sig")
+    stats = stored(signed.drop("sig"), "stats")
     keys = ["owner", "owner2"]
     usable = signed.filter("owner is not null and doc_id is not null")
     classes = usable.groupBy(keys).agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("class_size"), F.min("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # which fixes the nodes' numbers
-    members = _members(classes.select("node", "sig"))
+    discard(signed)
+    release(spark)
+    members = _members(classes.select("node", "sig"), partitions_for(docs))
     wanted = classes.join(members.select("node").distinct(), "node").select("node", *keys, F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
     wanted = stored(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS  # then texts needn't move

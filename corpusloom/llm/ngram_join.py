@@ -340,7 +340,7 @@ def linked_sets(members: DataFrame, sets: DataFrame, link: Callable[[pa.Table],
     sized = stored(_sized(members, max(1, members.count())), "sized")
     small = sized.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
     large = sized.filter(F.col("total") > BLOCK_GRAMS)
-    links = _links(small, sets, link, columns)
+    links = _links(broadcast_small(small), sets, link, columns)  # few members go to the sets, which then needn't move to be joined
     if large.isEmpty():
         links = stored(links, "links")
         discard(sized)
