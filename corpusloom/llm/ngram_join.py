@@ -291,13 +291,14 @@ def _stars(large: DataFrame, sets: DataFrame, meet: Callable[[pa.Table], pa.Tabl
     """head, node and linked, for the members of large heads other than the head."""
     count = F.ceil(F.col("m") / STAR_SETS).cast("int").alias("k")
     heads = large.groupBy("head").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("m")).select("head", count)
-    own = heads.join(sets.select(F.col("node").alias("head"), *columns), "head")
+    own = sets.select(F.col("node").alias("head"), *columns).join(broadcast_small(heads), "head")
     # a head of very many blocks is copied in two steps, so that no task makes all copies
     spread = own.select("head", *columns, "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / STAR_BLOCKS).cast("int"))).alias("part")).repartition("head", "part")
     first = F.col("part") * STAR_BLOCKS
     copies = spread.select("head", F.explode(F.sequence(first, F.least(first + STAR_BLOCKS, F.col("k")) - 1)).alias("block"), F.col("head").alias("node"), *columns)
     others = salted_join(large.filter("head <> node").select("head", "node"), large.groupBy("head").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.ceil(F.col("m") / STAR_SETS).cast("int")), ["head"], "m", F.xxhash64("node"), max(1, large.count()))
-    dealt = others.select("head", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), "node").join(sets.select("node", *columns), "node").select("head", "block", "node", *columns)
+    members = stored(others.select("head", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), "node"), "star-members")
+    dealt = sets.select("node", *columns).join(broadcast_small(members), "node").select("head", "block", "node", *columns)
     return dealt.unionByName(copies).groupBy("head", "block").applyInArrow(meet, "head long, node long, linked boolean")
 
 
@@ -328,8 +329,8 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _links(blocks: DataFrame, sets: DataFrame, link: Callable[[pa.Table], pa.Table], columns: tuple[str, ...]) -> DataFrame:
-    """u, v: links that connect the sets of each block."""
-    return blocks.join(sets.select("node", *columns), "node").groupBy("head", "block").applyInArrow(link, "u long, v long")
+    """u, v: links that connect the sets of each block. Few rows of blocks, which a count tells, go to the sets, which then move only to their blocks."""
+    return sets.select("node", *columns).join(broadcast_small(blocks), "node").groupBy("head", "block").applyInArrow(link, "u long, v long")
 
 
 def linked_sets(members: DataFrame, sets: DataFrame, link: Callable[[pa.Table], pa.Table], meet: Callable[[pa.Table], pa.Table], columns: tuple[str, ...] = ("grams",)) -> DataFrame:
@@ -340,7 +341,7 @@ def linked_sets(members: DataFrame, sets: DataFrame, link: Callable[[pa.Table],
     sized = stored(_sized(members, max(1, members.count())), "sized")
     small = sized.filter(F.col("total") <= BLOCK_GRAMS).select("head", "node", F.lit("").alias("block"))
     large = sized.filter(F.col("total") > BLOCK_GRAMS)
-    links = _links(broadcast_small(small), sets, link, columns)  # few members go to the sets, which then needn't move to be joined
+    links = _links(small, sets, link, columns)
     if large.isEmpty():
         links = stored(links, "links")
         discard(sized)
@@ -350,8 +351,9 @@ def linked_sets(members: DataFrame, sets: DataFrame, link: Callable[[pa.Table],
     done = [sized, met]
     if not met.filter("not linked").isEmpty():
         rest = stored(large.join(met, ["head", "node"]).select("head", "node", "n", "weight", "linked"), "rest")
-        links = links.unionAll(_links(_blocks(rest), sets, link, columns))
-        done.append(rest)
+        blocks = stored(_blocks(rest), "blocks")
+        links = links.unionAll(_links(blocks, sets, link, columns))
+        done += [rest, blocks]
     links = stored(links, "links")
     discard(*done)
     return links
