@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATORS = r"\x1c-\x1f"
+#: What str.isspace() calls white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
@@ -67,7 +69,7 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 def strip(text: Column) -> Column:
     """str.strip with white space of any script."""
-    return F.regexp_replace(text, F.lit(java(r"^\s+|\s+\Z").replace(r"\Z", r"\z")), F.lit(""))
+    return F.btrim(text, F.lit(WHITE))
 
 
 def let(values: list[Column], body: Callable[..., Column]) -> Column:

@@ -6,23 +6,31 @@ begun, a target is told) follow from the lines before it by running aggregates.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import markup
 from corpusloom.functions import patterns as P
-from corpusloom.functions.regex import matches, replace, strip
+from corpusloom.functions.regex import let, matches, replace, strip
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1c-\x1e\x85\u2028\u2029]"
+RARE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 PARAGRAPH_COLUMNS = ["goal", "target", "section", "source_url", "title", "revision_id", "revision_timestamp", "text"]
 KEYS = ["file_ord", "page_ord"]
 
 
+def _cut(text: Column) -> Column:
+    """A text at its line ends; most texts know newlines only, where no pattern is needed."""
+    return F.when(reduce(or_, (F.contains(text, F.lit(c)) for c in RARE_ENDS)), F.split(text, LINE_ENDS)).otherwise(F.split(text, "\n"))
+
+
 def split_lines(text: Column) -> Column:
     """Lines as str.splitlines() gives them."""
-    lines = F.split(text, LINE_ENDS)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return let([_cut(text)], lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
 
 
 def paragraph(goal: Column, target: Column, section: Column, text: Column) -> list[Column]:
@@ -52,6 +60,8 @@ def general_paragraphs(pages: DataFrame) -> DataFrame:
 NEXT_SECTION, AGENCIES = r"^==[\s\tA-Z].+$", "custodian agencies"
 TARGET, TARGET_WORD = r"^===\s?target.+$", r"===\s?[tT]argets?\s"
 _PAGE = [*KEYS, "title", "revision_id", "revision_timestamp"]
+#: The part of the targets.
+_LAST = len(P.SECTIONS) + 1
 
 
 def _parts(pages: DataFrame) -> DataFrame:
@@ -59,39 +69,38 @@ def _parts(pages: DataFrame) -> DataFrame:
 
     A part begins at its first heading and has what follows; the lead ends with the first heading.
     """
-    lines = F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "")
-    found = pages.select(*_PAGE, lines.alias("lines"))
-    first = lambda condition: F.array_position(F.transform("lines", condition), F.lit(True))
-    headings = lambda key: lambda x: (x.startswith("== ") | x.startswith("==\t")) & F.contains(F.lower(x), F.lit(key))
-    part = lambda n, key, start, length: F.struct(F.lit(n).alias("part"), F.lit(key).alias("key"), F.slice("lines", start, length).alias("lines"))
-    end, h = F.size("lines"), first(lambda x: x.startswith("="))
-    every = [part(0, "", F.lit(1), F.when(h > 0, h).otherwise(end).cast("int"))]
-    for n, (key, at) in enumerate([*((k, first(headings(k))) for k in P.SECTIONS), ("", first(lambda x: x.startswith("===")))], 1):
-        every.append(F.when(at > 0, part(n, key, at.cast("int"), end)))
-    kept = F.filter(F.array(*every), lambda x: x.isNotNull())
-    return found.filter(end > 0).select(*_PAGE, F.explode(kept).alias("p")).select(*_PAGE, "p.part", "p.key", F.posexplode("p.lines").alias("i", "line"))
-
-
-def _lead(lines: DataFrame) -> DataFrame:
-    """Lines that the lead's lists read; a heading only where a list is open before it, which is looked at later."""
-    return lines.withColumns({"fed": F.lit(True), "name": F.lit("Lead section"), "seg": F.lit(0), "label": F.lit(""), "after_heading": F.lit(False), "heads": F.col("line").startswith("=")})
-
-
-def _named(lines: DataFrame) -> DataFrame:
-    """Lines of the sections of one key. The section ends at the next one's heading, or one line later where a list is open there."""
+    lines = pages.select(*_PAGE, F.posexplode(_cut(F.col("text"))).alias("i", "line")).withColumn("line", strip(F.col("line"))).filter("line != ''")
+    line, low, page = F.col("line"), F.lower("line"), Window.partitionBy(*KEYS)
+    first = lambda condition: F.min(F.when(condition, F.col("i"))).over(page)
+    starts = {f"from{n}": first(_second_level(line) & F.contains(low, F.lit(key))) for n, key in enumerate(P.SECTIONS, 1)}
+    placed = lines.withColumns({"lead_ends": first(line.startswith("=")), **starts, f"from{_LAST}": first(line.startswith("==="))})
+    here = [F.when(F.col("lead_ends").isNull() | (F.col("i") <= F.col("lead_ends")), F.struct(F.lit(0).alias("part"), F.lit("").alias("key")))]
+    here += [F.when(F.col("i") >= F.col(f"from{n}"), F.struct(F.lit(n).alias("part"), F.lit(key).alias("key"))) for n, key in enumerate([*P.SECTIONS, ""], 1)]
+    return placed.select(*_PAGE, F.explode(F.array_compact(F.array(*here))).alias("p"), "i", "line").select(*_PAGE, "p.part", "p.key", "i", "line")
+
+
+def _second_level(line: Column) -> Column:
+    return line.startswith("== ") | line.startswith("==\t")
+
+
+def _sections(lines: DataFrame) -> DataFrame:
+    """fed (whether a list or paragraph reads the line) and name of the lines of named sections.
+
+    A section ends at the next one's heading, or one line later where a list is open there.
+    """
     line, low, key = F.col("line"), F.lower("line"), F.col("key")
     whole = Window.partitionBy(*KEYS, "part")
-    head = (line.startswith("== ") | line.startswith("==\t")) & F.contains(low, key)
-    ends = ~head & ((matches(line, NEXT_SECTION) & ~F.contains(low, key)) | (line.startswith("===") & low.contains(AGENCIES)))
-    marked = lines.withColumns({"head": head, "cand": ~line.startswith("=="), "open": line.endswith("*") | line.endswith(":")})
-    marked = marked.withColumn("end", F.min(F.when(ends, F.col("i"))).over(whole))
+    named = (F.col("part") > 0) & (F.col("part") < _LAST)
+    head = named & _second_level(line) & F.contains(low, key)
+    ends = named & ~head & ((line.startswith("==") & matches(line, NEXT_SECTION) & ~F.contains(low, key)) | (line.startswith("===") & low.contains(AGENCIES)))
+    marked = lines.withColumns({"head": head, "ends": ends, "cand": ~line.startswith("=="), "open": line.endswith("*") | line.endswith(":")})
+    marked = marked.withColumn("end", F.min(F.when(F.col("ends"), F.col("i"))).over(whole))
     inside = F.col("cand") & (F.col("end").isNull() | (F.col("i") < F.col("end")))
     open_there = F.max(F.when(inside, F.struct("i", "open"))).over(whole)["open"]
     further = F.min(F.when(F.col("cand") & (F.col("i") > F.col("end")), F.col("i"))).over(whole)
     name = F.last(F.when(F.col("head"), strip(F.translate("line", "=\t", ""))), ignorenulls=True).over(whole.orderBy("i"))
-    fed = inside | (F.col("cand") & F.coalesce(open_there, F.lit(False)) & (F.col("i") == further))
-    told = marked.withColumns({"fed": F.coalesce(fed, F.lit(False)), "name": name})
-    return told.withColumns({"seg": F.lit(0), "label": F.lit(""), "after_heading": F.lit(False), "heads": F.lit(False)}).drop("head", "cand", "open", "end")
+    fed = F.coalesce(inside | (F.col("cand") & F.coalesce(open_there, F.lit(False)) & (F.col("i") == further)), F.lit(False))
+    return marked.withColumns({"fed": fed, "name": name}).drop("head", "ends", "cand", "open", "end")
 
 
 def _found(mark: Column, text: Column, line: Column) -> Column:
@@ -100,43 +109,51 @@ def _found(mark: Column, text: Column, line: Column) -> Column:
     return F.when(at == 0, F.raise_error(F.concat(F.lit("No mark in the heading of a target: "), line)).cast("int")).otherwise(at)
 
 
-def _targets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines below the headings of targets, and the headings as paragraphs."""
-    line = F.col("line")
+def _targets(lines: DataFrame) -> DataFrame:
+    """of (label and text of the target that is open), seg (headings so far), segs (all of them), stop (where the targets end) and sect (a heading) of the last part's lines."""
+    line, mine = F.col("line"), F.col("part") == _LAST
     whole = Window.partitionBy(*KEYS, "part")
     running = whole.orderBy("i")
-    sect = line.startswith("===")
     mark = F.when(F.contains(line, F.lit(":")), ":").otherwise(". ")
     rest, title = replace(line, TARGET_WORD), strip(F.replace(line, F.lit("="), F.lit("")))
     name = F.regexp_replace(strip(F.call_function("left", rest, _found(mark, rest, line) - 1)), r"\.\z", "")
     told = F.call_function("substring", title, _found(mark, title, line) + 1, F.char_length(title))
     opened = F.when(matches(line, TARGET, ignore_case=True), F.struct(name.alias("label"), strip(told).alias("told")))
-    marked = lines.withColumns({"sect": sect, "opened": F.when(sect, F.struct(opened.alias("of")))})
-    marked = marked.withColumn("of", F.last("opened", ignorenulls=True).over(running)["of"]).withColumn("seg", F.count(F.when(F.col("sect"), 1)).over(running).cast("int"))
-    stop = F.min(F.when(~F.col("sect") & F.col("of").isNotNull() & line.startswith("== "), F.col("i"))).over(whole)
-    marked = marked.withColumn("stop", stop).filter("stop is null or i <= stop").withColumn("segs", F.max("seg").over(whole)).filter("of is not null")
-    body = marked.filter("not sect and (stop is null or i < stop)").withColumns({"fed": F.lit(True), "name": F.lit("Targets"), "label": F.col("of.label"), "after_heading": F.col("seg") < F.col("segs"), "heads": F.lit(False)})
-    columns = [*_PAGE, "part", "i"]
-    return body.drop("sect", "opened", "of", "stop", "segs"), marked.filter("sect").select(*columns, F.col("of.label").alias("target"), F.lit("Targets").alias("section"), F.col("of.told").alias("text"))
+    marked = lines.withColumn("sect", mine & line.startswith("==="))
+    marked = marked.withColumn("opened", F.when(F.col("sect"), F.struct(opened.alias("of"))))
+    marked = marked.withColumns({"of": F.last("opened", ignorenulls=True).over(running)["of"], "seg": F.count(F.when(F.col("sect"), 1)).over(running).cast("int")})
+    marked = marked.withColumn("stop", F.min(F.when(mine & ~F.col("sect") & F.col("of").isNotNull() & line.startswith("== "), F.col("i"))).over(whole))
+    return marked.withColumn("segs", F.max(F.when(F.col("stop").isNull() | (F.col("i") <= F.col("stop")), F.col("seg"))).over(whole)).drop("opened")
+
+
+def _read(lines: DataFrame) -> DataFrame:
+    """Lines that become paragraphs, with name, seg, label, after_heading, heads (only where a list is open before it) and told (a target's heading as a text)."""
+    marked, lead, last = _targets(_sections(lines)), F.col("part") == 0, F.col("part") == _LAST
+    open_still = F.col("of").isNotNull() & F.when(F.col("sect"), F.col("stop").isNull() | (F.col("i") <= F.col("stop"))).otherwise(F.col("stop").isNull() | (F.col("i") < F.col("stop")))
+    kept = marked.filter(F.when(lead, True).when(last, open_still).otherwise(F.col("fed")))
+    return kept.select(
+        *_PAGE, "part", "i", "line", "seg", F.when(lead, "Lead section").when(last, "Targets").otherwise(F.col("name")).alias("name"), F.when(last, F.col("of.label")).otherwise("").alias("label"),
+        (last & (F.col("seg") < F.col("segs"))).alias("after_heading"), (lead & F.col("line").startswith("=")).alias("heads"), F.when(F.col("sect"), F.col("of.told")).alias("told"),
+    )
 
 
 def _gathered(lines: DataFrame) -> DataFrame:
-    """Lines as paragraphs, a list with the line before it as one. lines: part, i, line, fed, name, seg, label, after_heading and heads.
+    """Lines as paragraphs, a list with the line before it as one. lines: as _read gives them.
 
     A line opens a list if it ends with a colon; in a section (stars come last there) one with a star does, too. A line with a star goes on with an open list.
     Whether a list is open after a line follows from the line alone, but for a star outside the sections, which leaves it as it is. A list is told once
-    a line follows that isn't its own, or a target's heading does; else it is lost.
+    a line follows that isn't its own, or a target's heading does; else it is lost. A target's heading is a paragraph of its own, the first of its lines.
     """
-    line, section = F.col("line"), (F.col("part") > 0) & (F.col("part") <= len(P.SECTIONS))
+    line, section, title = F.col("line"), (F.col("part") > 0) & (F.col("part") < _LAST), F.col("told").isNotNull()
     run = Window.partitionBy(*KEYS, "part", "seg").orderBy("i")
-    item, colon = F.when(section, line.endswith("*")).otherwise(line.startswith("*")), line.endswith(":")
-    state = F.when(colon, True).when(section, item).when(~item, False)
-    rows = lines.filter("fed").withColumns({"item": item, "colon": colon, "state": F.last(state, ignorenulls=True).over(run)})
+    item, colon = ~title & F.when(section, line.endswith("*")).otherwise(line.startswith("*")), ~title & line.endswith(":")
+    state = F.when(title, None).when(colon, True).when(section, item).when(~item, False)
+    rows = lines.withColumns({"item": item, "colon": colon, "state": F.last(state, ignorenulls=True).over(run)})
     rows = rows.withColumn("before", F.coalesce(F.lag("state").over(run), F.lit(False))).filter("not heads or before")
     goes_on = F.col("before") & F.col("item")
     entry = F.concat(F.replace(line, F.lit("*"), F.lit("")), F.lit(";; "))
     starred = section & F.col("item")
-    rows = rows.withColumns({"goes_on": goes_on, "plain": ~goes_on & ~F.col("colon") & ~starred, "piece": F.when(goes_on | starred, entry).otherwise(line)})
+    rows = rows.withColumns({"goes_on": goes_on, "plain": ~goes_on & ~F.col("colon") & ~starred, "piece": F.when(goes_on | starred, entry).otherwise(F.coalesce("told", "line"))})
     rows = rows.withColumns({"g": F.count(F.when(~F.col("goes_on"), 1)).over(run), "next_name": F.lead("name").over(run)})
     pieces = F.array_sort(F.collect_list(F.struct("i", "piece")))
     grouped = rows.groupBy(*_PAGE, "part", "seg", "g").agg(
@@ -149,13 +166,10 @@ def _gathered(lines: DataFrame) -> DataFrame:
 def specific_paragraphs(pages: DataFrame) -> DataFrame:
     """Lead section, named sections and targets of each goal's article.
 
-    Each line of a part is a row, and what the lines before it have opened is told by windows over the page, so the work is in
-    proportion to the lines of a page, however many it has.
+    Each line of a part is a row, and what the lines before it have opened is told by windows over the page: one exchange by page, and
+    work in proportion to its lines, however many it has.
     """
-    lines, last = _parts(pages), len(P.SECTIONS) + 1
-    body, titles = _targets(lines.filter(F.col("part") == last))
-    both = _lead(lines.filter("part = 0")).unionByName(_named(lines.filter((F.col("part") > 0) & (F.col("part") < last)))).unionByName(body)
-    rows = _gathered(both).unionByName(titles)
+    rows = _gathered(_read(_parts(pages)))
     rows = rows.withColumn("emit_ord", F.row_number().over(Window.partitionBy(*KEYS).orderBy("part", "i")) - 1)
     goal = F.substring(F.col("title"), F.lit(len(P.TITLE_PREFIX) + 1), F.char_length("title"))
     return rows.select(*KEYS, "emit_ord", *paragraph(goal, F.col("target"), F.col("section"), F.col("text")))
