@@ -9,18 +9,21 @@ Partitions are read in blocks of BLOCK_BYTES of text. A first pass gives each bl
 a join by language and key answers each block with the probabilities of its own keys alone. A second pass over the same
 rows sends the texts to their block's answers. A block that is not the same in both passes is an error, not a guess.
 
-There each document gets its base statistics and its log perplexity per symbol. The bands of a language
+There each document gets its base statistics and its log perplexity, which is told by letters, marks of letters and
+numbers: spaces and signs cost what the model says but do not count. A sign behind every word is common once many
+texts have it, and told by symbols it would be no more of a surprise than a letter. The bands of a language
 are its median and the median deviation from it, over the different values of its documents (copies count once, so
 that a large group of them doesn't narrow the band), from a histogram of log perplexities: a document is rejected
 above or below BAND deviations. There is no least width but the histogram's step.
 
 Cases: a null text has no words and fails the base rules; a null language is one of its own, and a language with
-a single text has its own median and so is kept; ids play no part and may be null or repeat; extra
-columns are ignored; an empty table gives no rows.
+a single text has its own median and so is kept; a text without letters is told as one of a single letter; ids play no
+part and may be null or repeat; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +56,10 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
+#: UTF-16 units that perplexity is told by: letters, their marks and numbers of any script (and halves of characters beyond 16 bits).
+LETTERS = np.array([0xD800 <= u < 0xE000 or unicodedata.category(chr(u))[0] in "LMN" for u in range(1 << UNIT_BITS)])
+
+
 def unit_keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram that ends with each UTF-16 unit, and n + 1 bounds of the rows. Rows begin after padding."""
     units = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-16-le"), np.uint16)
@@ -195,10 +202,10 @@ def _level_chances(level: DataFrame, lower: DataFrame | None, order: int) -> Dat
     c1, c2, c3, c4 = (F.col(f"n{c}").cast("double") for c in (1, 2, 3, 4))
     y = F.coalesce(F.try_divide(c1, c1 + 2 * c2), F.lit(0.5))
     cuts = [F.coalesce(1 - F.try_divide(2 * y * c2, c1), y), F.coalesce(2 - F.try_divide(3 * y * c3, c2), 2 * y), F.coalesce(3 - F.try_divide(4 * y * c4, c3), 3 * y)]
-    times = times.select("k", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(0.95 * (i + 1))).alias(f"d{i + 1}") for i, d in enumerate(cuts)))
+    times = stored(times.select("k", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(0.95 * (i + 1))).alias(f"d{i + 1}") for i, d in enumerate(cuts))), f"discounts{order}")  # by language; Spark broadcasts it if its files are small
     context = F.shiftrightunsigned("gram", UNIT_BITS).alias("context")
     totals = level.groupBy("k", context).agg(F.sum("n").alias("total"), *(F.sum((c).cast("long")).alias(v) for v, c in (("ones", n == 1), ("twos", n == 2), ("more", n >= 3))))
-    found = level.select("k", "gram", "n", context).join(totals, ["k", "context"]).join(F.broadcast(times), "k")  # a row for each language
+    found = level.select("k", "gram", "n", context).join(totals, ["k", "context"]).join(times, "k")
     if lower is None:
         found = found.withColumn("lower", F.lit(1 / (1 << UNIT_BITS)))
     else:
@@ -313,8 +320,8 @@ def _scored(rows: DataFrame, answers: DataFrame) -> DataFrame:
                             if k not in tables or (own[at] != keys[mine]).any():
                                 raise RuntimeError("the documents changed between two passes over them: store them first")
                             logs_at[mine] = logs[at]
-                    size = np.diff(rows_at)
-                    parts["log_perplexity"].append(np.where(size > 0, -_runs_by_row(logs_at, rows_at) / np.maximum(size, 1), 0.0))
+                    letters = _runs_by_row(LETTERS[keys & _PAD], rows_at)
+                    parts["log_perplexity"].append(0.0 - _runs_by_row(logs_at, rows_at) / np.maximum(letters, 1))
                 done = {k: np.concatenate(v) if v else np.zeros(0) for k, v in parts.items()}
                 made.append(pa.record_batch([b.column("doc_id"), b.column("lang").cast(pa.string()), *(pa.array(done[k].astype(np.int64), t) for k, t in KINDS.items()), pa.array(done["log_perplexity"].astype(np.float64))], names=names))
         return pa.Table.from_batches(made)
@@ -344,10 +351,10 @@ def judge(docs: DataFrame) -> DataFrame:
     scored = stored(scored.withColumn("base_failed", failed), "scored")
     usable = scored.filter("not base_failed").select("lang", "log_perplexity").distinct()
     middle = stored(_median(usable, "log_perplexity").withColumnRenamed("log_perplexity", "middle"), "middle")
-    away = usable.join(F.broadcast(middle), usable["lang"].eqNullSafe(middle["lang"])).select(usable["lang"].alias("lang"), F.abs(F.col("log_perplexity") - F.col("middle")).alias("deviation"))
+    away = usable.join(middle, usable["lang"].eqNullSafe(middle["lang"])).select(usable["lang"].alias("lang"), F.abs(F.col("log_perplexity") - F.col("middle")).alias("deviation"))
     bands = middle.alias("m").join(_median(away, "deviation").alias("d"), F.col("m.lang").eqNullSafe(F.col("d.lang")))
     width = BAND * 1.4826 * F.col("deviation") + 1 / STEPS
     bands = stored(bands.select(F.col("m.lang").alias("band_lang"), (F.col("middle") - width).alias("low"), (F.col("middle") + width).alias("high")), "bands")
-    judged = scored.join(F.broadcast(bands), scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang")
+    judged = scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside)

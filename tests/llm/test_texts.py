@@ -16,6 +16,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, language_id, license_scan, licenses, packing, perplexity, sharding, toxicity
@@ -286,6 +287,26 @@ def test_perplexity(spark):
     assert perplexity.judge(rows.limit(0)).count() == 0
 
 
+def test_perplexity_tells_common_junk(spark):
+    """Signs behind words, or between them, in a tenth of the texts each: common enough for the model to know them."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice(("ba", "ne", "ti", "ro", "su")) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(60, 200))] for _ in range(200)]
+    marked = [" ".join(w + rng.choice(("###", "&&&", "$$$")) if rng.random() < 0.6 else w for w in t) for t in texts[:20]]
+    barred = [" | ".join(t) for t in texts[20:40]]
+    rows = [*marked, *barred, *(" ".join(t) for t in texts[40:]), "% " * 80]
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(spark.createDataFrame([(i, t, "xx") for i, t in enumerate(rows)], "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i] for i in range(40)) and all(got[i] for i in range(40, 200)) and not got[200]
+
+
+def test_perplexity_on_labelled_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    judged = perplexity.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("not base_failed")
+    rows = judged.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("rejected"))
+    rejected = {r["quality"]: r["rejected"] for r in rows.filter("quality is not null").collect()}
+    assert rejected[0] >= 0.8 and rejected[1] <= 0.02
+
+
 def test_perplexity_bands_follow_the_spread(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice(("ba", "ne", "ti", "ro")) for _ in range(rng.randint(1, 4))) for _ in range(60)]
