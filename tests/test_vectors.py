@@ -1,6 +1,9 @@
 """Neighbours, votes and metrics against direct computation."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,25 @@ def test_a_cell_bound_holds():
         kth = np.sort(d, axis=1)[:, k - 1]
         visited = first | cells.further(queries, k, kth)
         assert all(visited[i, cell[j]] for i in range(50) for j in np.flatnonzero(d[i] <= kth[i]))
+
+
+def test_products_are_bounded_and_copies_keep_their_order():
+    """2,000 queries and 20,000 rows, of which many are equal: no product of all of them, and of equal rows the smallest ids."""
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(900, 8))
+    t, q, k = some[rng.integers(0, 900, 20_000)], rng.normal(size=(2000, 8)), 30
+    tracemalloc.start()
+    found = list(neighbours._nearest(pa.array(np.arange(len(q))), q, np.arange(len(t)), np.zeros(len(t), np.int32), t, k))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # one product of all would have 320 MB
+    got = {}
+    for rows in found:
+        for i, j in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True):
+            got.setdefault(i, []).append(j)
+    for i in range(0, len(q), 97):
+        dots = np.zeros(len(t))
+        for x, y in zip(q[i], t.T, strict=True):
+            dots += x * y
+        assert got[i] == np.lexsort((np.arange(len(t)), np.maximum(1 - dots, 0)))[:k].tolist()
+    assert len(got) == len(q)
