@@ -1,17 +1,17 @@
 """Hard-negative mining: a two-dimensional block matrix multiply of anchors and rows.
 
 Anchors times rows is a matrix of scores that no task holds whole. Both sides are dealt in blocks of rows, each block is
-cut in chunks of dimensions (SUMMA), and a task multiplies one chunk of an anchor block with the same chunk of a row block. Its partial
-tile of integer scores goes to the tile's place, where the tiles of all chunks are added, and of the sum only
-the few rows that an anchor can use leave the task:
+cut in chunks of dimensions (SUMMA), and a task multiplies one chunk of an anchor block with the same chunk of a row block. Vectors of up to
+MOST_WIDE dimensions are one chunk, whose tile of integer scores is whole and stays in its task; longer ones send their partial tiles to the
+tile's place, where the tiles of all chunks are added. Of a whole tile only the few rows that an anchor can use leave the task:
 
 1. Blocks hold rows of one label group (labels dealt by hash over at most GROUPS groups), so tiles within a group give the
    positives of each anchor: the best POSITIVES rows of its label, by tile and then over all tiles.
 2. The other tiles, and those of groups with several labels, give the negatives: for each anchor and positive the best
    NEGATIVES rows of another label in the window LEAST to MOST hundredths of the positive's score, by tile and then over all.
 
-A label that holds a third of all rows has a third of the blocks; no block, tile or task grows with a label. The shuffle carries every partial score once, four
-bytes for each anchor, row and chunk unless scores need eight, so the work is what the definition asks for: every anchor meets every row.
+A label that holds a third of all rows has a third of the blocks; no block, tile or task grows with a label. Blocks, and not scores, are what the shuffle carries where
+vectors are one chunk: each block once for each block of the other side. The work is what the definition asks for: every anchor meets every row.
 
 Cases: a row takes no part with a null vec_id or label, a null vector, or a null or non-finite component; vectors of different lengths count as
 filled up with zeros, and an empty one scores 0; floor(256 x) is held to +-2^22 (|x| up to 16384), so that sums and the comparisons stay exact; rows that repeat a
@@ -38,8 +38,10 @@ LEAST, MOST = 50, 95
 #: Scale of a component before it is cut to an integer, and the most that the integer may be.
 SCALE, LIMIT = 256, 1 << 22
 #: Label groups at most; rows and anchors of a block, about.
-GROUPS, ROW_BLOCK, ANCHOR_BLOCK = 256, 512, 256
-#: Dimensions of a chunk: at most MOST_WIDE, so that LIMIT^2 times that is exact in a double, and else half a vector or LEAST_WIDE.
+GROUPS, ROW_BLOCK, ANCHOR_BLOCK = 256, 2048, 1024
+#: Rows for each label group, about, of a small table.
+GROUP_ROWS = 512
+#: Dimensions of a chunk: at most MOST_WIDE, so that LIMIT^2 times that is exact in a double, and else a vector or LEAST_WIDE.
 LEAST_WIDE, MOST_WIDE = 32, 512
 
 _TILE = "a int, b int, first boolean, anchors binary, rows binary, anchor_labels binary, row_labels binary, windows binary, wide boolean, scores binary"
@@ -82,10 +84,19 @@ def _packed(rows: DataFrame, block: str, wide: int) -> DataFrame:
     return cut.groupBy(block, "chunk").applyInArrow(run, f"grp int, {block} int, chunk int, ids binary, labels binary, data binary")
 
 
-def _products(rows: DataFrame, anchors: DataFrame, wide: int) -> DataFrame:
-    """Partial tiles of scores, one for each pair of blocks and chunk. Labels and windows go with the first chunk alone."""
+def _meeting(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Each copy of a block with its partner. Neither side is broadcast: copies are many times the stored blocks, by whose files Spark would tell their size."""
+    return rows.hint("merge").join(anchors.hint("merge"), ["a", "b", "chunk"])
+
+
+def _products(rows: DataFrame, anchors: DataFrame, wide: int, found: Callable[[pa.Table], pa.Table] | None = None, schema: str = _TILE) -> DataFrame:
+    """Partial tiles of scores, one for each pair of blocks and chunk. Labels and windows go with the first chunk alone. found: what leaves the task in a tile's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in partial(batches):
+            yield from [tile] if found is None else found(pa.Table.from_batches([tile])).to_batches()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 cell = {n: batch.column(n)[r] for n in batch.schema.names}
@@ -100,7 +111,7 @@ def _products(rows: DataFrame, anchors: DataFrame, wide: int) -> DataFrame:
                     pa.array([long]), pa.array([(scores if long else scores.astype(np.int32)).tobytes()], pa.binary()),
                 ], names=["a", "b", "first", "anchors", "rows", "anchor_labels", "row_labels", "windows", "wide", "scores"])
 
-    return rows.join(anchors, ["a", "b", "chunk"]).mapInArrow(run, _TILE)
+    return _meeting(rows, anchors).mapInArrow(run, schema)
 
 
 def _added(tiles: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -192,8 +203,8 @@ def mine(vectors: DataFrame, is_anchor: Column, vector: str = "embedding", posit
     size, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
     if not size:
         return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    wide = min(MOST_WIDE, max(LEAST_WIDE, -(-longest // 2)))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("label"), F.lit(min(GROUPS, -(-size // ROW_BLOCK)))).cast("int"))
+    wide = min(MOST_WIDE, max(LEAST_WIDE, longest))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("label"), F.lit(min(GROUPS, -(-size // min(GROUP_ROWS, ROW_BLOCK))))).cast("int"))
     groups = _groups(rows, is_anchor)
     if not any(g["ka"] for g in groups):
         return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
@@ -202,12 +213,13 @@ def mine(vectors: DataFrame, is_anchor: Column, vector: str = "embedding", posit
     anchor_blocks = _packed(rows.filter(is_anchor).withColumn("a", dealt(*_of_group(groups, "a0", "ka"))), "a", wide)
     anchor_blocks = stored(anchor_blocks.select("grp", "a", "chunk", F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), F.col("data").alias("anchor_data")), "anchors")
 
-    def tiles(anchors: DataFrame, meets: Callable[[Column, Column], Column]) -> DataFrame:
-        ours = _copies(row_blocks, groups, "a0", "ka", "a", meets).drop("grp")
-        return _products(ours, _copies(anchors, groups, "b0", "kb", "b", meets).drop("grp"), wide).groupBy("a", "b")
+    def tiles(anchors: DataFrame, meets: Callable[[Column, Column], Column], best: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        ours, theirs = _copies(row_blocks, groups, "a0", "ka", "a", meets).drop("grp"), _copies(anchors, groups, "b0", "kb", "b", meets).drop("grp")
+        if longest <= wide:
+            return _products(ours, theirs, wide, best, schema)
+        return _products(ours, theirs, wide).groupBy("a", "b").applyInArrow(best, schema)
 
-    own = tiles(anchor_blocks.withColumn("windows", F.lit(None).cast("binary")), lambda g, mixed: g == F.col("grp"))
-    found = own.applyInArrow(lambda t: best_positives(t, positives), "anchor_id long, vec_id long, score long")
+    found = tiles(anchor_blocks.withColumn("windows", F.lit(None).cast("binary")), lambda g, mixed: g == F.col("grp"), lambda t: best_positives(t, positives), "anchor_id long, vec_id long, score long")
     first = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= positives)
     best = stored(best.join(rows.filter(is_anchor).select(F.col("vec_id").alias("anchor_id"), dealt(*_of_group(groups, "a0", "ka")).alias("a")), "anchor_id").select("a", "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
@@ -217,7 +229,6 @@ def mine(vectors: DataFrame, is_anchor: Column, vector: str = "embedding", posit
         return pa.table({"a": table["a"][:1], "windows": pa.array([flat.tobytes()], pa.binary())})
 
     windows = best.groupBy("a").applyInArrow(packed, "a int, windows binary")
-    others = tiles(anchor_blocks.join(windows, "a"), lambda g, mixed: (g != F.col("grp")) | mixed)
-    found = others.applyInArrow(lambda t: best_negatives(t, negatives, least, most), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    found = tiles(anchor_blocks.join(windows, "a"), lambda g, mixed: (g != F.col("grp")) | mixed, lambda t: best_negatives(t, negatives, least, most), "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     first = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= negatives).select(*names)

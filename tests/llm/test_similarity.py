@@ -58,6 +58,18 @@ def test_hard_negatives(spark, monkeypatch, groups, block, wide):
     assert sorted(map(tuple, got)) == expected and len(expected) > 100
 
 
+def test_no_copies_of_blocks_are_broadcast(spark, monkeypatch):
+    """A join of exploded blocks, whose stored files are small, broadcasts neither side, and vectors of one chunk exchange no tile."""
+    plans, made = [], hard_negatives._meeting
+    monkeypatch.setattr(hard_negatives, "_meeting", lambda rows, anchors: plans.append(made(rows, anchors)) or plans[-1])
+    rows = vectors(width=20)
+    got = hard_negatives.mine(spark.createDataFrame([(*r, 1, 1, "x") for r in rows], VECTORS), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_negatives(rows, lambda i: i % 10 == 0)
+    shown = [str(p._jdf.queryExecution().executedPlan()) for p in (*plans, got)]
+    assert len(plans) == 2 and all("SortMergeJoin [a" in s for s in shown[:2]) and "BroadcastHashJoin" not in shown[0]
+    assert not re.search(r"FlatMapGroupsInArrow \[a#\d+, b#\d+\]", shown[2])
+
+
 def test_hard_negatives_without_rows(spark):
     none = spark.createDataFrame([], VECTORS)
     names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
