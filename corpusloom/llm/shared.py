@@ -7,7 +7,6 @@ follows the slice and not the table.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.skew import BROADCAST_ROWS, broadcast_small, salted_join
-from corpusloom.operators.storage import discard
+from corpusloom.operators.storage import discard, release
 from corpusloom.operators.storage import materialized as stored
 from corpusloom.workers import importable
 
@@ -28,12 +27,6 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles of finished jobs nobody refers to any more, so that their files go now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Bytes of input, as Spark estimates them, for each partition of an exchange that a task holds in memory.
 PARTITION_BYTES = 64 << 20
 

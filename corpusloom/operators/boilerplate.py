@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.skew import salted_join
-from corpusloom.operators.storage import discard, materialized
+from corpusloom.operators.storage import discard, materialized, release
 from corpusloom.workers import importable
 
 MIN_DF = 10
@@ -31,7 +31,7 @@ MIN_SAMPLES = 10
 #: Slack of comparisons with the threshold.
 SLACK = 1e-9
 #: Points of a term, about, that meet in one product, and columns of it that are taken at once.
-BLOCK_POINTS = 400
+BLOCK_POINTS = 2000
 BLOCK_COLUMNS = 4096
 #: Points of small terms that share one product.
 CALL_POINTS = 100
@@ -79,27 +79,41 @@ def _together(runs: np.ndarray) -> list[tuple[int, int]]:
     return [*out, (at, int(runs[-1]))] if runs[-1] > at else out
 
 
-def _shared(lists: pa.ListArray, weights: np.ndarray | None, run: np.ndarray) -> np.ndarray:
-    """Products of the rows' sparse vectors; terms of different runs are different."""
+def _shared(lists: pa.ListArray, weights: np.ndarray | None, run: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the sparse vectors of rows a and b; terms of different runs are different."""
     row = np.repeat(np.arange(len(run)), np.diff(lists.offsets.to_numpy()))
     terms = lists.flatten().to_numpy().view(np.uint64) ^ (run[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     names, column = np.unique(terms, return_inverse=True)
-    out = np.zeros((len(run), len(run)))
+    out = np.zeros((len(a), len(b)))
     for at in range(0, len(names), BLOCK_COLUMNS):
         inside = (column >= at) & (column < at + BLOCK_COLUMNS)
         block = np.zeros((len(run), min(BLOCK_COLUMNS, len(names) - at)))
         block[row[inside], column[inside] - at] = 1 if weights is None else weights[inside]
-        out += block @ block.T
+        out += block[a] @ block[b].T
     return out
 
 
+def _sides(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that meet each other: one block and the other where these are all rows of a pair of blocks, else all and all."""
+    if len(own) and low[0] != high[0] and (low == low[0]).all() and (high == high[0]).all():
+        return np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
+    return np.arange(len(own)), np.arange(len(own))
+
+
+def _before(lists: pa.ListArray, run: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair have no term in common before the one under which they meet."""
+    (a, at_a), (b, at_b) = (np.unique(x, return_inverse=True) for x in (i, j))
+    rows = np.concatenate([a, b])
+    return _shared(lists.take(pa.array(rows)), None, run[rows], np.arange(len(a)), np.arange(len(a), len(rows)))[at_a, at_b] == 0
+
+
 def near_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j that are near points of one term and pair of blocks, each two points under their first common term alone.
 
     table: sorted by run (a term and a pair of blocks). Two points meet under every term that both have; terms come in one order, so the first one
     is where they have none in common before, and from there on the product is that of the whole vectors.
     """
-    run, own = table["run"].to_numpy(), table["own"].to_numpy()
+    run, own, low, high = (table[n].to_numpy() for n in ("run", "own", "low", "high"))
     tail = table["tail"].to_numpy()
     order = np.lexsort((-tail, run))
     begin = np.searchsorted(run[order], run)
@@ -114,12 +128,15 @@ def near_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
         some = kept[x:y]
         part = table.take(pa.array(some))
         part_run = run[some]
-        dots = _shared(part["ids"].combine_chunks(), part["ws"].combine_chunks().flatten().to_numpy(), part_run)
-        i, j = np.nonzero(np.triu(dots >= least - SLACK, 1))
+        mine, other = _sides(own[some], low[some], high[some])
+        dots = _shared(part["ids"].combine_chunks(), part["ws"].combine_chunks().flatten().to_numpy(), part_run, mine, other)
+        i, j = np.nonzero(dots >= least - SLACK)
+        ordered = mine[i] < other[j] if len(mine) == len(some) else np.ones(len(i), bool)
+        i, j = i[ordered], j[ordered]
         if len(i):
-            before = _shared(part["before"].combine_chunks(), None, part_run)
-            a, b = some[i], some[j]
-            met = (before[i, j] == 0) & (np.minimum(own[a], own[b]) == table["low"].to_numpy()[a]) & (np.maximum(own[a], own[b]) == table["high"].to_numpy()[a])
+            alone_before = _before(part["before"].combine_chunks(), part_run, mine[i], other[j])
+            a, b = some[np.minimum(mine[i], other[j])], some[np.maximum(mine[i], other[j])]
+            met = alone_before & (np.minimum(own[a], own[b]) == low[a]) & (np.maximum(own[a], own[b]) == high[a])
             pairs.append((a[met], b[met]))
     return tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -195,15 +212,18 @@ def noise(sentences: DataFrame, min_df: int = MIN_DF, eps: float = EPS, min_samp
         "node", "m", F.xxhash64("p.term").alias("term"), F.col("p.tail").alias("tail"), names(F.slice("v", 1, F.col("p.i"))).alias("before"), names(after).alias("ids"), F.transform(after, lambda x: x["w"]).alias("ws"),
     )
     prefixes = materialized(prefixes, "prefixes")
+    release(sentences.sparkSession)
     total = max(1, prefixes.count())
     terms = materialized(_blocks(prefixes), "terms")
     near = _by_run(prefixes, terms, lambda t: degrees(t, least, min_samples), "node long, others long", total)
     degree = points.select("node", "point", "m").join(near.groupBy("node").agg(F.sum("others").alias("others")), "node", "left")
     judged = materialized(degree.select("node", "point", (F.col("m") + F.coalesce("others", F.lit(0)) >= min_samples).alias("core")), "judged")
+    release(sentences.sparkSession)
     # terms under which a core point can meet another
     marked = prefixes.join(judged.select("node", "core"), "node")
     both = materialized(_blocks(marked, F.max("core").alias("some"), F.min("core").alias("every")).filter("some and not every").drop("some", "every"), "terms")
     touched = _by_run(marked, both, lambda t: reached(t, least), "node long", total).distinct().join(judged, "node").select("point")
     gone = materialized(judged.filter("core").select("point").unionAll(touched), "gone")
     discard(prefixes, terms, both, judged, points)
+    release(sentences.sparkSession)
     return sentences.select("id").join(named.join(gone, "point", "left_semi").select("id"), "id", "left_anti")

@@ -6,6 +6,7 @@ A stored table is deleted by `discard` as soon as no plan reads it any more, or
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import weakref
 
@@ -47,6 +48,12 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles of finished jobs nobody refers to any more, so that their files go now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that materialized() gave and that no plan yet to run reads."""
     for frame in frames:

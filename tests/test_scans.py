@@ -148,3 +148,20 @@ def test_numbers_of_excerpts(spark):
                 expected.append((f"{r[3]}_{r[4]}_{label[r[3:5]]}", *r[:3], r[11]))
     place = [F.col(f"ord.{c}") for c in PLACE]
     assert sorted(map(tuple, got.select("id", *place, "modified_text_excerpt").collect())) == sorted(expected)
+
+
+def test_a_pair_of_blocks_meets_across_alone(monkeypatch):
+    """Points of a hot term in two blocks: only products of one block with the other are made, and all near pairs across are found."""
+    rng, n, shapes = np.random.default_rng(6), 300, []
+    shared = boilerplate._shared
+    monkeypatch.setattr(boilerplate, "_shared", lambda *a: shapes.append((found := shared(*a)).shape) or found)
+    own, angle = rng.integers(0, 2, n), rng.uniform(0, 1.5, n)
+    lists = lambda v, kind: pa.array(v, pa.list_(kind))
+    table = pa.table({
+        "run": pa.array(np.zeros(n, np.int64)), "own": pa.array(own.astype(np.int32)), "low": pa.array(np.zeros(n, np.int32)), "high": pa.array(np.ones(n, np.int32)), "tail": pa.array(np.ones(n)),
+        "ids": lists([[1, 2]] * n, pa.int64()), "ws": lists(np.stack([np.cos(angle), np.sin(angle)], 1).tolist(), pa.float64()), "before": lists([[]] * n, pa.int64()),
+    })
+    i, j = boilerplate.near_pairs(table, 0.7)
+    expected = {(a, b) for a in range(n) for b in range(a + 1, n) if own[a] != own[b] and np.cos(angle[a] - angle[b]) >= 0.7}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and len(i) == len(expected)
+    assert shapes[0] == ((own == 0).sum(), (own == 1).sum())
