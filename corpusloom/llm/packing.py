@@ -32,17 +32,24 @@ SEQUENCE_TOKENS = 1024
 SEPARATOR_ID = 0
 #: Words that the tokenizer library gets at once.
 _LIBRARY_BATCH = 4000
+#: Text that is tokenized together; beside it a worker holds the library's tokenizer, once, and the known words.
+WINDOW_BYTES = 8 << 20
 
 
-def library_encoder(definition: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """Encodes pre-tokens by the tokenizers library; a pre-token's ids don't depend on its neighbours."""
+def _tokenizer(definition: str):
+    """A worker's one tokenizer, for words and for whole texts."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return _worker(f"tokenizer {zlib.crc32(definition.encode())} {len(definition)}", lambda: Tokenizer.from_str(definition))
+
+
+def library_encoder(definition: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes pre-tokens by the tokenizers library; a pre-token's ids don't depend on its neighbours."""
+    tokenizer = _tokenizer(definition)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokenizer.encode_special_tokens = True  # their strings in a word are ordinary text
         ids, counts = [], []
         for at in range(0, len(words), _LIBRARY_BATCH):
             found = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words[at : at + _LIBRARY_BATCH]], add_special_tokens=False)]
@@ -55,12 +62,11 @@ def library_encoder(definition: str) -> Callable[[list[bytes]], tuple[np.ndarray
 
 def added_encoder(definition: str) -> Callable[[pa.Array], dict[int, np.ndarray]]:
     """The ids, by row, of the texts that hold a string of one of the tokenizer's added tokens, as the library encodes them."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(definition)
+    tokenizer = _tokenizer(definition)
     strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(texts: pa.Array) -> dict[int, np.ndarray]:
+        tokenizer.encode_special_tokens = False
         rows = set()
         for string in strings:
             rows.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, string), False).to_numpy(zero_copy_only=False)).tolist())
@@ -82,7 +88,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, separator: int = SEPARATOR_I
         table = _worker(f"library {name}", lambda: WordTable(library_encoder(definition.value)))
         whole = _worker(f"added {name}", lambda: added_encoder(definition.value)) if added else None
         part, local = TaskContext.get().partitionId(), 0
-        for held in windows(batches):
+        for held in windows(batches, WINDOW_BYTES):
             ids_of_docs, done = pa.concat_arrays([b.column("doc_id") for b in held]), 0
             for rows, ids, ends in encode_window([b.column("text") for b in held], table):
                 if whole and (found := whole(pa.concat_arrays([b.column("text") for b in held]).slice(done, rows))):

@@ -132,6 +132,21 @@ def test_packing(spark):
     assert packing.pack(frame(spark, TEXTS).limit(0), path).count() == 0
 
 
+def test_one_tokenizer_encodes_words_and_whole_texts():
+    """In turn, as a task does; strings of added tokens are tokens in whole texts alone."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    assert packing._tokenizer(definition) is packing._tokenizer(definition)
+    words, whole = packing.library_encoder(definition), packing.added_encoder(definition)
+    string = next(iter(packing._tokenizer(definition).get_added_tokens_decoder().values())).content
+    texts = pa.array([f"a {string} b", "a b"])
+    for _ in range(2):
+        ids, counts = words([string.encode(), b"a"])
+        found = whole(texts)
+        assert counts.tolist()[0] > 1 and counts.sum() == len(ids)
+        assert list(found) == [0] and len(found[0]) < counts[0] + 4
+
+
 def test_packing_of_added_tokens(spark, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["one two", "a <|endoftext|> b", None, "<|endoftext|><|endoftext|> é漢", "<|endoftext", "x" * 50]
