@@ -20,11 +20,25 @@ COMMON = set(" .,") | set("abcdefghijklmnopqrstuvwxyz")
 
 
 def _better(a: tuple[str, ...] | None, b: tuple[str, ...] | None) -> tuple[str, ...] | None:
-    """The choice whose shortest literal is longer, of equal ones that with fewer literals."""
-    worth = lambda c: (min(map(len, c)), -len(c)) if c else (0, 0)
+    """The choice whose shortest literal is longer, of equal ones that without common signs, then that with fewer literals."""
+    worth = lambda c: (min(map(len, c)), not COMMON & set(c), -len(c)) if c else (0, False, 0)
     return b if worth(b) > worth(a) else a
 
 
+def _whole(op, value) -> tuple[str, ...] | None:
+    """All texts that a group of alternatives stands for, if they are literals."""
+    if op is C.SUBPATTERN and not value[1] and not value[2] and len(value[3]) == 1 and value[3][0][0] is C.BRANCH:
+        branches = value[3][0][1][1]
+        if all(kind is C.LITERAL for branch in branches for kind, _ in branch):
+            return tuple("".join(chr(x) for _, x in branch) for branch in branches)
+    return None
+
+
+def _least(choice: tuple[str, ...] | None) -> tuple[str, ...] | None:
+    """The choice without literals that hold another one of it."""
+    return choice and tuple(x for x in choice if not any(y != x and y in x for y in choice))
+
+
 def _choice(items) -> tuple[str, ...] | None:
     best: tuple[str, ...] | None = None
     runs: tuple[str, ...] = ("",)  # what may stand together at this place
@@ -41,13 +55,15 @@ def _choice(items) -> tuple[str, ...] | None:
             some = (chr(value),)
         elif op is C.IN and all(kind is C.LITERAL for kind, _ in value):
             some = tuple(chr(x) for _, x in value)
-        if some and len(runs) * len(some) <= CHOICES:
+        else:
+            some = _whole(op, value)
+        if some and all(some) and len(runs) * len(some) <= CHOICES:
             runs = tuple(r + s for r in runs for s in some)
             continue
         if op is C.AT:
             continue
         end()
-        if some and len(some) <= CHOICES:
+        if some and all(some) and len(some) <= CHOICES:
             best = _better(best, some)
         elif op is C.SUBPATTERN:
             best = _better(best, _choice(value[3]))
@@ -65,7 +81,7 @@ def _choice(items) -> tuple[str, ...] | None:
 @lru_cache
 def required(pattern: str) -> tuple[str, ...]:
     """Literals of which every match of the pattern has one; none if there is nothing to go by."""
-    found = _choice(parser.parse(pattern)) or ()
+    found = _least(_choice(parser.parse(pattern))) or ()
     return () if any(len(x) == 1 and x in COMMON for x in found) else found
 
 

@@ -1,10 +1,14 @@
 """Each masking rule by itself, with its input and output written out."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import masking
 from corpusloom.functions import patterns as P
+from corpusloom.functions.regex import WHITE
 
 CASES = {
     "INDICATOR_RULES": [
@@ -41,3 +45,35 @@ def test_rule(spark, name):
     rows = texts.select(F.array(*(masking.mask(F.col("text"), [r]) for r in rules)).alias("made"), "text").collect()
     made = {r["text"]: r["made"] for r in rows}
     assert [made[t][i] for i, (t, _) in enumerate(cases)] == [x for _, x in cases]
+
+
+def test_parts_are_in_every_match():
+    """What is looked for before a rule is tried: each match of the rule, in its own cases and in random texts, holds it."""
+    rng = random.Random(8)
+    pieces = [*"()[]*.,:;–'\"“”# \n\t ", "  ", "1.2", "3.b", "4.4.4", "12", "a)", "[x]", "(ii)", "Indicator ", "indicator ", "Target ", "target  ", "is the ", "the ", "The ", "Goal 5", "SDG 6", "sdg_7", "x "]
+    texts = [t for cases in CASES.values() for t, _ in cases] + ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(40_000)]
+    known = {rule[0] for name in CASES for rule in getattr(P, name)}
+    for pattern, part in masking.PARTS.items():
+        found = [t for t in texts if re.search(pattern, t)]
+        assert pattern in known and found, pattern
+        assert all(re.search(part, t) for t in found), pattern
+    for pattern, *_ in P.NUMBER_RULES[:-1]:
+        assert all(masking.numbered(t) for t in texts if re.search(pattern, t)), pattern
+    assert all(masking.wide(t) == bool(re.search(r"\s{2,}", t)) for t in [*texts, *(f"a{x}{y}b" for x in WHITE for y in WHITE), *(f"a{x}b" for x in WHITE)])
+    assert all(masking.squeezed(t) == re.sub(r"\s+", " ", t) for t in [*texts, "", " ", "\n\n", " a"])
+
+
+def test_long_texts_are_masked_in_a_pass(monkeypatch):
+    """A text without a goal's or target's number meets no rule on numbers but the one on spaces, in any round."""
+    tried = []
+    monkeypatch.setattr(masking, "_masked", lambda t, rules, f=masking._masked: (tried.append(len(rules)), f(t, rules))[1])
+    text = "Plain words of 1990, and  some more\n\nof 12 (or 7 ). " * 2000
+    assert masking._clean(text, False) == python_clean(text)
+    assert sum(tried) == sum(map(len, (P.INDICATOR_RULES, P.NUMBER_RULES_ONCE, masking.SPACE_RULES, P.LIST_RULES, P.PHRASE_RULES)))
+
+
+def python_clean(text):
+    for name in ("INDICATOR_RULES", "NUMBER_RULES_ONCE", "NUMBER_RULES", "LIST_RULES", "PHRASE_RULES"):
+        for pattern, to, limited in getattr(P, name):
+            text = re.sub(pattern, to, text, count=2 if limited else 0)
+    return text
