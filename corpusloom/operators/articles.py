@@ -60,6 +60,8 @@ def general_paragraphs(pages: DataFrame) -> DataFrame:
 NEXT_SECTION, AGENCIES = r"^==[\s\tA-Z].+$", "custodian agencies"
 TARGET, TARGET_WORD = r"^===\s?target.+$", r"===\s?[tT]argets?\s"
 _PAGE = [*KEYS, "title", "revision_id", "revision_timestamp"]
+#: Bytes of text of the articles that one task has.
+SLICE = 8_000_000
 #: The part of the targets.
 _LAST = len(P.SECTIONS) + 1
 
@@ -94,13 +96,14 @@ def _sections(lines: DataFrame) -> DataFrame:
     head = named & _second_level(line) & F.contains(low, key)
     ends = named & ~head & ((line.startswith("==") & matches(line, NEXT_SECTION) & ~F.contains(low, key)) | (line.startswith("===") & low.contains(AGENCIES)))
     marked = lines.withColumns({"head": head, "ends": ends, "cand": ~line.startswith("=="), "open": line.endswith("*") | line.endswith(":")})
+    # the ordered window comes first, as its order serves the others
+    marked = marked.withColumn("name", F.last(F.when(F.col("head"), strip(F.translate("line", "=\t", ""))), ignorenulls=True).over(whole.orderBy("i")))
     marked = marked.withColumn("end", F.min(F.when(F.col("ends"), F.col("i"))).over(whole))
     inside = F.col("cand") & (F.col("end").isNull() | (F.col("i") < F.col("end")))
     open_there = F.max(F.when(inside, F.struct("i", "open"))).over(whole)["open"]
     further = F.min(F.when(F.col("cand") & (F.col("i") > F.col("end")), F.col("i"))).over(whole)
-    name = F.last(F.when(F.col("head"), strip(F.translate("line", "=\t", ""))), ignorenulls=True).over(whole.orderBy("i"))
     fed = F.coalesce(inside | (F.col("cand") & F.coalesce(open_there, F.lit(False)) & (F.col("i") == further)), F.lit(False))
-    return marked.withColumns({"fed": fed, "name": name}).drop("head", "ends", "cand", "open", "end")
+    return marked.withColumn("fed", fed).drop("head", "ends", "cand", "open", "end")
 
 
 def _found(mark: Column, text: Column, line: Column) -> Column:
@@ -163,13 +166,20 @@ def _gathered(lines: DataFrame) -> DataFrame:
     return grouped.filter(told).select(*_PAGE, "part", "i", "target", F.when(F.col("plain"), F.col("names.name")).otherwise(F.coalesce("names.next_name", "names.name")).alias("section"), "text")
 
 
-def specific_paragraphs(pages: DataFrame) -> DataFrame:
+def slices(pages: DataFrame) -> int:
+    """Into how many tasks articles go, by the size of their texts."""
+    return max(1, -(-(pages.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE))
+
+
+def specific_paragraphs(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Lead section, named sections and targets of each goal's article.
 
     Each line of a part is a row, and what the lines before it have opened is told by windows over the page: one exchange by page, and
-    work in proportion to its lines, however many it has.
+    work in proportion to its lines, however many it has. More articles make more tasks and not larger ones. tasks: as slices() tells from the pages, or from what
+    they are made of.
     """
-    rows = _gathered(_read(_parts(pages)))
+    dealt = pages.repartition(tasks or slices(pages), "page_ord")
+    rows = _gathered(_read(_parts(dealt)))
     rows = rows.withColumn("emit_ord", F.row_number().over(Window.partitionBy(*KEYS).orderBy("part", "i")) - 1)
     goal = F.substring(F.col("title"), F.lit(len(P.TITLE_PREFIX) + 1), F.char_length("title"))
     return rows.select(*KEYS, "emit_ord", *paragraph(goal, F.col("target"), F.col("section"), F.col("text")))
@@ -178,5 +188,6 @@ def specific_paragraphs(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """file_ord, page_ord, emit_ord and PARAGRAPH_COLUMNS of all articles, markup removed."""
     stripped = pages.withColumn("text", markup.strip_markup(F.col("text")))
-    both = general_paragraphs(stripped.filter("is_general")).unionByName(specific_paragraphs(stripped.filter("not is_general")))
+    single = "not is_general"
+    both = general_paragraphs(stripped.filter("is_general")).unionByName(specific_paragraphs(stripped.filter(single), slices(pages.filter(single))))
     return both.withColumn("text", markup.strip_links(F.col("text")))

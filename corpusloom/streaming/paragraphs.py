@@ -12,13 +12,13 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from corpusloom.functions import markup
 from corpusloom.functions.masking import clean
-from corpusloom.operators.articles import specific_paragraphs
+from corpusloom.operators.articles import slices, specific_paragraphs
 
 
 def cleaned_paragraphs(pages: DataFrame) -> DataFrame:
     """Masked paragraphs of pages (a table or one micro-batch)."""
     stripped = pages.withColumn("text", markup.strip_markup(F.col("text")))
-    found = specific_paragraphs(stripped).withColumn("text", markup.strip_links(F.col("text")))
+    found = specific_paragraphs(stripped, slices(pages)).withColumn("text", markup.strip_links(F.col("text")))
     return found.withColumn("text", clean(F.col("text"), F.col("section")))
 
 

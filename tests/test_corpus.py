@@ -7,7 +7,7 @@ import pytest
 from article_lines import read_article
 from pyspark.sql import functions as F
 
-from corpusloom.operators import boilerplate, excerpts, sampling, testsets
+from corpusloom.operators import articles, boilerplate, excerpts, sampling, testsets
 from corpusloom.operators.articles import general_paragraphs, specific_paragraphs, split_lines
 from corpusloom.plans import evaluation, learning
 from corpusloom.plans.corpus import DataExtractor, FineTuningDataExtractor
@@ -122,6 +122,19 @@ def test_windows_read_what_the_lines_say(spark):
         specific_paragraphs(pages.limit(1).withColumn("text", F.lit("= x\n=== Target without a mark\n"))).collect()
 
 
+def test_articles_are_dealt_by_size(spark, monkeypatch):
+    """A task has so many bytes of articles, whatever their number, and their rows don't depend on it."""
+    text = "lead\n== Tools ==\nof these:\none *\nend\n=== Target 1.2: By 2030 ===\nsuch as:\n* a\nthen\n"
+    pages = spark.createDataFrame([(0, i, "Sustainable Development Goal 3", "1", "t", text * (i % 5)) for i in range(300)], "file_ord int, page_ord int, title string, revision_id string, revision_timestamp string, text string")
+    found = []
+    for size, tasks in ((10**6, 1), (1000, -(-len(text) * 600 // 1000))):
+        monkeypatch.setattr(articles, "SLICE", size)
+        rows = specific_paragraphs(pages)
+        assert rows.rdd.getNumPartitions() == articles.slices(pages) == tasks
+        found.append(sorted(map(tuple, rows.collect())))
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
 def test_long_article(spark):
     """A page of 30,000 lines, a third of them in one list."""
     lines = ["a list:", *(f"* entry {i}" for i in range(10_000)), *(f"line {i}" for i in range(20_000))]
