@@ -11,9 +11,10 @@ HOT_KEYS = 4000
 BROADCAST_ROWS = 100_000
 
 
-def broadcast_small(df: DataFrame) -> DataFrame:
+def broadcast_small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, to be broadcast if a count says that it is small; for dictionaries, whose rows are a few numbers and a name."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: Column, total: int) -> DataFrame:

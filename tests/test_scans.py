@@ -165,3 +165,23 @@ def test_a_pair_of_blocks_meets_across_alone(monkeypatch):
     expected = {(a, b) for a in range(n) for b in range(a + 1, n) if own[a] != own[b] and np.cos(angle[a] - angle[b]) >= 0.7}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and len(i) == len(expected)
     assert shapes[0] == ((own == 0).sum(), (own == 1).sum())
+
+
+def test_long_sentences_move_in_few_copies(spark, monkeypatch):
+    """The vector of a long sentence goes to places with a near one alone, not to each of its hundreds of rare terms."""
+    rng, stored = random.Random(11), {}
+    pool = [f"word{i}" for i in range(1500)]
+    base = rng.sample(pool, 300)
+    sentences = [" ".join(rng.sample(pool, 300)) for _ in range(40)] + [" ".join(rng.sample(base, 290)) for _ in range(12)]
+    kept = boilerplate.materialized
+
+    def noted(df, name):
+        out = kept(df, name)
+        if name == "prefixes":
+            stored[name] = out.agg(F.coalesce(F.sum(F.size("ids") + F.size("before")), F.lit(0))).first()[0]
+        return out
+
+    monkeypatch.setattr(boilerplate, "materialized", noted)
+    df = spark.createDataFrame(list(enumerate(sentences)), "id long, text string")
+    assert {r["id"] for r in boilerplate.noise(df, 3, 0.3, 6, []).collect()} == brute_noise(sentences, 3, 0.3, 6) == set(range(40))
+    assert stored["prefixes"] <= 8 * 300 * 12
